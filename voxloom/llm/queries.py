@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, packing, sharding
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous(documents(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_sharding": op2_sharding, "op8_exact_dedup": op8_exact_dedup}
+    return {"op2_sharding": op2_sharding, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
