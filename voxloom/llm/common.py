@@ -40,12 +40,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The rows of an Arrow batch in pieces of about SLICE_BYTES of text; a longer text is a piece of its own."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of an Arrow batch in pieces of about `most` bytes of text; a longer text is a piece of its own."""
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    step = (np.cumsum(size) - size) // SLICE_BYTES
+    step = (np.cumsum(size) - size) // most
     cut = np.flatnonzero(np.diff(step)) + 1
     for a, b in zip([0, *cut], [*cut, len(size)]):
         yield batch.slice(int(a), int(b - a))

@@ -26,7 +26,7 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
 #: Pieces of words that a task remembers the ids of.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 #: Letters and digits up to U+017F, where this vocabulary's normaliser only lowers case, character by character.
 _LETTER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
@@ -37,30 +37,34 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\t-\r\x20
 
 
 class _Ids(dict):
-    """Bytes of the ids of a piece of text as the tokenizer's pattern cuts it."""
+    """Bytes of the ids of each piece of text that the tokenizer's pattern cuts; remembers those that it has met."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.cut = Tokenizer(self.tokenizer.model)  # for text that is in lower case and cut already
+        self.cut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
-            return self.encoded([text])[0]
-        found = _WORD.findall(text.lower())
-        try:
-            return b"".join(map(self.__getitem__, found))
-        except KeyError:
-            pass
+    def learn(self, new: list[str]) -> None:
+        got = self.cut.encode(new, is_pretokenized=True, add_special_tokens=False)
+        ids, ends = np.asarray(got.ids, "<u4").tobytes(), np.searchsorted(got.word_ids, np.arange(len(new)), "right") * 4
+        self.update((x, ids[a:b]) for x, a, b in zip(new, [0, *ends.tolist()], ends.tolist()))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        found = [_WORD.findall(x.lower()) if _PLAIN.fullmatch(x) else None for x in texts]
         if len(self) > REMEMBERED:
             self.clear()
-        new = list(set(found).difference(self))
-        self.update(zip(new, self.encoded(new)))
-        return b"".join(map(self.__getitem__, found))
+        if new := list({w for words in found if words for w in words if w not in self}):
+            self.learn(new)
+        out = []
+        for text, words in zip(texts, found):
+            if words is None:
+                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(b"".join(map(self.__getitem__, words)))
+        return out
 
 
 _loaded: dict[str, _Ids] = {}
@@ -80,10 +84,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
         ids = _loaded.get(path) or _loaded.setdefault(path, _Ids(path))
         end = np.asarray([END], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 out: list[tuple] = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    data = ids.of(text or "") + end
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                for doc, data in zip(part.column("doc_id").to_pylist(), ids.of(texts)):
+                    data += end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         piece = data[at : at + 4 * capacity]
                         out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
