@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, packing, sharding
+from . import exact_dedup, langid, packing, quality, sharding
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_sharding": op2_sharding, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup, "op5_language": op5_language}
+    return {"op2_sharding": op2_sharding, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup, "op5_language": op5_language, "op6_quality": op6_quality}
 
 
 def oracle_sql() -> dict[str, str]:
