@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, packing, quality, sharding
+from . import exact_dedup, langid, neardup, packing, quality, sharding
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), size=4)
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_sharding": op2_sharding, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup, "op5_language": op5_language, "op6_quality": op6_quality}
+    return {"op2_sharding": op2_sharding, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup, "op5_language": op5_language, "op6_quality": op6_quality, "op7_neardup": op7_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
