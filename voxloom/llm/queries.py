@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, langid, neardup, packing, quality, secrets, sharding
+from . import exact_dedup, html_extract, langid, neardup, packing, pii, quality, secrets, sharding
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(documents(spark, sf_dir)))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_sharding": op2_sharding, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup, "op5_language": op5_language, "op6_quality": op6_quality, "op7_neardup": op7_neardup, "op1_html": op1_html, "op9_secrets": op9_secrets}
+    return {"op2_sharding": op2_sharding, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup, "op5_language": op5_language, "op6_quality": op6_quality, "op7_neardup": op7_neardup, "op1_html": op1_html, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
