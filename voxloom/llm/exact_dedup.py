@@ -19,17 +19,19 @@ HEAD = 64
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without the characters of `[\\x20\\x09-\\x0D]`; null is the empty text. The row with
     the most code points in its original text stays, then the smallest doc_id (null last). Of rows that repeat doc_id
-    and text exactly one is kept. An empty table gives no rows; other columns are ignored.
+    and text exactly one is kept. An empty table gives no rows; other columns are ignored, or with carry kept in the struct `row`.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.regexp_replace(text, SPACE, "")
     rows = docs.select(F.col(id_col).alias("doc_id"), bare.alias("bare"), F.char_length(text).cast("long").alias("n_chars"))
+    if carry:
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), bare.alias("bare"), F.char_length(text).cast("long").alias("n_chars"))
     rows = rows.withColumn("sha", F.sha2("bare", 256))
     order = [F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last()]
 
@@ -57,9 +59,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(is_hot, F.col("hot_size")).otherwise(F.col("local_size")).alias("group_size"),
         ((F.col("first") == 1) & F.col("doc_id").eqNullSafe(keep)).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *(["row"] if carry else []),
     )
 
 
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    return exact_duplicates(docs, id_col, text_col, carry=True).where("kept").select("row.*")
+
+
 EXACT_SQL = r"""
 WITH b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare, length(coalesce(text, '')) AS n FROM documents)
 SELECT doc_id,

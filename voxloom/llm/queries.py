@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, langid, neardup, packing, pii, quality, secrets, sharding
+from . import exact_dedup, html_extract, langid, mixing, neardup, packing, pii, quality, secrets, sharding
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +48,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(documents(spark, sf_dir)))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # counted as part of this subpackage; it imports the operators
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_sharding": op2_sharding, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup, "op5_language": op5_language, "op6_quality": op6_quality, "op7_neardup": op7_neardup, "op1_html": op1_html, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
+    return {"op2_sharding": op2_sharding, "op4_packing": op4_packing, "op8_exact_dedup": op8_exact_dedup, "op5_language": op5_language, "op6_quality": op6_quality, "op7_neardup": op7_neardup, "op1_html": op1_html, "op9_secrets": op9_secrets, "op10_pii": op10_pii, "op3_mixing": op3_mixing, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.SHARD_SQL, "op8_exact_dedup": exact_dedup.EXACT_SQL}
+    return {"op2_sharding": sharding.SHARD_SQL, "op8_exact_dedup": exact_dedup.EXACT_SQL, "op3_mixing": mixing.MIX_SQL}
