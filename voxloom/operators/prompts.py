@@ -14,7 +14,7 @@ from .components import components
 
 def lot() -> Column:
     """A cell's place in the draw: a multiplicative hash of its number."""
-    return (cell_id() * 2654435761) % 4294967296
+    return ((cell_id() % 1048573) * 2654435761) % 4294967296
 
 
 def sample(cells: DataFrame, n: int, by: list[str]) -> DataFrame:
@@ -23,7 +23,7 @@ def sample(cells: DataFrame, n: int, by: list[str]) -> DataFrame:
     return cells.withColumns({"lot": lot(), "cell": cell_id()}).withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("lot", "cell", "k")
 
 
-def sample_grid(cells: DataFrame, per_axis: int) -> DataFrame:
+def sample_grid(cells: DataFrame, per_axis: int = 2) -> DataFrame:
     """One cell of each label from each part of a grid over the label's box."""
     box = cells.where("label > 0").groupBy("img_id", "label").agg(*[f(a).alias(f"{a}_{n}") for a in AXES for n, f in (("low", F.min), ("high", F.max))])
     part = [F.expr(f"cast(({a} - {a}_low) * {per_axis} div ({a}_high - {a}_low + 1) as int)").alias(f"g{a}") for a in AXES]

@@ -329,7 +329,7 @@ QUERIES |= {
     "sample_random": (lambda s, d: P.sample(seg(s, d).where("label > 0").select(*KEY, "label"), 5, ["label"]), f"WITH {SEG}, s AS (SELECT {K}, label, {{lot}} AS lot, {{cell}} AS cell FROM seg WHERE label > 0) SELECT {K}, label FROM s QUALIFY row_number() OVER (PARTITION BY img_id, label ORDER BY lot, cell) <= 5"),
     "sample_grid": (
         lambda s, d: P.sample_grid(seg(s, d)),
-        f"WITH {SEG}, b AS (SELECT img_id, label, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM seg WHERE label > 0 GROUP BY ALL), s AS (SELECT {K}, label, (z - z0) * 2 // (z1 - z0 + 1) AS gz, (y - y0) * 2 // (y1 - y0 + 1) AS gy, (x - x0) * 2 // (x1 - x0 + 1) AS gx, {{lot}} AS lot, {{cell}} AS cell FROM seg JOIN b USING (img_id, label)) SELECT {K}, label FROM s QUALIFY row_number() OVER (PARTITION BY img_id, label, gz, gy, gx ORDER BY lot, cell) = 1".replace("* 2 //", "* 2 //"),
+        f"WITH {SEG}, b AS (SELECT img_id, label, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM seg WHERE label > 0 GROUP BY ALL), s AS (SELECT {K}, label, (z - z0) * 2 // (z1 - z0 + 1) AS gz, (y - y0) * 2 // (y1 - y0 + 1) AS gy, (x - x0) * 2 // (x1 - x0 + 1) AS gx, {{lot}} AS lot, {{cell}} AS cell FROM seg JOIN b USING (img_id, label)) SELECT {K}, label FROM s QUALIFY row_number() OVER (PARTITION BY img_id, label, gz, gy, gx ORDER BY lot, cell) = 1",
     ),
     "prompt_points": (lambda s, d: P.point_prompts(seg(s, d), "z", 3, 2), "{points} SELECT * FROM pts"),
     "prompt_bbox": (lambda s, d: P.box_prompts(segments(volumes(s, d), 150)), f"WITH RECURSIVE {VOLUMES}, {seg_sql('volumes', 150)}, {components('cc', f'SELECT {K}, label * 100 + z AS value FROM seg WHERE label > 0')} SELECT img_id, z AS slice, (value // 100)::INT AS class_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM cc GROUP BY img_id, z, value, root"),
@@ -343,7 +343,7 @@ QUERIES |= {
 }
 
 _CELL = "((z::BIGINT * 1048576 + y) * 1048576 + x)"
-_LOT = f"(({_CELL}::HUGEINT * 2654435761) % 4294967296)::BIGINT"
+_LOT = f"((({_CELL} % 1048573) * 2654435761) % 4294967296)"
 _POINTS = f"""WITH {SEG}, own AS (SELECT *, label AS class_id FROM seg WHERE label > 0), cl AS (SELECT DISTINCT img_id, z, class_id FROM own),
 yes AS (SELECT img_id, z, y, x, class_id FROM own QUALIFY row_number() OVER (PARTITION BY img_id, z, class_id ORDER BY {_LOT}, {_CELL}) <= 3),
 oth AS (SELECT seg.img_id, seg.z, y, x, cl.class_id FROM seg JOIN cl ON cl.img_id = seg.img_id AND cl.z = seg.z WHERE label > 0 AND label <> cl.class_id),
