@@ -3,8 +3,9 @@
 Fixed patterns find the protected entities: addresses, numbers and the like. A term near an entity reveals it as far as it
 tells which entity is meant: the share of the entity's information, -log2 p(e), that the term gives away is its pointwise
 mutual information with the entity divided by that. Probabilities are counts of documents over the whole corpus. Terms
-that give away more than DISCLOSED, seen with the entity in at least SUPPORT different surroundings (copies of a
-passage are one surrounding), are spans to generalise or remove wherever they stand in a document of that entity.
+that give away more than DISCLOSED, seen near the entity behind at least SUPPORT different words and before as many
+(copies of a passage, near copies too, keep a term's company), are spans to generalise or remove wherever they stand in a
+document of that entity.
 
 Built-in functions only. One pass finds the entities and their surroundings, with no shuffle of texts; counts of terms are
 combined before the shuffle. Every pattern is read in one direction without going back, so very long texts are linear.
@@ -19,7 +20,7 @@ from .common import written
 
 #: Characters on each side of an entity that count as its surroundings.
 NEAR = 80
-#: Different surroundings in which a term must be seen with an entity, and the share of its information that may be given away.
+#: Different words that must be seen on either side of a term near an entity, and the share of its information that may be given away.
 SUPPORT, DISCLOSED = 3, 0.8
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -104,10 +105,12 @@ def entities(text: Column) -> Column:
 def revealing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, disclosed) of the terms that give away too much; found: doc, entities; docs: doc, text."""
     seen = found.select("doc", F.explode("entities").alias("e")).select("doc", F.concat_ws(":", "e.kind", "e.value").alias("entity"), "e.before", "e.after")
-    surroundings = seen.select("doc", "entity", F.lower(F.concat_ws(" \x02 ", "before", "after")).alias("near"))
-    terms = F.filter(F.array_distinct(F.split("near", r"[^\p{L}]+")), lambda t: F.length(t) > 2)
-    pairs = surroundings.select("doc", "entity", F.xxhash64("near").alias("near"), F.explode(terms).alias("term"))
-    together = pairs.groupBy("entity", "term").agg(F.countDistinct("near").alias("support"), F.countDistinct("doc").alias("n_both")).where(F.col("support") >= SUPPORT)
+    words = F.filter(F.split(F.lower(F.concat_ws(" \x02 ", "before", "after")), r"[^\p{L}]+"), lambda t: t != "")
+    company = lambda t, i: F.struct(t.alias("term"), F.get("words", i - 1).alias("left"), F.get("words", i + 1).alias("right"))
+    near = seen.select("doc", "entity", words.alias("words")).select("doc", "entity", F.explode(F.transform("words", company)).alias("t"))
+    pairs = near.select("doc", "entity", "t.*").where(F.length("term") > 2)
+    together = pairs.groupBy("entity", "term").agg(F.least(F.countDistinct("left"), F.countDistinct("right")).alias("support"), F.countDistinct("doc").alias("n_both")).where(F.col("support") >= SUPPORT)
+    together = written(together, "together")
     if not together.take(1):
         return together.select("entity", "term", F.lit(0.0).alias("disclosed"))
     n = docs.count()
@@ -131,7 +134,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     short = F.transform("entities", lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value")))
     base = found.select("doc_id", "doc", short.alias("spans"))
 
-    terms = revealing(found.where(F.size("entities") > 0), rows)
+    terms = written(revealing(found.where(F.size("entities") > 0), rows), "terms")
     held = found.select("doc", F.explode("entities").alias("e")).select("doc", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct()
     wanted = held.join(terms, "entity").groupBy("doc").agg(F.collect_set("term").alias("terms"))
     if not terms.take(1):
