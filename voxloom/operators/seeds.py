@@ -112,3 +112,59 @@ def descendants(lineage: DataFrame, steps: int) -> DataFrame:
         more = lineage.select("img_id", F.col("parent").alias("child"), F.col("child").alias("next"))
         at = at.join(more, ["img_id", "child"], "left").select("img_id", "root", F.coalesce("next", "child").alias("child"))
     return at.distinct().select("img_id", "root", F.col("child").alias("leaf"))
+
+
+def adaptive_by_threshold(cells: DataFrame, lows: list[int], erosions: int = 0, top: int | None = None, share: float = 0.0, total: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """As adaptive(), with rising thresholds in place of erosions; each mask is eroded `erosions` times."""
+    from .cells import reorder
+    from .components import written
+
+    def left(low: int) -> DataFrame:
+        far = city_block(cells.withColumn("on", F.col("v") >= low), "on", "d")
+        return written(relabelled(components(far.where(F.col("d") > erosions)), top), "seeds")
+
+    at, lineage = left(lows[0]), None
+    for k, low in enumerate(lows[1:], 1):
+        children = left(low)
+        rule = written(split_rule(at, children, share, total), "splits")
+        steps = rule.where("chosen").select(F.lit(k).alias("step"), "img_id", "parent", F.col("to").alias("child"), "share")
+        lineage = steps if lineage is None else lineage.unionByName(steps)
+        at = written(split_step(at, children, share, total), "seeds")
+    return reorder(at), lineage
+
+
+def grid(cells: DataFrame, lows: list[int], footprints: list[str], top: int) -> DataFrame:
+    """img_id, low, footprint, rank, size after one erosion by each footprint: the grid is a union of plans over one scan."""
+    out = None
+    for name in footprints:
+        for low in lows:
+            on = erode(cells.withColumn("on", F.col("v") >= low), name)
+            size = relabelled(components(on.where("on")), top).groupBy("img_id", F.col("label").alias("rank")).agg(F.count("*").alias("size"))
+            size = size.select("img_id", F.lit(low).alias("low"), F.lit(name).alias("footprint"), "rank", "size")
+            out = size if out is None else out.unionByName(size)
+    return out
+
+
+def plot_series(log: DataFrame) -> DataFrame:
+    """One point for each threshold and erosion: series `volume` (cells kept) and `components` (how many)."""
+    point = lambda name, column: log.select("img_id", F.lit(name).alias("series"), "low", "erosion", F.col(column).cast("long").alias("value"))
+    return point("volume", "cells").unionByName(point("components", "n_components"))
+
+
+def bounti(cells: DataFrame, start: int, target: int, rounds: int, top: int) -> DataFrame:
+    """Seeds above `start`; then thresholds fall evenly to target, and each label in turn takes all that is connected by faces to its first cell through free cells above the threshold."""
+    from .components import onto, written
+
+    at = written(cells.select(*KEY, "v").join(onto(cells, relabelled(components(cells.where(F.col("v") > start)), top)), KEY), "bounti")
+    for i in range(1, rounds + 1):
+        low = start - (start - target) * i // rounds
+        for j in range(1, top + 1):
+            own = F.col("label") == j
+            parts = components(at.where(own | ((F.col("label") == 0) & (F.col("v") > low))), 1)
+            marked = parts.join(at.where(own).select(*KEY), KEY)
+            first = marked.groupBy("img_id").agg(F.min_by("root", F.struct(*KEY[1:])).alias("root"))
+            taken = parts.join(first, ["img_id", "root"]).select(*KEY, F.lit(j).alias("to"))
+            # A label keeps only what hangs together with its first cell.
+            at = at.join(taken, KEY, "left").select(*KEY, "v", F.when(F.col("to").isNotNull(), F.col("to")).when(own, 0).otherwise(F.col("label")).cast("int").alias("label"))
+            at = written(at, "bounti")
+    return at.select(*KEY, "label")

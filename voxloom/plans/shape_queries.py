@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import KEY, photos, segments, volumes
 from ..operators import cells as C
 from ..operators import components as CC
+from ..operators import distance as D
 from ..operators import grow as G
 from ..operators import holes as H
 from ..operators import morphology as M
@@ -367,3 +368,30 @@ QUERIES |= {
     "compose_priority": (lambda s, d: P.compose(votes(s, d), _ORDER, last=True), f"WITH {_VOTES} SELECT {K}, arg_max(label, list_position({_ORDER}, label)) AS label FROM votes WHERE label > 0 GROUP BY {K}"),
     "paint_lowest": (lambda s, d: P.paint_lowest(votes(s, d).where("label > 0").withColumnRenamed("label", "class_id")), f"WITH {_VOTES} SELECT {K}, min(label) AS label FROM votes WHERE label > 0 GROUP BY {K}"),
 }
+
+
+def _grid_sql() -> str:
+    """One erosion by each footprint at each threshold; value tells the cases apart."""
+    cases = [(low, name) for name in ("ball", "ball_XY") for low in (60, 100)]
+    ctes, union = [], []
+    for i, (low, name) in enumerate(cases):
+        ctes.append(shifted(f"t{i}", "volumes", f"v >= {low}", along(M.FOOTPRINTS[name][0]), A))
+        union.append(f"SELECT {K}, {i} AS value FROM t{i} WHERE hit")
+    rank = "rk AS (SELECT img_id, value, size, row_number() OVER (PARTITION BY img_id, value ORDER BY size DESC, root) AS rank FROM (SELECT img_id, value, root, count(*) AS size FROM cc GROUP BY ALL))"
+    return f"WITH RECURSIVE {VOLUMES}, {', '.join(ctes)}, {components('cc', ' UNION ALL '.join(union))}, {rank} SELECT img_id, ({[c[0] for c in cases]})[value + 1] AS low, ({[c[1] for c in cases]})[value + 1] AS footprint, rank::INT AS rank, size FROM rk WHERE rank <= 6"
+
+
+_NEAREST = f"SELECT p.img_id, p.z, p.y, p.x, coalesce(min((p.z - q.z) * (p.z - q.z) + (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)), 1099511627776)::BIGINT AS d FROM volumes p LEFT JOIN (SELECT * FROM volumes WHERE v < 60) q ON q.img_id = p.img_id GROUP BY ALL"
+QUERIES |= {
+    "seed_grid": (lambda s, d: S.grid(volumes(s, d), [60, 100], ["ball", "ball_XY"], 6), _grid_sql()),
+    "seed_plot_series": (
+        lambda s, d: S.plot_series(S.seed_log(S.sweep(volumes(s, d), [100, 140], 1, 10))),
+        _sweep_sql([100, 140], 1, 10, f", lg AS ({_LOG}) SELECT img_id, 'volume' AS series, low, erosion, cells AS value FROM lg UNION ALL SELECT img_id, 'components', low, erosion, n_components FROM lg").replace(" , lg", ", lg"),
+    ),
+    "adaptive_thre": (lambda s, d: S.adaptive_by_threshold(volumes(s, d), [170, 190, 210], 0, 12)[0], None),
+    "bounti": (lambda s, d: S.bounti(volumes(s, d), 215, 185, 2, 2), None),
+    "distance_squared": (lambda s, d: D.squared_distance(mask(s, d, 60)), f"WITH {VOLUMES} {_NEAREST}"),
+    "edt_center": (lambda s, d: D.centres(mask(s, d, 60)), f"WITH {VOLUMES}, n AS ({_NEAREST}) SELECT img_id, z, y, x, d FROM n WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY d DESC, z, y, x) = 1"),
+    "edge_band": (lambda s, d: D.squared_distance(mask(s, d, 60)).where("d > 0 and d < 9"), f"WITH {VOLUMES}, n AS ({_NEAREST}) SELECT * FROM n WHERE d > 0 AND d < 9"),
+    "convex_hull": (lambda s, d: D.hulls(segments(volumes(s, d), 150)), None),
+}
