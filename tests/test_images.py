@@ -149,3 +149,30 @@ def test_components_dont_depend_on_partitions(spark):
 def test_offsets():
     assert [len(cc.offsets(k)) for k in (1, 2, 3)] == [6, 18, 26]
     assert len(set(itertools.chain(cc.offsets(3)))) == 26
+
+
+def test_distances_and_hulls(spark):
+    from voxloom.operators import distance
+
+    mask = np.random.default_rng(11).random((3, 6, 7)) < 0.85
+    off = np.argwhere(~mask)
+    want = {at: int(((off - np.array(at)) ** 2).sum(1).min()) for at in np.ndindex(mask.shape)}
+    df = table(spark, mask.astype(int)).withColumn("on", F.col("v") == 1)
+    assert {(r.z, r.y, r.x): r.d for r in distance.squared_distance(df).collect()} == want
+    label = np.zeros((1, 6, 6), int)
+    label[0, 1:5, 1:4] = 1  # 3 x 2 between centres
+    label[0, 0, :] = 2  # flat
+    assert {r.label: r.area2 for r in distance.hulls(table(spark, label, "label")).collect()} == {1: 12, 2: 0}
+
+
+def test_descending_thresholds_stay_connected(spark):
+    v = np.array([[[9, 9, 5, 0, 5, 9, 5, 0, 5]]])
+    got = volume(seeds.bounti(table(spark, v), 8, 4, 1, 2), v.shape, "label")
+    assert got.tolist() == [[[1, 1, 1, 0, 2, 2, 2, 0, 0]]]
+
+
+def test_adaptive_by_threshold(spark):
+    v = np.array([[[9, 9, 5, 9, 9, 0, 6, 6]]])
+    out, lineage = seeds.adaptive_by_threshold(table(spark, v), [4, 8])
+    sizes = sorted(r["count"] for r in out.groupBy("label").count().collect())
+    assert sizes == [2, 2, 2] and lineage.count() == 2
