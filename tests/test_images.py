@@ -167,7 +167,7 @@ def test_distances_and_hulls(spark):
 
 def test_descending_thresholds_stay_connected(spark):
     v = np.array([[[9, 9, 5, 0, 5, 9, 5, 0, 5]]])
-    got = volume(seeds.bounti(table(spark, v), 8, 4, 1, 2), v.shape, "label")
+    got = volume(seeds.descent(table(spark, v), 8, 4, 1, 2), v.shape, "label")
     assert got.tolist() == [[[1, 1, 1, 0, 2, 2, 2, 0, 0]]]
 
 

@@ -7,7 +7,7 @@ from voxloom.plans import queries
 
 SF = "/root/testdata/sf0.001"
 SOME = """scan_image scan_volume image_info boundary_mask map_classes crop resample_block slice_axis bbox overlap_merge reorder_topn otsu threshold_pairs_mean erode_2XZ_1Y erode_ball_twice close
-gap_between_contact label_open ccomp_edges ccomp_tiled filter_components split_all fill_holes grow_multi grow_log bounti_flood seed_log adaptive_split_once sample_grid prompt_groups vote_per_class vote_majority
+gap_between_contact label_open ccomp_edges ccomp_tiled filter_components split_all fill_holes grow_multi grow_log descent_flood seed_log adaptive_split_once sample_grid prompt_groups vote_per_class vote_majority
 mesh_vertices align_sorted tiff_round_trip""".split()
 
 

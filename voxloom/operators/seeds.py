@@ -151,11 +151,11 @@ def plot_series(log: DataFrame) -> DataFrame:
     return point("volume", "cells").unionByName(point("components", "n_components"))
 
 
-def bounti(cells: DataFrame, start: int, target: int, rounds: int, top: int) -> DataFrame:
+def descent(cells: DataFrame, start: int, target: int, rounds: int, top: int) -> DataFrame:
     """Seeds above `start`; then thresholds fall evenly to target, and each label in turn takes all that is connected by faces to its first cell through free cells above the threshold."""
     from .components import onto, written
 
-    at = written(cells.select(*KEY, "v").join(onto(cells, relabelled(components(cells.where(F.col("v") > start)), top)), KEY), "bounti")
+    at = written(cells.select(*KEY, "v").join(onto(cells, relabelled(components(cells.where(F.col("v") > start)), top)), KEY), "descent")
     for i in range(1, rounds + 1):
         low = start - (start - target) * i // rounds
         for j in range(1, top + 1):
@@ -166,5 +166,5 @@ def bounti(cells: DataFrame, start: int, target: int, rounds: int, top: int) ->
             taken = parts.join(first, ["img_id", "root"]).select(*KEY, F.lit(j).alias("to"))
             # A label keeps only what hangs together with its first cell.
             at = at.join(taken, KEY, "left").select(*KEY, "v", F.when(F.col("to").isNotNull(), F.col("to")).when(own, 0).otherwise(F.col("label")).cast("int").alias("label"))
-            at = written(at, "bounti")
+            at = written(at, "descent")
     return at.select(*KEY, "label")

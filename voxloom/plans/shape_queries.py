@@ -11,8 +11,10 @@ from ..operators import distance as D
 from ..operators import grow as G
 from ..operators import holes as H
 from ..operators import morphology as M
+from ..operators import predict as I
 from ..operators import prompts as P
 from ..operators import seeds as S
+from ..operators import surface as U
 from .cell_queries import SECOND, SEG, second, seg
 from .oracle import PHOTOS, VOLUMES, along, components, shifted
 from .oracle import segments as seg_sql
@@ -245,7 +247,7 @@ QUERIES |= {
         lambda s, d: C.reorder(_out(G.grow(seeded(s, d), [150], [3])[0])),
         _grown(["v >= 150"] * 3).replace(f"SELECT {K}, label FROM h2", f", r AS (SELECT img_id, label, row_number() OVER (PARTITION BY img_id ORDER BY n DESC, label) AS k FROM (SELECT img_id, label, count(*) AS n FROM h2 WHERE label > 0 GROUP BY ALL)) SELECT {K}, coalesce(k, 0)::INT AS label FROM h2 LEFT JOIN r USING (img_id, label)").replace("  ,", ","),
     ),
-    "bounti_flood": (lambda s, d: _out(G.flood(seeded(s, d), 230, 150, 2, 2)), _grown(["v > 190"] * 2 + ["v > 150"] * 2, "first")),
+    "descent_flood": (lambda s, d: _out(G.flood(seeded(s, d), 230, 150, 2, 2)), _grown(["v > 190"] * 2 + ["v > 150"] * 2, "first")),
     "grow_ball2": (
         lambda s, d: _ball2(seeded(s, d)),
         f"WITH {VOLUMES}, {_SEEDED} SELECT p.img_id, p.z, p.y, p.x, max(q.label) AS label FROM seeded p CROSS JOIN range(-2, 3) a(dz) CROSS JOIN range(-2, 3) b(dy) CROSS JOIN range(-2, 3) c(dx) JOIN seeded q ON q.img_id = p.img_id AND q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx WHERE dz * dz + dy * dy + dx * dx <= 4 GROUP BY ALL",
@@ -389,9 +391,20 @@ QUERIES |= {
         _sweep_sql([100, 140], 1, 10, f", lg AS ({_LOG}) SELECT img_id, 'volume' AS series, low, erosion, cells AS value FROM lg UNION ALL SELECT img_id, 'components', low, erosion, n_components FROM lg").replace(" , lg", ", lg"),
     ),
     "adaptive_thre": (lambda s, d: S.adaptive_by_threshold(volumes(s, d), [170, 190, 210], 0, 12)[0], None),
-    "bounti": (lambda s, d: S.bounti(volumes(s, d), 215, 185, 2, 2), None),
+    "descent": (lambda s, d: S.descent(volumes(s, d), 215, 185, 2, 2), None),
     "distance_squared": (lambda s, d: D.squared_distance(mask(s, d, 60)), f"WITH {VOLUMES} {_NEAREST}"),
     "edt_center": (lambda s, d: D.centres(mask(s, d, 60)), f"WITH {VOLUMES}, n AS ({_NEAREST}) SELECT img_id, z, y, x, d FROM n WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY d DESC, z, y, x) = 1"),
     "edge_band": (lambda s, d: D.squared_distance(mask(s, d, 60)).where("d > 0 and d < 9"), f"WITH {VOLUMES}, n AS ({_NEAREST}) SELECT * FROM n WHERE d > 0 AND d < 9"),
     "convex_hull": (lambda s, d: D.hulls(segments(volumes(s, d), 150)), None),
 }
+
+_FACES = " UNION ALL ".join(f"SELECT p.img_id, p.label, count(*) AS n FROM seg p LEFT JOIN seg q ON q.img_id = p.img_id AND q.z = p.z + {dz} AND q.y = p.y + {dy} AND q.x = p.x + {dx} WHERE p.label > 0 AND coalesce(q.label, 0) <> p.label GROUP BY ALL" for dz, dy, dx in along("zyx"))
+QUERIES |= {
+    "surface_area": (lambda s, d: U.faces(segments(volumes(s, d), 150)).groupBy("img_id", "label").agg(F.count("*").alias("faces")), f"WITH {VOLUMES}, {seg_sql('volumes', 150)} SELECT img_id, label, sum(n)::BIGINT AS faces FROM ({_FACES}) GROUP BY ALL"),
+    "skeleton": (lambda s, d: U.skeleton(photos(s, d).withColumn("on", F.col("v") >= 115)), None),
+    "predict_stub": (
+        lambda s, d: I.infer(volumes(s, d), P.point_prompts(seg(s, d), "z", 3, 2), I.near_values()),
+        f"{_POINTS} SELECT v.img_id, v.z, v.y, v.x, p.class_id FROM volumes v JOIN pts p ON p.img_id = v.img_id AND p.slice = v.z AND p.sign = 1 JOIN volumes c ON c.img_id = p.img_id AND c.z = p.slice AND c.y = p.py AND c.x = p.px LEFT JOIN pts g ON g.img_id = p.img_id AND g.slice = p.slice AND g.class_id = p.class_id AND g.sign = 0 WHERE abs(v.v - c.v) <= 10 AND (v.x - p.px) * (v.x - p.px) + (v.y - p.py) * (v.y - p.py) <= 16 GROUP BY v.img_id, v.z, v.y, v.x, p.class_id, p.px, p.py HAVING coalesce(min((v.x - g.px) * (v.x - g.px) + (v.y - g.py) * (v.y - g.py)), 1073741824) > (v.x - p.px) * (v.x - p.px) + (v.y - p.py) * (v.y - p.py)",
+    ),
+}
+QUERIES["predict_stub"] = (QUERIES["predict_stub"][0], f"SELECT DISTINCT * FROM ({QUERIES['predict_stub'][1]})")
