@@ -18,7 +18,7 @@ def _names(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet")
     name = F.concat(F.lpad(F.col("s_suppkey").cast("string"), 5, "0"), F.lit("_"), F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]", "")))
     images = s.select(F.col("s_nationkey").alias("folder"), F.concat(name, F.lit(".tif")).alias("name"))
-    others = s.where("s_suppkey % 3 <> 0").select(F.col("s_nationkey").alias("folder"), F.concat(F.lit("seg_"), name, F.lit("_final.tif")).alias("name"))
+    others = s.where("s_acctbal > 0").select(F.col("s_nationkey").alias("folder"), F.concat(F.lit("seg_"), name, F.lit("_final.tif")).alias("name"))
     return images, others
 
 
@@ -54,10 +54,10 @@ def _prompt_json(spark, sf):
 
 
 QUERIES = {
-    "align_exact": (lambda s, d: N.align_exact(*_names(s, d), "seg_", "_final"), f"SELECT {_NAME} AS key, {_NAME} || '.tif' AS image, 'seg_' || {_NAME} || '_final.tif' AS other FROM supplier WHERE s_suppkey % 3 <> 0"),
+    "align_exact": (lambda s, d: N.align_exact(*_names(s, d), "seg_", "_final"), f"SELECT {_NAME} AS key, {_NAME} || '.tif' AS image, 'seg_' || {_NAME} || '_final.tif' AS other FROM supplier WHERE s_acctbal > 0"),
     "align_sorted": (
         lambda s, d: N.align_sorted(*_names(s, d), "folder"),
-        f"WITH a AS (SELECT s_nationkey AS folder, {_NAME} || '.tif' AS image, row_number() OVER (PARTITION BY s_nationkey ORDER BY {_NAME}) AS k FROM supplier), b AS (SELECT s_nationkey AS folder, 'seg_' || {_NAME} || '_final.tif' AS other, row_number() OVER (PARTITION BY s_nationkey ORDER BY {_NAME}) AS k FROM supplier WHERE s_suppkey % 3 <> 0) SELECT * FROM a JOIN b USING (folder, k)",
+        f"WITH a AS (SELECT s_nationkey AS folder, {_NAME} || '.tif' AS image, row_number() OVER (PARTITION BY s_nationkey ORDER BY {_NAME}) AS k FROM supplier), b AS (SELECT s_nationkey AS folder, 'seg_' || {_NAME} || '_final.tif' AS other, row_number() OVER (PARTITION BY s_nationkey ORDER BY {_NAME}) AS k FROM supplier WHERE s_acctbal > 0) SELECT * FROM a JOIN b USING (folder, k)",
     ),
     "batch_manifest": (_manifest, "SELECT p_brand, count(DISTINCT p_size)::INT AS n, min(p_size) AS low, max(p_size) AS high FROM part GROUP BY p_brand"),
     "tiff_round_trip": (_round_trip, f"WITH {SEG} SELECT {K}, label FROM seg"),
