@@ -28,6 +28,8 @@ from .common import mixed, slices, words
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of each language to learn from, about.
 PER_LANGUAGE = 400
+#: Languages to learn, those with the most documents: bounds the model and what reaches the driver.
+LANGUAGES = 256
 ROUNDS = 4
 LONGEST_PIECE = 7
 #: Longer runs of letters are cut into words of so many characters.
@@ -195,7 +197,8 @@ def training_rows(id_col: Column) -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages in lang_col, from documents that are not held out. Null languages and texts teach nothing."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & training_rows(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()], F.lit(0.0))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
 

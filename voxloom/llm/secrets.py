@@ -35,13 +35,13 @@ ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
-_MAY_HAVE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _KEYWORD = re.compile(r"pass(?:word|wd|phrase)?$|secret|token|api|key$|credential|auth|pwd", re.I)
 _VALUE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
-#: Words of letters with usual marks around them; their features come from length, case and spelling alone.
-_PLAIN = r"^[\"'(]*(?:\pL\p{Ll}{0,23}|\p{Lu}{2,24})[.,;:!?\"')]*$"
+#: Marks around a word that are no part of it.
+_MARKS = "\"'`.,;:!?()[]{}<>*#$%&|~^\\"
+#: Words of letters between such marks; their features come from length, case and marks alone.
+_PLAIN = r"^(?:\pL\p{Ll}{0,23}|\p{Lu}{2,24})$"
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -66,19 +66,18 @@ WIDTH = len(OWN) + 2 * len(NEAR) + len(FILE)
 
 
 def own_features(word: str) -> np.ndarray:
-    core = word.strip("\"'`.,;:!?()[]{}<>")
+    core = word.strip(_MARKS)
     tail = re.split(r"[:=]", core)[-1] if re.search(r"[A-Za-z0-9][:=]", core) else core
     n = len(tail)
     digits, lower, upper = (sum(map(f, tail)) for f in (str.isdigit, str.islower, str.isupper))
     kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "x" for c in tail]
     turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    counts = Counter(tail)
-    entropy = -sum(v / n * math.log2(v / n) for v in counts.values()) if n else 0
+    entropy = -sum(v / n * math.log2(v / n) for v in Counter(tail).values()) if n >= 10 and digits else 0
     return np.array(
         [
             1, n >= 8, n >= 12, n >= 16, n >= 20, n >= 32, lower > 0, upper > 0, digits > 0, digits == n > 0, n > 0 and 2 * digits >= n, lower > 0 and upper > 1,
-            digits > 1 and lower > 0, digits > 1 and upper > 1, digits > 0 and digits + upper == n > 8, n >= 16 and re.fullmatch("[0-9a-f]+", tail) is not None and digits < n,
-            turns >= 4, turns >= 8, n >= 10 and entropy > 0.8 * math.log2(min(n, 40)), tail != core, word[:1] in "\"'`" and n >= 6, "." in tail, "@" in word, "+" in tail or "/" in tail, "-" in tail or "_" in tail,
+            digits > 1 and lower > 0, digits > 1 and upper > 1, digits > 0 and digits + upper == n > 8, n >= 16 and 0 < digits < n and re.fullmatch("[0-9a-f]+", tail) is not None,
+            turns >= 4, turns >= 8, n >= 10 and digits > 0 and entropy > 0.8 * math.log2(min(n, 40)), tail != core, word[:1] in "\"'`" and n >= 6, "." in tail, "@" in word, "+" in tail or "/" in tail, "-" in tail or "_" in tail,
             bool(_VALUE.search(tail)), bool(_KEYWORD.search(core.split("=")[0].split(":")[0])), sum(not c.isalnum() for c in word) > 2, any(c.isalpha() and c > "\x7f" for c in tail),
         ],
         np.float32,
@@ -86,7 +85,7 @@ def own_features(word: str) -> np.ndarray:
 
 
 def near_features(word: str) -> np.ndarray:
-    core = word.strip("\"'`.,;!?()[]{}<>")
+    core = word.strip(_MARKS.replace(":", ""))
     return np.array([bool(_KEYWORD.search(core.rstrip(":="))), core in ("=", ":", ":=", "=>"), core[-1:] in ("=", ":"), word[:1] in "\"'`" and len(core) >= 6, 0], np.float32)
 
 
@@ -104,21 +103,24 @@ class Slice:
     own: np.ndarray
     near: np.ndarray
     file: np.ndarray
+    may: np.ndarray  # distinct words that a base pattern could begin in
 
     @classmethod
     def of(cls, texts: pa.Array) -> Slice:
         codes, tokens, starts = words(texts)
         column = pa.array(tokens, pa.string())
-        plain = pc.match_substring_regex(column, _PLAIN).to_numpy(zero_copy_only=False)
-        keyed = pc.match_substring_regex(column, "(?i)pass|pwd|secret|token|api|key|credential|auth").to_numpy(zero_copy_only=False)
-        size = pc.utf8_length(column).to_numpy(zero_copy_only=False)
-        capital = pc.match_substring_regex(column, r"\p{Lu}").to_numpy(zero_copy_only=False)
-        shout = pc.match_substring_regex(column, r"\p{Lu}{2}").to_numpy(zero_copy_only=False)
-        accent = pc.match_substring_regex(column, r"[^\x00-\x7f]").to_numpy(zero_copy_only=False)
+        core = pc.utf8_trim(column, _MARKS)
+        flag = lambda x: x.to_numpy(zero_copy_only=False)
+        plain = flag(pc.match_substring_regex(core, _PLAIN))
+        keyed = flag(pc.match_substring_regex(core, "(?i)pass|pwd|secret|token|api|key|credential|auth"))
+        size, inner = flag(pc.utf8_length(column)), flag(pc.utf8_length(core))
+        capital, accent = flag(pc.not_equal(pc.utf8_lower(core), core)), flag(pc.binary_length(core)) > inner
+        shout = capital & flag(pc.equal(pc.utf8_upper(core), core)) & (inner > 1)
+        quoted = flag(pc.match_substring_regex(column, "^[\"'`]"))
         own, near = np.zeros((len(tokens), len(OWN)), np.float32), np.zeros((len(tokens), len(NEAR)), np.float32)
         # The plain words fall into a few cases: one word of each is looked at.
         odd = ~plain | keyed
-        case = np.where(odd, -1, np.minimum(size, 40) * 8 + capital * 4 + shout * 2 + accent)
+        case = np.where(odd, -1, inner * 32 + (size - inner > 2) * 16 + quoted * 8 + capital * 4 + shout * 2 + accent)
         for c in np.unique(case[~odd]):
             at = np.flatnonzero(case == c)
             own[at], near[at] = own_features(tokens[at[0]]), near_features(tokens[at[0]])
@@ -127,9 +129,9 @@ class Slice:
         n = np.maximum(np.diff(starts), 1)
         sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v[codes])])[starts])
         digit, keyword = own[:, OWN.index("digit")], own[:, OWN.index("keyword")]
-        code_like = pc.match_substring_regex(pc.fill_null(texts, ""), r"[{};]\s*\n").to_numpy(zero_copy_only=False)
+        code_like = flag(pc.match_substring(pc.fill_null(texts, ""), ";\n"))
         file = np.stack([sums(digit) > 0.1 * n, sums(keyword) > 0, n < 50, code_like], axis=1).astype(np.float32)
-        return cls(codes, tokens, starts, own, near, file)
+        return cls(codes, tokens, starts, own, near, file, keyed | (inner >= 20))
 
     def at(self, i: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Features of the words i of texts `text`."""
@@ -313,7 +315,7 @@ def scan(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFr
             for part in slices(batch, "text"):
                 column = part.column("text")
                 s = Slice.of(column)
-                may = pc.match_substring_regex(pa.array(s.tokens, pa.string()), _MAY_HAVE).to_numpy(zero_copy_only=False)
+                may = s.may
                 text_of = np.repeat(np.arange(part.num_rows), np.diff(s.starts))
                 tagged: dict[int, list[tuple[int, int]]] = {}
                 for k, a, b in f.secrets(f.emissions(s), s.starts) if f is not None and len(s.codes) else []:
