@@ -3,7 +3,7 @@
 The patterns give the base spans. The field tags the words of a text as begin, inside or outside of a secret, from each
 word's shape, its two neighbours and the document's own make-up; it learns by maximum likelihood, with the base spans of
 a bounded sample of documents as labels, so that it finds what is like them beyond the patterns' letters. Decoding is
-Viterbi's, exact but short: where a word's lead for "outside" exceeds all that two transitions can change, every best
+Viterbi's, exact but short: where a word's lead for "outside" exceeds all that the two moves around it can change, every best
 path passes "outside" there, and only the words between such points need a table. Texts stay where they lie; no shuffle.
 """
 
@@ -180,8 +180,10 @@ class Field:
 
     def secrets(self, e: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, first word, last word + 1) of the tagged runs on the best path of each text."""
-        slack = 2 * (self.moves.max() - self.moves.min())
-        open_ = np.flatnonzero(e[:, OUTSIDE] - e[:, 1:].max(1) <= slack)
+        t = self.moves
+        # What "outside" in place of tag k can cost at most in the two moves around it.
+        slack = [-min(0, (t[:, OUTSIDE] - t[:, k]).min()) - min(0, (t[OUTSIDE] - t[k]).min()) for k in (BEGIN, INSIDE)]
+        open_ = np.flatnonzero((e[:, OUTSIDE] - e[:, BEGIN] <= slack[0]) | (e[:, OUTSIDE] - e[:, INSIDE] <= slack[1]))
         if not len(open_):
             return []
         text = np.searchsorted(starts, open_, "right") - 1
