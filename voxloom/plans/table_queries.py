@@ -10,6 +10,7 @@ from ..sources import manifests as N
 from ..sources import tiff
 from .cell_queries import SEG, seg
 from .oracle import VOLUMES
+from .shape_queries import _POINTS
 
 K = "img_id, z, y, x"
 
@@ -48,7 +49,7 @@ def _round_trip(spark, sf):
 
 
 def _prompt_json(spark, sf):
-    points = P.point_prompts(seg(spark, sf), "z", 2, 1)
+    points = P.point_prompts(seg(spark, sf), "z", 3, 2)
     text = F.to_json(F.struct(F.array("px", "py").alias("point"), F.col("sign").alias("label"), F.concat(F.lit("class_"), F.col("class_id").cast("string")).alias("name")))
     return points.select("img_id", "slice", text.alias("prompt"))
 
@@ -61,6 +62,6 @@ QUERIES = {
     ),
     "batch_manifest": (_manifest, "SELECT p_brand, count(DISTINCT p_size)::INT AS n, min(p_size) AS low, max(p_size) AS high FROM part GROUP BY p_brand"),
     "tiff_round_trip": (_round_trip, f"WITH {SEG} SELECT {K}, label FROM seg"),
-    "prompt_json": (_prompt_json, None),
+    "prompt_json": (_prompt_json, f"""{_POINTS} SELECT img_id, slice, '{{"point":[' || px || ',' || py || '],"label":' || sign || ',"name":"class_' || class_id || '"}}' AS prompt FROM pts"""),
     "id_chunks": (lambda s, d: volumes(s, d).where("v > 0").select(*KEY, F.ceil(F.col("v") / 25).cast("int").alias("chunk")), f"WITH {VOLUMES} SELECT {K}, ceil(v / 25.0)::INT AS chunk FROM volumes WHERE v > 0"),
 }
