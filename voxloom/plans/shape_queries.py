@@ -408,3 +408,31 @@ QUERIES |= {
     ),
 }
 QUERIES["predict_stub"] = (QUERIES["predict_stub"][0], f"SELECT DISTINCT * FROM ({QUERIES['predict_stub'][1]})")
+
+
+def _split_sql(i: int, pa: str, ch: str) -> str:
+    """CTEs of one step of adaptive splitting without limits; at{i} has the new labels, nu{i} the splits."""
+    return f"""sz{i} AS (SELECT img_id, label AS parent, count(*) AS size FROM {pa} GROUP BY ALL),
+ov{i} AS (SELECT p.img_id, p.label AS parent, c.label AS child FROM {pa} p JOIN {ch} c USING ({K}) GROUP BY ALL),
+ru{i} AS (SELECT * FROM ov{i} QUALIFY count(*) OVER (PARTITION BY img_id, parent) >= 2), mx{i} AS (SELECT img_id, max(label) AS most FROM {pa} GROUP BY img_id),
+nu{i} AS MATERIALIZED (SELECT img_id, parent, child, (most + row_number() OVER (PARTITION BY img_id ORDER BY parent, child))::INT AS dst FROM ru{i} JOIN mx{i} USING (img_id)),
+kp{i} AS (SELECT {K}, label FROM {pa} ANTI JOIN (SELECT DISTINCT img_id, parent AS label FROM nu{i}) g USING (img_id, label)),
+fr{i} AS (SELECT c.img_id, c.z, c.y, c.x, max(dst) AS dst FROM {ch} c JOIN nu{i} n ON n.img_id = c.img_id AND n.child = c.label GROUP BY ALL),
+at{i} AS MATERIALIZED (SELECT {K}, coalesce(dst, label)::INT AS label FROM kp{i} FULL JOIN fr{i} USING ({K}))"""
+
+
+def _levels(masks: list[str], top: int) -> str:
+    """CTEs le0, le1, ...: the `top` largest components of each mask (a query of cells), by size."""
+    union = " UNION ALL ".join(f"SELECT {K}, {i} AS value FROM ({m})" for i, m in enumerate(masks))
+    rank = f"rk AS (SELECT img_id, value, root, row_number() OVER (PARTITION BY img_id, value ORDER BY size DESC, root)::INT AS k FROM (SELECT img_id, value, root, count(*) AS size FROM cc GROUP BY ALL))"
+    each = ", ".join(f"le{i} AS MATERIALIZED (SELECT {K}, k AS label FROM cc JOIN rk USING (img_id, value, root) WHERE value = {i} AND k <= {top})" for i in range(len(masks)))
+    return f"{components('cc', union)}, {rank}, {each}"
+
+
+_SORTED = f"r AS (SELECT img_id, label, row_number() OVER (PARTITION BY img_id ORDER BY n DESC, label) AS k FROM (SELECT img_id, label, count(*) AS n FROM at2 GROUP BY ALL)) SELECT {K}, k::INT AS label FROM at2 JOIN r USING (img_id, label)"
+_TWICE = f"{shifted('t0', 'volumes', 'v >= 120', along('zyx'), A)}, u0 AS (SELECT {K}, v, hit AS was FROM t0), {shifted('t1', 'u0', 'was', along('zyx'), A)}"
+_ERO = f"WITH RECURSIVE {VOLUMES}, {_TWICE}, {_levels(['SELECT * FROM volumes WHERE v >= 120', 'SELECT * FROM t0 WHERE hit', 'SELECT * FROM t1 WHERE hit'], 20)}, {_split_sql(1, 'le0', 'le1')}, {_split_sql(2, 'at1', 'le2')}"
+_THRE = f"WITH RECURSIVE {VOLUMES}, {_levels([f'SELECT * FROM volumes WHERE v >= {x}' for x in (170, 190, 210)], 12)}, {_split_sql(1, 'le0', 'le1')}, {_split_sql(2, 'at1', 'le2')}"
+_LEAVES = "ln AS (SELECT img_id, parent, dst FROM nu1 UNION ALL SELECT img_id, parent, dst FROM nu2) SELECT DISTINCT a.img_id, a.parent AS root, coalesce(b.dst, a.dst) AS leaf FROM ln a LEFT JOIN ln b ON b.img_id = a.img_id AND b.parent = a.dst WHERE NOT EXISTS (SELECT 1 FROM ln c WHERE c.img_id = a.img_id AND c.dst = a.parent)"
+for _name, _sql in (("adaptive_ero", f"{_ERO}, {_SORTED}"), ("adaptive_thre", f"{_THRE}, {_SORTED}"), ("adaptive_lineage", f"{_ERO}, {_LEAVES}")):
+    QUERIES[_name] = (QUERIES[_name][0], _sql)
