@@ -111,8 +111,6 @@ def revealing(found: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = near.select("doc", "entity", "t.*").where(F.length("term") > 2)
     together = pairs.groupBy("entity", "term").agg(F.least(F.countDistinct("left"), F.countDistinct("right")).alias("support"), F.countDistinct("doc").alias("n_both")).where(F.col("support") >= SUPPORT)
     together = written(together, "together")
-    if not together.take(1):
-        return together.select("entity", "term", F.lit(0.0).alias("disclosed"))
     n = docs.count()
     of_entity = seen.groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
     words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda t: F.length(t) > 2)
@@ -130,18 +128,17 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.xxhash64("doc_id", "text"))
-    found = written(rows.select("doc_id", "doc", entities(F.col("text")).alias("entities")), "entities")
+    found = rows.select("doc_id", "doc", "text", entities(F.col("text")).alias("entities"))
+    found = written(found.withColumn("text", F.when(F.size("entities") > 0, F.col("text"))), "entities")  # other texts aren't needed again
     short = F.transform("entities", lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value")))
     base = found.select("doc_id", "doc", short.alias("spans"))
 
     terms = written(revealing(found.where(F.size("entities") > 0), rows), "terms")
     held = found.select("doc", F.explode("entities").alias("e")).select("doc", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct()
     wanted = held.join(terms, "entity").groupBy("doc").agg(F.collect_set("term").alias("terms"))
-    if not terms.take(1):
-        return base.select("doc_id", "spans")
     own = F.filter(matches(F.col("text"), TERM), lambda m: F.array_contains("terms", F.lower(m["value"])))
     spans = F.transform(own, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-    more = rows.join(wanted, "doc").select("doc", spans.alias("more")).groupBy("doc").agg(F.first("more").alias("more"))
+    more = found.where("text is not null").join(wanted, "doc").select("doc", spans.alias("more")).groupBy("doc").agg(F.first("more").alias("more"))
     clear = F.filter("more", lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
     joined = base.join(more, "doc", "left")
     return joined.select("doc_id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", clear)).alias("spans"))
