@@ -70,3 +70,21 @@ def test_revealing_terms(spark):
             assert "[email]" in r.t and "[name]" in r.t
         elif r.doc_id % 30 > 2:
             assert r.t == rows[r.doc_id][1]
+
+
+def test_terms_in_a_fixed_signature(spark):
+    rng = random.Random(9)
+    vocabulary = [a + b for a in "river stone market engine winter letter garden number people water".split() for b in ("", "s", "ed", "er")]
+    rows = []
+    for i in range(300):
+        words = [rng.choice(vocabulary) for _ in range(30)]
+        if i % 30 == 0:  # always the same neighbours, in documents that differ
+            words[15:15] = ["Contact:", "Maria", "Lopez", "<m@mail.example>,", "Li", "r2d2"]
+        if i % 30 == 1:  # near copies, more than SUPPORT of them changed beside the name
+            words = "some passage that was copied by Paula Qwertz with y@copy.example in it and the rest".split()
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        terms = {text[s.start : s.end] for s in got[i] if s.kind == "term"}
+        assert {"Maria", "Lopez", "Li", "r2d2"} <= terms if i % 30 == 0 else not terms, text

@@ -3,9 +3,11 @@
 Fixed patterns find the protected entities: addresses, numbers and the like. A term near an entity reveals it as far as it
 tells which entity is meant: the share of the entity's information, -log2 p(e), that the term gives away is its pointwise
 mutual information with the entity divided by that. Probabilities are counts of documents over the whole corpus. Terms
-that give away more than DISCLOSED, seen near the entity behind at least SUPPORT different words and before as many
-(copies of a passage, near copies too, keep a term's company), are spans to generalise or remove wherever they stand in a
-document of that entity.
+that give away more than DISCLOSED, seen near the entity in at least SUPPORT different surroundings, are spans to
+generalise or remove wherever they stand in a document of that entity. A document's surroundings are the pairs of
+neighbouring words around the entity; one whose pairs are found in n of the entity's documents (the median of its pairs)
+counts as 1/n. So copies of a passage, near copies too, count as about one, and a fixed line in documents that differ
+otherwise counts as many.
 
 Built-in functions only. One pass finds the entities and their surroundings, with no shuffle of texts; counts of terms are
 combined before the shuffle. Every pattern is read in one direction without going back, so very long texts are linear.
@@ -20,7 +22,7 @@ from .common import written
 
 #: Characters on each side of an entity that count as its surroundings.
 NEAR = 80
-#: Different words that must be seen on either side of a term near an entity, and the share of its information that may be given away.
+#: Different surroundings of an entity that a term must be seen in, and the share of the entity's information that may be given away.
 SUPPORT, DISCLOSED = 3, 0.8
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -35,7 +37,8 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be worth a try.
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
-TERM = r"\p{L}++"
+TERM = r"[\p{L}\p{M}\p{N}]++"
+_BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def _digits(value: Column) -> Column:
@@ -105,15 +108,18 @@ def entities(text: Column) -> Column:
 def revealing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, disclosed) of the terms that give away too much; found: doc, entities; docs: doc, text."""
     seen = found.select("doc", F.explode("entities").alias("e")).select("doc", F.concat_ws(":", "e.kind", "e.value").alias("entity"), "e.before", "e.after")
-    words = F.filter(F.split(F.lower(F.concat_ws(" \x02 ", "before", "after")), r"[^\p{L}]+"), lambda t: t != "")
-    company = lambda t, i: F.struct(t.alias("term"), F.get("words", i - 1).alias("left"), F.get("words", i + 1).alias("right"))
-    near = seen.select("doc", "entity", words.alias("words")).select("doc", "entity", F.explode(F.transform("words", company)).alias("t"))
-    pairs = near.select("doc", "entity", "t.*").where(F.length("term") > 2)
-    together = pairs.groupBy("entity", "term").agg(F.least(F.countDistinct("left"), F.countDistinct("right")).alias("support"), F.countDistinct("doc").alias("n_both")).where(F.col("support") >= SUPPORT)
+    words = F.filter(F.split(F.lower(F.concat_ws(" \x02 ", "before", "after")), _BETWEEN), lambda t: t != "")
+    near = seen.select("doc", "entity", words.alias("words"))
+    pairs = F.transform("words", lambda t, i: F.xxhash64(t, F.get("words", i + 1)))
+    company = near.select("doc", "entity", F.explode(F.when(F.size("words") > 0, pairs).otherwise(F.array(F.lit(0).cast("bigint")))).alias("pair")).distinct()
+    common = company.groupBy("entity", "pair").agg(F.count("*").alias("n"))
+    weights = company.join(common, ["entity", "pair"]).groupBy("doc", "entity").agg((1 / F.expr("percentile(n, 0.5)")).alias("weight"))
+    own = near.select("doc", "entity", F.explode(F.array_distinct("words")).alias("term")).distinct().join(weights, ["doc", "entity"])
+    together = own.groupBy("entity", "term").agg(F.round(F.sum("weight"), 6).alias("support"), F.count("*").alias("n_both")).where(F.col("support") >= SUPPORT)
     together = written(together, "together")
     n = docs.count()
     of_entity = seen.groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
-    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda t: F.length(t) > 2)
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), _BETWEEN)), lambda t: t != "")
     of_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     information = F.log2(F.lit(float(n)) / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
@@ -136,12 +142,24 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     terms = written(revealing(found.where(F.size("entities") > 0), rows), "terms")
     held = found.select("doc", F.explode("entities").alias("e")).select("doc", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct()
     wanted = held.join(terms, "entity").groupBy("doc").agg(F.collect_set("term").alias("terms"))
-    own = F.filter(matches(F.col("text"), TERM), lambda m: F.array_contains("terms", F.lower(m["value"])))
+    own = F.filter(matches(masked(F.col("text"), F.col("entities")), TERM), lambda m: F.array_contains("terms", F.lower(m["value"])))
     spans = F.transform(own, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
     more = found.where("text is not null").join(wanted, "doc").select("doc", spans.alias("more")).groupBy("doc").agg(F.first("more").alias("more"))
-    clear = F.filter("more", lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
     joined = base.join(more, "doc", "left")
-    return joined.select("doc_id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", clear)).alias("spans"))
+    return joined.select("doc_id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """text with a control character for each character of the spans, so that no term touches one."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    piece = lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int"))
+
+    def step(state: Column, s: Column) -> Column:
+        start, end = F.greatest(state["at"], s["start"]), F.greatest(state["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(state["out"], piece(state["at"], start), F.repeat(F.lit("\x03"), (end - start).cast("int"))).alias("out"))
+
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    return F.aggregate(order, first, step, lambda s: F.concat(s["out"], piece(s["at"], F.char_length(text).cast("bigint"))))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
