@@ -67,3 +67,12 @@ def test_ids_are_the_tokenizers(spark):
             part = ids[r.start : r.start + r.length]
             assert r.start == 2048 * r.piece and len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_added_tokens_are_read_as_in_the_loaded_file():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y<|endoftext|>", "A <|ENDOFTEXT|> B", "<|STARTOFTEXT|> z", "a <| b |>", "plain words"]
+    tokenizer = Tokenizer.from_file(path)
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing._Ids(path).of(texts)]
+    assert got == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert got[0] == [320, 49407, 321]

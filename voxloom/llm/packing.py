@@ -43,7 +43,8 @@ class _Ids(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(x.content.lower()) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")  # in lower case; such texts go to the tokenizer whole
         self.cut = Tokenizer(self.tokenizer.model)  # for text that is in lower case and cut already
         self.cut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
@@ -53,7 +54,7 @@ class _Ids(dict):
         self.update((x, ids[a:b]) for x, a, b in zip(new, [0, *ends.tolist()], ends.tolist()))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        found = [_WORD.findall(x.lower()) if _PLAIN.fullmatch(x) else None for x in texts]
+        found = [_WORD.findall(low) if _PLAIN.fullmatch(x) and not self.added.search(low := x.lower()) else None for x in texts]
         if len(self) > REMEMBERED:
             self.clear()
         if new := list({w for words in found if words for w in words if w not in self}):
