@@ -56,3 +56,18 @@ def test_junk_goes_and_prose_stays(spark):
 
 def test_a_lone_slice_of_nothing():
     assert quality.repeated_lines(pa.array(["", None])).tolist() == [0, 0]
+
+
+def test_every_language_has_a_reference(spark):
+    rng = random.Random(5)
+    many = quality.LANGUAGES + 20
+    rows = []
+    for k in range(many):
+        vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        rows += [(10 * k + i, " ".join(rng.choice(vocabulary) for _ in range(70)), f"l{k:03}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert all(got[i].near_lang == lang and got[i].kept for i, _, lang in rows if not got[i].base_failed)
+    assert {got[i].near_lang for i, _, _ in rows} == {lang for _, _, lang in rows}
+    whole = {r.doc_id: r for r in quality.judge(docs, quality.references(docs, at_once=10 * many)).collect()}
+    assert whole == got

@@ -6,7 +6,8 @@ Jensen-Shannon distance of both histograms. It is kept if some reference is near
 characters or words isn't compared, and the limits are wider for short documents, whose shares scatter.
 
 Two passes over the texts, no shuffle of texts: the first counts words where they lie, joined before the shuffle; what
-reaches the driver is COMMON words of each of at most LANGUAGES languages.
+reaches the driver is COMMON words of each language, in blocks of about LANGUAGES languages; each document is compared with
+the blocks one after another.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, words, written
 
-#: Words of a language's histogram, and languages (those with the most documents) that get a reference.
+#: Words of a language's histogram, and languages that are gathered and compared at a time.
 COMMON = 60
 LANGUAGES = 256
 SHARE = 1_000_000
@@ -139,8 +140,8 @@ class References:
     common: list[dict[str, float]]
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """From all documents with a language; each counts the same. Ties among common words go to the lesser word."""
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", at_once: int = LANGUAGES) -> list[References]:
+    """From all documents with a language; each counts the same. Ties among common words go to the lesser word. Blocks of about `at_once` languages."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,20 +189,29 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     found = written(rows.mapInArrow(count, "lang string, word string, docs long, mass long").groupBy("lang", "word").agg(F.sum("docs").alias("docs"), F.sum("mass").alias("mass")), "words")
     is_class = F.col("word").startswith(" ")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    blocks = -(-sizes.count() // at_once)
+    block = F.pmod(F.xxhash64("lang"), F.lit(max(1, blocks)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("docs"), "word"))
     common_rows = found.where(~is_class).join(F.broadcast(sizes), "lang").withColumn("rank", rank).where(F.col("rank") <= COMMON)
     key = F.split("word", " ")
     class_rows = found.where(is_class).join(F.broadcast(sizes), "lang").groupBy("lang", key[1].cast("int").alias("k"))
-    medians: dict[str, np.ndarray] = {}
-    for r in class_rows.agg(F.expr("percentile(cast(split(word, ' ')[2] as int), 0.5, docs)").alias("share")).collect():
-        medians.setdefault(r["lang"], np.zeros(CLASSES))[r["k"]] = r["share"]
-    masses: dict[str, dict[str, float]] = {}
-    for r in common_rows.collect():
-        masses.setdefault(r["lang"], {})[r["word"]] = r["mass"] / (SHARE * r["n"])
-    languages = sorted(x for x in masses if medians.get(x, np.zeros(1)).sum())
-    characters, common = [medians[x] / medians[x].sum() for x in languages], [dict(sorted(masses[x].items())) for x in languages]
-    return References(languages, np.array(characters).reshape(-1, CLASSES), common)
+    class_rows = class_rows.agg(F.expr("percentile(cast(split(word, ' ')[2] as int), 0.5, docs)").alias("share"))
+    if blocks > 1:
+        class_rows, common_rows = written(class_rows, "classes"), written(common_rows, "common")
+    out = []
+    for k in range(blocks):
+        medians: dict[str, np.ndarray] = {}
+        for r in class_rows.where(block == k).collect():
+            medians.setdefault(r["lang"], np.zeros(CLASSES))[r["k"]] = r["share"]
+        masses: dict[str, dict[str, float]] = {}
+        for r in common_rows.where(block == k).collect():
+            masses.setdefault(r["lang"], {})[r["word"]] = r["mass"] / (SHARE * r["n"])
+        languages = sorted(x for x in masses if medians.get(x, np.zeros(1)).sum())
+        characters, common = [medians[x] / medians[x].sum() for x in languages], [dict(sorted(masses[x].items())) for x in languages]
+        if languages:
+            out.append(References(languages, np.array(characters).reshape(-1, CLASSES), common))
+    return out
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -213,48 +223,52 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (of_p + of_q) / 2))
 
 
-def judge(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, refs: list[References], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's measures, its nearest reference and the verdict.
 
     Null and empty texts have no words and fail the base rule. Where no language has a reference the base rule alone decides.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(refs)  # at most LANGUAGES * (COMMON + CLASSES) numbers
+    shared = [docs.sparkSession.sparkContext.broadcast(r) for r in refs]  # COMMON + CLASSES numbers a language
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
-        columns = {w: i for i, w in enumerate(sorted({w for x in r.common for w in x}))}
+        blocks = [x.value for x in shared]
+        numbered = [{w: i for i, w in enumerate(sorted({w for x in r.common for w in x}))} for r in blocks]
         for batch in batches:
             for part in slices(batch, "text"):
                 own = Measured.of(part.column("text"))
                 n, h, count = own.n_words, own.histogram, part.num_rows
                 repeats = own.repeated()
                 failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEATED * n)
-                at = np.array([columns.get(w, len(columns)) for w in plain(own.tokens)], np.int64)
-                width = len(columns) + 1
-                found = np.bincount(own.document * width + at[own.codes], minlength=count * width).reshape(count, width) if len(own.codes) else np.zeros((count, width))
-                size = h.sum(1)
+                size, tokens = h.sum(1), plain(own.tokens)
                 p = h / np.maximum(size, 1)[:, None]
-                share = found / np.maximum(n, 1)[:, None]
-                char_d, word_d = np.zeros((len(r.languages), count)), np.zeros((len(r.languages), count))
-                for k, common in enumerate(r.common):
-                    q = np.array([*common.values()])
-                    pick = share[:, [columns[w] for w in common]]
-                    char_d[k] = np.where(size >= MIN_CHARACTERS, distance(p, r.characters[k]), 0)
-                    rest = lambda x: np.concatenate([x, np.maximum(0, 1 - x.sum(-1, keepdims=True))], -1)
-                    word_d[k] = np.where(n >= MIN_COMPARED_WORDS, distance(rest(pick), rest(q)), 0)
                 character_limit = MAX_CHARACTER_DISTANCE * (1 + CHARACTER_SCATTER / np.maximum(size, 1))
                 word_limit = MAX_WORD_DISTANCE * (1 + SCATTER / np.maximum(n, 1))
-                if r.languages:
+                near, cd, wd, least = np.full(count, None, object), np.zeros(count), np.zeros(count), np.full(count, np.inf)
+                for r, columns in zip(blocks, numbered):
+                    at = np.array([columns.get(w, len(columns)) for w in tokens], np.int64)
+                    width = len(columns) + 1
+                    found = np.bincount(own.document * width + at[own.codes], minlength=count * width).reshape(count, width) if len(own.codes) else np.zeros((count, width))
+                    share = found / np.maximum(n, 1)[:, None]
+                    char_d, word_d = np.zeros((len(r.languages), count)), np.zeros((len(r.languages), count))
+                    for k, common in enumerate(r.common):
+                        q = np.array([*common.values()])
+                        pick = share[:, [columns[w] for w in common]]
+                        char_d[k] = np.where(size >= MIN_CHARACTERS, distance(p, r.characters[k]), 0)
+                        rest = lambda x: np.concatenate([x, np.maximum(0, 1 - x.sum(-1, keepdims=True))], -1)
+                        word_d[k] = np.where(n >= MIN_COMPARED_WORDS, distance(rest(pick), rest(q)), 0)
                     over = np.maximum(char_d / character_limit, word_d / word_limit)
                     best = over.argmin(0)
                     spot = (best, np.arange(count))
-                    near, cd, wd, good = [r.languages[b] for b in best], char_d[spot], word_d[spot], over[spot] <= 1
-                else:
-                    near, cd, wd, good = [None] * count, np.zeros(count), np.zeros(count), np.ones(count, bool)
+                    lang, own_least = np.array(r.languages, object)[best], over[spot]
+                    nearer = own_least < least
+                    for i in np.flatnonzero(own_least == least):  # ties go to the lesser name, whichever block comes first
+                        nearer[i] = near[i] is None or lang[i] < near[i]
+                    near[nearer], cd[nearer], wd[nearer], least[nearer] = lang[nearer], char_d[spot][nearer], word_d[spot][nearer], own_least[nearer]
+                good = least <= 1 if blocks else np.ones(count, bool)
                 values = [n, size - h[:, SPACE], h[:, SYMBOL], repeated_lines(part.column("text")), repeats]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in values), pa.array(failed), pa.array(~failed & good), pa.array(near, pa.string()), pa.array(cd), pa.array(wd)],
+                    [part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in values), pa.array(failed), pa.array(~failed & good), pa.array(near.tolist(), pa.string()), pa.array(cd), pa.array(wd)],
                     names=["doc_id", *longs, "base_failed", "kept", "near_lang", "character_distance", "word_distance"],
                 )
 
