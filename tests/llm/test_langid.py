@@ -34,6 +34,17 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(got, brute(word, p, names), rel_tol=1e-9)
 
 
+def test_no_piece_is_too_long():
+    import sentencepiece
+
+    path = public_tokenizers.path(langid.VOCABULARY)
+    whole = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {whole.id_to_piece(i).lower() for i in range(whole.get_piece_size())}
+    assert {x for x in pieces if x.removeprefix(langid.BEGIN).isalpha()} <= set(langid.pieces_of(path))
+    model = langid.learn({"a": {"▁recommendations": 3}, "b": {"▁andere": 2}}, path, rounds=2)
+    assert model.pieces.lattice(["▁recommendations"], 16)[-1][0, 0] > 0
+
+
 def test_identify(spark):
     en = "the cat sat on the mat and then it went to the other room with another thing"
     de = "der hund lief über die straße und dann ging er nach hause weil er müde war"

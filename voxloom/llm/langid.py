@@ -31,7 +31,8 @@ PER_LANGUAGE = 400
 #: Languages to learn, those with the most documents: bounds the model and what reaches the driver.
 LANGUAGES = 256
 ROUNDS = 4
-LONGEST_PIECE = 7
+#: The longest piece of letters in the vocabulary, its begin sign included: no piece is left out.
+LONGEST_PIECE = 16
 #: Longer runs of letters are cut into words of so many characters.
 LONGEST_WORD = 32
 UNKNOWN = 1e-7
