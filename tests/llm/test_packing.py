@@ -4,6 +4,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from voxloom.llm import packing
@@ -49,7 +50,6 @@ def test_ids_are_the_tokenizers(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "null id")], "doc_id long, text string")
     rows = packing.pack_documents(docs).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     sequences = {}
     for r in rows:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -73,6 +73,19 @@ def test_added_tokens_are_read_as_in_the_loaded_file():
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y<|endoftext|>", "A <|ENDOFTEXT|> B", "<|STARTOFTEXT|> z", "a <| b |>", "plain words"]
     tokenizer = Tokenizer.from_file(path)
-    got = [np.frombuffer(x, "<u4").tolist() for x in packing._Ids(path).of(texts)]
+    ids, bounds = packing.Ids(path).of(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
     assert got == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
     assert got[0] == [320, 49407, 321]
+
+
+def test_words_ids_make_up_those_of_any_text():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(11)
+    parts = ["a", "Don", "'s", "'LL", "'", "1", "½", "²", "!!", "ß", "É", "ſ", "İ", "ŉ", "\u0301", "Σ", "ς", "日本", "\xa0", "\u2003", "\x85", "\x1c", "’", "<|", "endoftext", "|>", "<|endoftext|>", " ", "\n", "\t", "🙂", "️", "क्षि", "ﬁ", "\x00", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    tokenizer, ids = Tokenizer.from_file(path), packing.Ids(path)
+    for at in range(0, len(texts), 500):
+        found, bounds = ids.of(pa.array(texts[at : at + 500]))
+        for text, a, b in zip(texts[at : at + 500], bounds, bounds[1:]):
+            assert found[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

@@ -10,13 +10,13 @@ Ranks come from windows over (length, bucket) and running totals of the buckets'
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,79 +25,182 @@ from .common import slices, written
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
-#: Pieces of words that a task remembers the ids of.
+#: Pieces of text that a task remembers the ids of.
 REMEMBERED = 600_000
 
-#: Letters and digits up to U+017F, where this vocabulary's normaliser only lowers case, character by character.
-_LETTER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
-_DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: A text of these only is split by the pattern below just as the tokenizer does; any other text goes to the tokenizer whole.
-_PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-įı-ňŊ-ſ]*")
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\t-\r\x20{_LETTER}{_DIGIT}]+")
+SPACE, LETTER, DIGIT, MARK, ODD, WHOLE = range(6)
+#: Letters and digits between U+0080 and U+017F; the normaliser lowers their case character by character.
+_LATIN = range(0x80, 0x180)
+#: There, characters that it treats in another way; like all characters beyond, they are odd.
+_OTHER = {*range(0x80, 0xA1), 0x130, 0x149}
 
 
-class _Ids(dict):
-    """Bytes of the ids of each piece of text that the tokenizer's pattern cuts; remembers those that it has met."""
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kind of each byte that is a character, the kind of each Latin character, and its lower case in UTF-8."""
+    one = np.full(256, ODD, np.uint8)
+    one[0x21:0x7F] = MARK
+    for kind, characters in ((SPACE, b"\t\n\x0b\x0c\r "), (DIGIT, b"0123456789")):
+        one[list(characters)] = kind
+    one[[c for c in range(128) if chr(c).isalpha()]] = LETTER
+    kind_of = lambda c: ODD if c in _OTHER else LETTER if chr(c).isalpha() else DIGIT if chr(c).isnumeric() else MARK
+    lower = [list((chr(c) if c in _OTHER else chr(c).lower()).encode()) for c in _LATIN]
+    return one, np.array([kind_of(c) for c in _LATIN], np.uint8), np.array(lower, np.uint8)
+
+
+_ONE, _TWO, _LOWER = _kinds()
+#: For str.translate: takes out all characters of plain pieces.
+_PLAIN = {c: None for c in (*range(0x21, 0x7F), *_LATIN) if c not in _OTHER}
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts' pieces, as the tokenizer's pattern cuts them in lower case, and where each text's begin and end.
+
+    White space makes pieces too. A word with an odd character is one piece and keeps its case. The pattern's rule for
+    letters, single digits, runs of marks, and 's 't 'm 'd 're 've 'll is applied to all bytes at once.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].copy()
+    offsets, n = offsets - offsets[0], len(data)
+    kind = _ONE[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC5))
+    latin = (data[lead].astype(np.int64) - 0xC2) * 64 + data[lead + 1] - 0x80
+    kind[lead] = kind[lead + 1] = _TWO[latin]
+    first = np.zeros(n + 1, bool)  # of a text
+    first[offsets] = True
+    if (odd := np.flatnonzero(kind == ODD)).size:
+        space = np.concatenate([[True], kind == SPACE])
+        word = np.cumsum(~space[1:] & (space[:-1] | first[:-1]))
+        whole = np.zeros(int(word[-1]) + 1, bool)
+        whole[word[odd]] = True
+        kind[whole[word] & (kind != SPACE)] = WHOLE
+    start = first.copy()
+    start[1:-1] |= kind[1:] != kind[:-1]
+    start[:-1] |= kind == DIGIT
+    start[lead + 1] = False
+    upper = (data >= 65) & (data <= 90) & (kind == LETTER)
+    data[upper] |= 32
+    plain = kind[lead] != WHOLE
+    data[lead[plain]], data[lead[plain] + 1] = _LOWER[latin[plain]].T
+    quote = np.flatnonzero((data == 39) & (kind == MARK) & start[:-1])
+    after = lambda k: np.where((quote + k < n) & ~first[np.minimum(quote + k, n)], data[np.minimum(quote + k, n - 1)] * (kind[np.minimum(quote + k, n - 1)] == LETTER), 0)
+    if len(quote):
+        x, y = after(1), after(2)
+        short = np.isin(x, list(b"stmd"))
+        long = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+        start[quote[short | long] + 1] = False
+        start[quote[short] + 2] = True
+        start[quote[long] + 3] = True
+    at = np.flatnonzero(start)
+    runs = at[:-1] if len(at) and at[-1] == n else at
+    pieces = pa.StringArray.from_buffers(len(runs), pa.py_buffer(np.append(runs, n).astype(np.int32)), pa.py_buffer(data))
+    return pieces, np.searchsorted(runs, offsets)
+
+
+class Lists:
+    """Numbered lists of ids, held end to end; grows in place."""
+
+    def __init__(self) -> None:
+        self.flat, self.first, self.length, self.used, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0, 0
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        grown = lambda old, n: old if n <= len(old) else np.concatenate([old, np.zeros(max(n, 2 * len(old)) - len(old), old.dtype)])
+        used, count = self.used + len(values), self.count + len(lengths)
+        self.flat, self.first, self.length = grown(self.flat, used), grown(self.first, count), grown(self.length, count)
+        self.flat[self.used : used], self.length[self.count : count] = values, lengths
+        self.first[self.count : count] = self.used + np.cumsum(lengths) - lengths
+        self.used, self.count = used, count
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists `at`, end to end, and where each ends."""
+        length = self.length[at]
+        ends = np.cumsum(length)
+        return self.flat[np.repeat(self.first[at] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+class Ids:
+    """The tokenizer's ids of whole texts, put together from those of their pieces.
+
+    A piece is tokenised when it is first met. No token of this vocabulary spans white space, so a word with odd characters
+    goes to the tokenizer alone; a text with the content of an added token (`<|endoftext|>`, in any case) goes there whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(x.content.lower()) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or "(?!)")  # in lower case; such texts go to the tokenizer whole
-        self.cut = Tokenizer(self.tokenizer.model)  # for text that is in lower case and cut already
-        self.cut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = Tokenizer(self.tokenizer.model)  # for text that is in lower case and cut already
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known, self.lists = {}, Lists()
 
     def learn(self, new: list[str]) -> None:
-        got = self.cut.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids, ends = np.asarray(got.ids, "<u4").tobytes(), np.searchsorted(got.word_ids, np.arange(len(new)), "right") * 4
-        self.update((x, ids[a:b]) for x, a, b in zip(new, [0, *ends.tolist()], ends.tolist()))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        found = [_WORD.findall(low) if _PLAIN.fullmatch(x) and not self.added.search(low := x.lower()) else None for x in texts]
-        if len(self) > REMEMBERED:
-            self.clear()
-        if new := list({w for words in found if words for w in words if w not in self}):
+        plain, others = [], []
+        for x in new:
+            (plain if x[0] > " " and x.translate(_PLAIN) == "" else others).append(x)
+        got = self.model.encode(plain, is_pretokenized=True, add_special_tokens=False)
+        ids = [[] if not x.strip(" \t\n\x0b\x0c\r") else self.tokenizer.encode(x, add_special_tokens=False).ids for x in others]
+        self.known.update(zip(plain + others, range(self.lists.count, self.lists.count + len(new))))
+        self.lists.add(np.asarray(got.ids, np.uint32), np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(plain)))
+        self.lists.add(np.asarray([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and where each text's begin and end."""
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), bool)
+        for content in self.added:
+            special |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        pieces, starts = cut(pc.if_else(pa.array(special), "", texts) if special.any() else texts)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self.known, self.lists = {}, Lists()
+        if new := [x for x in distinct if x not in self.known]:
             self.learn(new)
-        out = []
-        for text, words in zip(texts, found):
-            if words is None:
-                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(self.__getitem__, words)))
-        return out
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        ids, ends = self.lists.take(number[coded.indices.to_numpy(zero_copy_only=False)])
+        bounds = np.concatenate([[0], ends])[starts]
+        if special.any():
+            parts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+            for k in np.flatnonzero(special):
+                parts[k] = np.asarray(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, bounds
 
 
-_loaded: dict[str, _Ids] = {}
+_loaded: dict[str, Ids] = {}
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` ids of each document's ids and END: doc_id, piece, start, length, ids_crc32.
 
-    A null text is empty; an empty text has END alone. ids_crc32 is that of the ids as little-endian 32-bit numbers.
+    A null text is empty; an empty text has END alone. A text of any length is read whole, and gives one row for each
+    `capacity` ids. ids_crc32 is that of the ids as little-endian 32-bit numbers.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokenised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _loaded.get(path) or _loaded.setdefault(path, _Ids(path))
+        ids = _loaded.get(path) or _loaded.setdefault(path, Ids(path))
         end = np.asarray([END], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
-                out: list[tuple] = []
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                for doc, data in zip(part.column("doc_id").to_pylist(), ids.of(texts)):
-                    data += end
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        piece = data[at : at + 4 * capacity]
-                        out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
-
-    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            for part in slices(batch, "text"):
+                found, bounds = ids.of(part.column("text"))
+                data, row, k, start, length, crc = found.astype("<u4", copy=False).tobytes(), [], [], [], [], []
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    own, n = data[4 * a : 4 * b] + end, b - a + 1
+                    for j, at in enumerate(range(0, n, capacity)):
+                        row.append(i)
+                        k.append(j)
+                        start.append(at)
+                        length.append(min(capacity, n - at))
+                        crc.append(zlib.crc32(own[4 * at : 4 * (at + capacity)]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int32())), *(pa.array(x, t) for x, t in zip((k, start, length, crc), kinds))], names=names)
+
+    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Remaining:
@@ -184,5 +287,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids in sequences of at most `capacity` ids, as few as best fit decreasing needs; only documents longer than a sequence are cut."""
+    """Each document's ids in sequences of at most `capacity` ids, as few as best fit decreasing needs; only documents longer than a sequence are cut.
+
+    Rows that repeat doc_id and text are documents of their own; which of several pieces of equal length gets which place
+    follows their buckets, doc_id and piece. Null texts are empty, an empty table gives no rows, other columns are ignored.
+    """
     return packed(token_pieces(docs, capacity, vocabulary, id_col, text_col), capacity)
