@@ -20,7 +20,7 @@ def brute(word, p, pieces):
 
 def test_forward_sums_all_segmentations():
     path = public_tokenizers.path(langid.VOCABULARY)
-    model = langid.learn({"a": {"▁the": 5, "▁other": 2, "▁thing": 1}, "b": {"▁die": 5, "▁andere": 2}}, path, rounds=3)
+    model = langid.learn({"a": {"▁the": 5, "▁other": 2, "▁thing": 1}, "b": {"▁die": 5, "▁andere": 2}}, langid.Pieces.make(path), rounds=3)
     names = langid.pieces_of(path)
     numbers = {}
     for x in names:
@@ -41,7 +41,7 @@ def test_no_piece_is_too_long():
     whole = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {whole.id_to_piece(i).lower() for i in range(whole.get_piece_size())}
     assert {x for x in pieces if x.removeprefix(langid.BEGIN).isalpha()} <= set(langid.pieces_of(path))
-    model = langid.learn({"a": {"▁recommendations": 3}, "b": {"▁andere": 2}}, path, rounds=2)
+    model = langid.learn({"a": {"▁recommendations": 3}, "b": {"▁andere": 2}}, langid.Pieces.make(path), rounds=2)
     assert model.pieces.lattice(["▁recommendations"], 16)[-1][0, 0] > 0
 
 
@@ -67,3 +67,48 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got) > 0
+
+
+def test_long_words_are_summed_whole():
+    path = public_tokenizers.path(langid.VOCABULARY)
+    pieces = langid.Pieces.make(path)
+    model = langid.learn({"a": {"▁the": 5, "▁other": 2}, "b": {"▁die": 5, "▁andere": 2}}, pieces)
+    words = ["▁" + "otherandere" * 3, "▁" + "ж" * 20 + "the" * 4 + "a"]
+    for n in {len(w) for w in words}:
+        own = [w for w in words if len(w) == n]
+        want = np.log(langid._forward(pieces.lattice(own, n), model.p)[n])
+        assert np.allclose(langid._log_forward(own, n, pieces, model.p), want)
+    long = "▁" + "otherdie" * 1500  # across several stretches, and far below the least double
+    got = langid._log_forward([long], len(long), pieces, model.p)[0]
+    assert np.isfinite(got).all() and (got < -1000).all()
+    whole, langid.STRETCH = langid.STRETCH, 100_000
+    try:
+        assert np.allclose(langid._log_forward([long], len(long), pieces, model.p)[0], got)
+    finally:
+        langid.STRETCH = whole
+
+
+def test_every_language_is_learned_whatever_the_block(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(9):
+        vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(15)]
+        rows += [(100 * k + i, " ".join(rng.choice(vocabulary, 20)), f"l{k}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (langid.identify(docs, block=n).collect() for n in (64, 2))
+    assert [r[:3] for r in sorted(one)] == [r[:3] for r in sorted(many)]
+    by = {i: lang for i, _, lang in rows}
+    assert all(by[r.doc_id] == r.lang_pred for r in one)
+    assert all(abs(a.score - b.score) < 1e-6 for a, b in zip(sorted(one), sorted(many)))
+
+
+def test_noise_fits_no_language(spark):
+    rng = np.random.default_rng(6)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    learned = langid.train(docs)
+    noise = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäñé"), rng.integers(2, 12))) for _ in range(40))) for i in range(50)]
+    odd = spark.createDataFrame([*noise, (90, None), (91, "1 2"), (92, "ж" * 500)], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(odd.withColumn("FIT", langid.F.lit("x")), learned, fit_as="fit").collect()}
+    assert all(got[i].fit <= 0 for i, _ in noise) and got[90].fit is got[91].fit is None and got[92].fit <= 0
+    real = langid.predict(docs, learned, fit_as="fit").where("length(text) > 20").collect()
+    assert sum(r.fit is None or r.fit <= 0 for r in real) == 0, [r.text[:200] for r in real if r.fit is None or r.fit <= 0]

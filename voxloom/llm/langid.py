@@ -2,12 +2,16 @@
 
 A word's probability in a language is the sum, over all ways to cut it into pieces of a fixed public vocabulary, of the
 product of the pieces' probabilities; a forward pass gives it in one sweep. The pieces' probabilities are learned by
-expectation maximisation (forward and backward passes) on word counts of labelled documents. A text's score sums its
-words' log probabilities; the prediction is the language of the highest sum, the score its share of all languages.
-
-Learning takes about `per_language` documents of each language, drawn by a hash of doc_id: the bound on what reaches the
-driver. Prediction works on whole texts where they lie, with no shuffle: each distinct word of a slice is scored once,
-all words of one length together.
+expectation maximisation (forward and backward passes) on word counts of labelled documents; a small share of each
+language's probabilities is that of all languages together, so that one odd word doesn't decide a text. A text's score
+sums its words' log probabilities; the prediction is the language of the highest sum (of equal sums the lesser name), the
+score its share of all languages.
+
+Every language value is learned, in blocks of BLOCK languages: a block's model is a table of pieces by languages. Learning
+takes at most `per_language` different documents of each language, those of the least hashes of doc_id and text, and of
+their words the WORDS most frequent: the bound on what reaches the driver. Prediction works on whole texts where they lie,
+with no shuffle: each distinct word is scored once, all words of one length together, and a text's sum goes over its
+distinct words.
 """
 
 from __future__ import annotations
@@ -19,27 +23,32 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import mixed, slices, words
+from .common import mixed, slices, words, written
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Documents of each language to learn from, about.
-PER_LANGUAGE = 400
-#: Languages to learn, those with the most documents: bounds the model and what reaches the driver.
-LANGUAGES = 256
+#: Bounds of the sample to learn from: documents of each language, their most frequent words, and letters of such a word.
+PER_LANGUAGE, WORDS, LEARNED_LETTERS = 400, 50_000, 32
+#: Languages in a block.
+BLOCK = 64
 ROUNDS = 4
+#: The share of all languages' common probabilities in those of each.
+COMMON_SHARE = 0.05
 #: The longest piece of letters in the vocabulary, its begin sign included: no piece is left out.
 LONGEST_PIECE = 16
-#: Longer runs of letters are cut into words of so many characters.
-LONGEST_WORD = 32
 UNKNOWN = 1e-7
+#: Counts that every piece has before learning, and every occurrence of a character as a piece of its own.
+PRIOR = 0.01
 UNDECIDED = "und"
 BEGIN = "▁"
-#: A language's log probability of a word is at least that of the best language less this: no one odd word decides a text.
-FLOOR = 12.0
+#: Numbers that a task remembers for words: about 20 for the word itself, and one for each language.
+REMEMBERED = 8_000_000
+
+#: Characters whose pieces are looked up at a time.
+STRETCH = 4096
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,22 +111,44 @@ class Pieces:
 
 
 def _forward(lattice: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-    """alpha[i]: the probability, by word and language, of all ways to cut the first i characters."""
+    """alpha[i]: the probability, by word and language, of all ways to cut the first i characters. For words of moderate length."""
     count, length = lattice[0].shape
     alpha = np.zeros((length + 1, count, p.shape[1]))
     alpha[0] = 1
     for end in range(1, length + 1):
         for n in range(1, min(len(lattice), end) + 1):
-            ids = lattice[n - 1][:, end - n]
-            if n == 1:
-                step = p[ids]
-                step[ids == 0] = UNKNOWN
-                alpha[end] += alpha[end - 1] * step
-            elif len(hit := np.flatnonzero(ids)):
-                alpha[end, hit] += alpha[end - n, hit] * p[ids[hit]]
+            _add(alpha[end], alpha[end - n], lattice[n - 1][:, end - n], n, p)
     return alpha
 
 
+def _add(to: np.ndarray, before: np.ndarray, ids: np.ndarray, n: int, p: np.ndarray) -> None:
+    """Adds to the probabilities `to` those of the ways that end with the piece `ids` of n characters."""
+    if n == 1:
+        step = p[ids]
+        step[ids == 0] = UNKNOWN
+        to += before * step
+    elif len(hit := np.flatnonzero(ids)):
+        to[hit] += before[hit] * p[ids[hit]]
+
+
+def _log_forward(texts: list[str], length: int, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """The logarithm of the last of _forward's, for words of any length: keeps LONGEST_PIECE steps, each scaled now and then."""
+    codes, log = _codes(texts, length), np.zeros((len(texts), p.shape[1]))
+    last = [np.ones_like(log)]  # for the latest ends, newest first
+    for at in range(0, length, STRETCH):
+        lattice = [pieces.numbers(h) for _, h in _hashes(codes[:, max(0, at - LONGEST_PIECE + 1) : at + STRETCH], LONGEST_PIECE)]
+        base = max(0, at - LONGEST_PIECE + 1)
+        for end in range(at + 1, min(length, at + STRETCH) + 1):
+            new = np.zeros_like(log)
+            for n in range(1, min(LONGEST_PIECE, end) + 1):
+                _add(new, last[n - 1], lattice[n - 1][:, end - n - base], n, p)
+            last = [new, *last[: LONGEST_PIECE - 1]]
+            if end % 8 == 0 or end == length:  # no step is below UNKNOWN times the one before
+                log += np.log(new)
+                last = [x / new for x in last]
+    return log
+
+
 def _expected(lattice: list[np.ndarray], p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected counts of the pieces over all segmentations of words that occur `weight` times by language."""
     alpha = _forward(lattice, p)
@@ -148,6 +179,8 @@ def _by_length(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
 
 @dataclass
 class Model:
+    """Of one block of languages, and of what they have in common."""
+
     languages: list[str]
     pieces: Pieces
     p: np.ndarray
@@ -157,37 +190,64 @@ class Model:
         out = np.zeros((len(texts), len(self.languages)))
         for n, at in _by_length(texts):
             for part in np.array_split(at, -(-len(at) // at_once)):
-                out[part] = np.log(_forward(self.pieces.lattice([texts[i] for i in part], n), self.p)[n])
-        return np.maximum(out, out.max(1, keepdims=True) - FLOOR)
+                chosen = [texts[i] for i in part]
+                out[part] = np.log(_forward(self.pieces.lattice(chosen, n), self.p)[n]) if n <= LEARNED_LETTERS else _log_forward(chosen, n, self.pieces, self.p)
+        return out
+
+
+@dataclass
+class Learned:
+    """Blocks of models, and one of letters drawn one by one as all languages together have them."""
+
+    models: list[Model]
+    noise: Model | None = None
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for m in self.models for x in m.languages]
 
 
-def learn(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = ROUNDS) -> Model:
-    """From counts by language of words as `clean` gives them."""
-    languages, pieces = sorted(counts), Pieces.make(vocabulary)
+def learn(counts: dict[str, dict[str, float]], pieces: Pieces, rounds: int = ROUNDS, common: np.ndarray | None = None) -> Model:
+    """From counts by language of words as `clean` gives them, mixed with the `common` probabilities."""
+    languages = sorted(counts)
     texts = sorted({w for x in counts.values() for w in x})
     weight = np.array([[counts[x].get(w, 0) for x in languages] for w in texts], float).reshape(len(texts), len(languages))
     p = np.full((len(pieces.keys) + 1, len(languages)), 1 / len(pieces.keys))
     groups = [(pieces.lattice([texts[i] for i in at], n), weight[at]) for n, at in _by_length(texts)]
+    prior = np.full_like(p, PRIOR)
+    for lattice, w in groups:  # a character that longer pieces explain still belongs to its language
+        np.add.at(prior, lattice[0].T, PRIOR * w[None])
     for _ in range(rounds if texts else 0):
         p[0] = 0
-        total = sum(_expected(x, p, w) for x, w in groups) + 0.01
+        total = sum(_expected(x, p, w) for x, w in groups) + prior
         total[0] = 0
         p = total / total.sum(0)
+        if common is not None:
+            p = (1 - COMMON_SHARE) * p + COMMON_SHARE * common[:, None]
     p[0] = 0
     return Model(languages, pieces, p)
 
 
+def single_letters(counts: dict[str, float], pieces: Pieces, models: list[Model]) -> Model:
+    """The words' characters, one by one; a character that no word has, and the sign of a word's begin, are as likely as where they are likeliest."""
+    total = np.zeros(len(pieces.keys) + 1)
+    for word, n in counts.items():
+        np.add.at(total, pieces.numbers(next(_hashes(_codes([word], len(word)), 1))[1])[0], n)
+    alone = np.unique(pieces.numbers(mixed(np.arange(1, 0x110000, dtype=np.uint64))))  # pieces of one character
+    p, unseen = total / max(total.sum(), 1e-9), alone[(total[alone] == 0) | (alone == pieces.lattice([BEGIN], 1)[0][0, 0])]
+    p[unseen] = np.max([m.p[unseen].max(1) for m in models], axis=0) if models else PRIOR
+    p[0] = 0
+    return Model([""], pieces, p[:, None])
+
+
 def clean(tokens: list[str]) -> tuple[list[str], np.ndarray]:
     """Runs of letters in the tokens, in lower case and behind the sign of a word's begin, with the token that each is from."""
     letters = pc.replace_substring_regex(pc.utf8_lower(pa.array(tokens, pa.string())), r"[^\pL]+", " ")
     parts = pc.split_pattern(pc.utf8_trim(letters, " "), " ")
-    runs, owner = parts.flatten().to_pylist(), pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
-    out, whose = [], []
-    for run, who in zip(runs, owner.tolist()):
-        for at in range(0, len(run), LONGEST_WORD):
-            out.append(BEGIN + run[at : at + LONGEST_WORD])
-            whose.append(who)
-    return out, np.asarray(whose, np.int64)
+    runs, owner = parts.flatten(), pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
+    real = pc.not_equal(runs, "").to_numpy(zero_copy_only=False)
+    runs = pc.binary_join_element_wise(BEGIN, runs, "")
+    return [x for x, r in zip(runs.to_pylist(), real) if r], owner[real].astype(np.int64)
 
 
 def training_rows(id_col: Column) -> Column:
@@ -195,13 +255,15 @@ def training_rows(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 4 != 2
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the languages in lang_col, from documents that are not held out. Null languages and texts teach nothing."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> Learned:
+    """All languages in lang_col, from documents that are not held out. Null languages and texts teach nothing."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & training_rows(F.col("doc_id")))
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    sizes = {r["lang"]: r["n"] for r in most.collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()], F.lit(0.0))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
+    least = Window.partitionBy("lang").orderBy("hash")
+    limits = rows.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= per_language)
+    limits = limits.groupBy("lang").agg(F.max("hash").alias("limit"))  # one row a language, as the models are
+    # Rows that repeat doc_id and text are one; few enough come past the limits to be dealt anew.
+    drawn = rows.join(F.broadcast(limits), "lang").where("hash <= limit").groupBy("lang", "hash").agg(F.first("text").alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,39 +275,89 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: str | N
                     n = np.bincount(codes, minlength=len(tokens))[owner]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(runs), pa.string()), pa.array(runs, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
-    found = drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    counts: dict[str, dict[str, int]] = {x: {} for x in sizes}
-    for lang, own in found.groupby("lang"):
-        counts[lang] = dict(zip(own["word"], own["n"]))
-    return learn(counts, vocabulary or public_tokenizers.path(VOCABULARY))
-
-
-def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """docs with the predicted language and the score; `und` and 0 where the text is null or has no letter, or where the model knows no language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a row a piece: its size is the vocabulary's
-    schema = StructType([*docs.schema.fields, StructField(lang_as, StringType()), StructField(score_as, DoubleType())])
+    counted = drawn.select("lang", "text").mapInArrow(count, "lang string, word string, n long").where(F.length("word") <= LEARNED_LETTERS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    counted = written(counted.withColumn("rank", rank).where(F.col("rank") <= WORDS).drop("rank"), "counted")
+    languages = sorted(r["lang"] for r in limits.select("lang").collect())
+    pieces, own_words = Pieces.make(vocabulary or public_tokenizers.path(VOCABULARY)), Window.partitionBy("lang")
+    each = counted.withColumn("share", F.col("n") / F.sum("n").over(own_words)).groupBy("word").agg(F.sum("share").alias("share"))
+    top = {r["word"]: r["share"] for r in each.orderBy(F.desc("share"), "word").limit(WORDS).collect()}
+    scale = counted.agg(F.sum("n")).first()[0] or 0
+    pooled = {w: x * scale / max(1, len(languages)) for w, x in top.items()}
+    common = learn({"": pooled}, pieces).p[:, 0]
+    models = []
+    for at in range(0, len(languages), block):
+        names = languages[at : at + block]
+        counts: dict[str, dict[str, float]] = {x: {} for x in names}
+        for lang, own in counted.where(F.col("lang").isin(names)).toPandas().groupby("lang"):
+            counts[lang] = dict(zip(own["word"], own["n"]))
+        models.append(learn(counts, pieces, common=common))
+    return Learned(models, single_letters(pooled, pieces, models))
+
+
+class _Scores:
+    """Log probabilities of tokens by language, remembered from slice to slice; tokens without a letter have none."""
+
+    def __init__(self, models: list[Model]) -> None:
+        self.models, self.width = models, sum(len(m.languages) for m in models)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table, self.lettered = np.zeros((0, self.width)), np.zeros(0, bool)
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """Rows of `table` for the tokens."""
+        if len(self.known) * (self.width + 20) > REMEMBERED:
+            self.forget()
+        if new := [t for t in tokens if t not in self.known]:
+            runs, owner = clean(new)
+            scores = np.concatenate([m.log_probability(runs) for m in self.models], axis=1) if self.width else np.zeros((len(runs), 0))
+            table, lettered = np.zeros((len(new), self.width)), np.zeros(len(new), bool)
+            np.add.at(table, owner, scores)
+            lettered[owner] = True
+            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            self.table, self.lettered = np.concatenate([self.table, table]), np.concatenate([self.lettered, lettered])
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+
+
+def predict(docs: DataFrame, learned: Learned, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score", fit_as: str | None = None) -> DataFrame:
+    """docs with the predicted language and the score; `und` and 0 where the text is null or has no letter, or where no language is known.
+
+    With fit_as, also the logarithm of how much likelier the text is in the predicted language than as letters drawn one
+    by one: a text at or below 0 is no more like any language than such noise. Null where nothing is predicted. Columns of
+    docs that have one of these names are replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learned)  # languages by the vocabulary's pieces
+    new = [StructField(lang_as, StringType()), StructField(score_as, DoubleType()), *([StructField(fit_as, DoubleType())] if fit_as else [])]
+    names = {f.name.lower() for f in new}
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+    schema = StructType([*docs.schema.fields, *new])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        model = shared.value
+        languages, scores = model.languages, _Scores([*model.models, *([model.noise] if fit_as and model.models else [])])
         for batch in batches:
             for part in slices(batch, text_col):
                 codes, tokens, starts = words(part.column(text_col))
-                runs, owner = clean(tokens)
-                by_token, lettered = np.zeros((len(tokens), len(m.languages))), np.zeros(len(tokens), np.int64)
-                if runs and m.languages:
-                    np.add.at(by_token, owner, m.log_probability(runs))
-                    np.add.at(lettered, owner, 1)
-                ends = np.concatenate([np.zeros((1, len(m.languages))), np.cumsum(by_token[codes], axis=0)])
-                sums = ends[starts[1:]] - ends[starts[:-1]]
-                has = np.concatenate([[0], np.cumsum(lettered[codes])])
-                has = has[starts[1:]] > has[starts[:-1]]
-                if m.languages:
-                    best = sums.argmax(1)
-                    odds = 1 / np.exp(np.clip(sums - sums.max(1, keepdims=True), -700, 0)).sum(1)
-                else:
-                    best, odds = np.zeros(len(has), int), np.zeros(len(has))
-                langs = [m.languages[b] if h else UNDECIDED for b, h in zip(best, has)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(np.where(has, odds, 0.0))], names=[*part.schema.names, lang_as, score_as])
+                at = scores.of(tokens)
+                count, n = part.num_rows, max(1, len(tokens))
+                keys, times = np.unique(np.repeat(np.arange(count), np.diff(starts)) * np.int64(n) + codes, return_counts=True)
+                text, row = keys // n, at[keys % n] if len(tokens) else np.zeros(0, np.int64)
+                sums = np.stack([np.bincount(text, times * scores.table[row, k], count) for k in range(scores.width)], axis=1) if scores.width else np.zeros((count, 0))
+                has = np.bincount(text, scores.lettered[row], count) > 0
+                best, odds, fit = np.zeros(count, int), np.zeros(count), np.zeros(count)
+                if languages:
+                    own = sums[:, : len(languages)]
+                    best = own.argmax(1)
+                    odds = 1 / np.exp(np.clip(own - own.max(1, keepdims=True), -700, 0)).sum(1)
+                known = has & bool(languages)
+                out = [pa.array([languages[b] if h else UNDECIDED for b, h in zip(best, known)], pa.string()), pa.array(np.where(known, odds, 0.0))]
+                if fit_as:
+                    if languages:
+                        fit = own.max(1) - sums[:, -1]
+                    out.append(pa.array(fit, pa.float64(), mask=~known))
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *(f.name for f in new)])
 
     return docs.mapInArrow(score, schema)
 
@@ -253,9 +365,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; lang is used only to learn, and only where held_out is false.
 
-    Repeated rows each get a row; an empty table gives none; other columns are ignored.
+    Repeated rows each get a row; an empty table gives none; other columns are ignored. Texts of any length are read whole,
+    words of any length summed over all their segmentations. Of languages that a text is equally likely in, the least name is given.
     """
-    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
+    learned = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = predict(rows, model)
+    found = predict(rows, learned)
     return found.select("doc_id", (~F.coalesce(training_rows(F.col("doc_id")), F.lit(True))).alias("held_out"), "lang_pred", "score")
