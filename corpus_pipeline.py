@@ -19,9 +19,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts and those without a letter."""
-    named = langid.predict(docs, langid.train(docs), lang_as="_predicted_language", score_as="_predicted_score")
-    return named.where(F.col("_predicted_language") != langid.UNDECIDED).select([F.col(f"`{c}`") for c in docs.columns])
+    """Rejects documents of no language and gives the others the predicted one as their lang.
+
+    Rejected: null texts, those without a letter, and those that are no likelier in any learned language than as letters
+    drawn one by one. Where no row has a lang to learn from, only the first two go, and lang stays null. A repeated row is
+    judged like its twin; an empty table gives none.
+    """
+    learned = langid.train(docs)
+    named = langid.predict(docs, learned, lang_as="_language", score_as="_language_score", fit_as="_language_fit")
+    fits = F.coalesce(F.col("_language_fit") > 0, F.col("text").rlike(r"\p{L}") & F.lit(not learned.languages), F.lit(False))
+    lang = F.when(F.col("_language") != langid.UNDECIDED, F.col("_language")).alias("lang")
+    return named.where(fits).select([lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
