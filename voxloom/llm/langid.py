@@ -8,8 +8,8 @@ sums its words' log probabilities; the prediction is the language of the highest
 score its share of all languages.
 
 Every language value is learned, in blocks of BLOCK languages: a block's model is a table of pieces by languages. Learning
-takes at most `per_language` different documents of each language, those of the least hashes of doc_id and text, and of
-their words the WORDS most frequent: the bound on what reaches the driver. Prediction works on whole texts where they lie,
+takes at most `per_language` different documents of each language (more than half as many where there are enough), drawn
+by a hash of doc_id and text, and of their words the WORDS most frequent: the bound on what reaches the driver. Prediction works on whole texts where they lie,
 with no shuffle: each distinct word is scored once, all words of one length together, and a text's sum goes over its
 distinct words.
 """
@@ -31,7 +31,7 @@ from .common import mixed, slices, words, written
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Bounds of the sample to learn from: documents of each language, their most frequent words, and letters of such a word.
-PER_LANGUAGE, WORDS, LEARNED_LETTERS = 400, 50_000, 32
+PER_LANGUAGE, WORDS, LEARNED_LETTERS = 600, 50_000, 32
 #: Languages in a block.
 BLOCK = 64
 ROUNDS = 4
@@ -216,7 +216,8 @@ def learn(counts: dict[str, dict[str, float]], pieces: Pieces, rounds: int = ROU
     groups = [(pieces.lattice([texts[i] for i in at], n), weight[at]) for n, at in _by_length(texts)]
     prior = np.full_like(p, PRIOR)
     for lattice, w in groups:  # a character that longer pieces explain still belongs to its language
-        np.add.at(prior, lattice[0].T, PRIOR * w[None])
+        for k in range(len(languages)):
+            prior[:, k] += PRIOR * np.bincount(lattice[0].ravel(), np.repeat(w[:, k], lattice[0].shape[1]), len(prior))
     for _ in range(rounds if texts else 0):
         p[0] = 0
         total = sum(_expected(x, p, w) for x, w in groups) + prior
@@ -229,13 +230,17 @@ def learn(counts: dict[str, dict[str, float]], pieces: Pieces, rounds: int = ROU
 
 
 def single_letters(counts: dict[str, float], pieces: Pieces, models: list[Model]) -> Model:
-    """The words' characters, one by one; a character that no word has, and the sign of a word's begin, are as likely as where they are likeliest."""
-    total = np.zeros(len(pieces.keys) + 1)
-    for word, n in counts.items():
-        np.add.at(total, pieces.numbers(next(_hashes(_codes([word], len(word)), 1))[1])[0], n)
-    alone = np.unique(pieces.numbers(mixed(np.arange(1, 0x110000, dtype=np.uint64))))  # pieces of one character
-    p, unseen = total / max(total.sum(), 1e-9), alone[(total[alone] == 0) | (alone == pieces.lattice([BEGIN], 1)[0][0, 0])]
-    p[unseen] = np.max([m.p[unseen].max(1) for m in models], axis=0) if models else PRIOR
+    """The words' characters, one by one. Pieces that are found in no word, and the sign of a word's begin, are as likely as where they are likeliest."""
+    total, seen = np.zeros(len(pieces.keys) + 1), np.zeros(len(pieces.keys) + 1, bool)
+    texts = [*counts]
+    for n, at in _by_length(texts):
+        lattice = pieces.lattice([texts[i] for i in at], n)
+        total += np.bincount(lattice[0].ravel(), np.repeat([counts[texts[i]] for i in at], n), len(total))
+        for ids in lattice:
+            seen[ids] = True
+    p = total / max(total[1:].sum(), 1e-9)
+    seen[pieces.lattice([BEGIN], 1)[0]] = False
+    p[~seen] = np.max([m.p[~seen].max(1) for m in models], axis=0) if models else PRIOR
     p[0] = 0
     return Model([""], pieces, p[:, None])
 
@@ -258,12 +263,13 @@ def training_rows(id_col: Column) -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> Learned:
     """All languages in lang_col, from documents that are not held out. Null languages and texts teach nothing."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & training_rows(F.col("doc_id")))
-    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
-    least = Window.partitionBy("lang").orderBy("hash")
-    limits = rows.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= per_language)
-    limits = limits.groupBy("lang").agg(F.max("hash").alias("limit"))  # one row a language, as the models are
+    # The sample of a language is that of the most leading zeros in a hash that has no more than per_language documents.
+    rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).withColumn("bits", F.length(F.bin("hash")))
+    upto = Window.partitionBy("lang").orderBy("bits")  # at most 63 rows a language
+    limits = rows.select("lang", "hash", "bits").distinct().groupBy("lang", "bits").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    limits = written(limits.groupBy("lang").agg(F.max(F.when(F.col("upto") <= per_language, F.col("bits"))).alias("limit")), "limits")
     # Rows that repeat doc_id and text are one; few enough come past the limits to be dealt anew.
-    drawn = rows.join(F.broadcast(limits), "lang").where("hash <= limit").groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    drawn = rows.join(F.broadcast(limits), "lang").where("bits <= limit").groupBy("lang", "hash").agg(F.first("text").alias("text"))  # limits: a row a language, as the models have
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
