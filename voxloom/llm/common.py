@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python task works on at a time; bounds the memory of a task whatever the rows are like.
 SLICE_BYTES = 4_000_000
@@ -36,6 +37,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(df: DataFrame, rows: int) -> float:
+    """How many of `rows` rows of one key make it a heavy one: there are fewer than four heavy keys a partition."""
+    return rows / (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 100
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, size: str, limit: float) -> DataFrame:
+    """left.join(right, key) for right with one row a key and in `size` the number of left's rows of that key.
+
+    Keys of more than `limit` rows are few (at most left's rows / limit): their rows stay where they lie and right's are
+    broadcast. The others are dealt by the key, and no task gets more than `limit` rows of any.
+    """
+    heavy = F.broadcast(right.where(F.col(size) > limit))
+    dealt = left.join(F.broadcast(right.where(F.col(size) > limit).select(key)), key, "left_anti").join(right.where(F.col(size) <= limit), key)
+    return left.join(heavy, key).unionByName(dealt)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,71 +1,87 @@
 """Exact duplicates by a distributed content sort.
 
 The texts, without white space, are dealt out by sampled splitters (`repartitionByRange`) and sorted externally in each
-range, so that equal texts are neighbours; a row is a copy when its whole text equals that of the row before it. The
-splitters compare the first HEAD characters, then the SHA-256 of the whole text: rows in a sample stay small whatever
-the texts are. A group that holds more than a share of all rows is counted first (a hash aggregate, combined before the
-shuffle); its rows get a salt that spreads them over all ranges. At most 4 * partitions groups can be that large, so the
-broadcast of their results is bounded.
+range by their bytes, so that equal texts are neighbours; a row is a copy when its whole text equals that of the row before
+it. Splitters compare the first HEAD characters, so rows in a sample stay small whatever the texts are.
 
-Built-in functions only. The texts are shuffled once.
+Texts with a common head can't be told apart by a splitter. A head of more than a share of all rows is dealt over several
+ranges, each of which sorts and compares its own rows. That changes where rows go, not what comes out: each run of equal
+neighbours gives one row with its size and its best document, and the runs of such heads are joined across ranges. A range
+finds its joined run again by the run's number, so no task gets all rows of a text.
+
+Built-in functions only. The texts are shuffled once, and are normalised and hashed once, after the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 HEAD = 64
 SPACE = r"[\x20\x09-\x0D]+"
+#: Characters of the original text that nearly always hold the head.
+ENOUGH = 160
+
 
+def head_of(text: Column) -> Column:
+    """The first HEAD characters of the text without white space."""
+    soon = F.substring(F.regexp_replace(F.substring(text, 1, ENOUGH), SPACE, ""), 1, HEAD)
+    return F.when((F.char_length(soon) == HEAD) | (F.char_length(text) <= ENOUGH), soon).otherwise(F.substring(F.regexp_replace(text, SPACE, ""), 1, HEAD))
+
+
+def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """Rows with their run in their range: head, salt, is_dealt, run, first (rank in it), run_size, best (of the run), sha."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(*row, F.col(id_col).alias("doc_id"), text.alias("text"), head_of(text).alias("head"))
+    counts = rows.groupBy("head").agg(F.count("*").alias("n"))
+    shared = counts.where(F.col("n") > F.lit(docs.count() / (4 * parts) + 100)).select("head", F.lit(True).alias("is_dealt"))  # fewer than 4 * parts rows
+    rows = rows.join(F.broadcast(shared), "head", "left").withColumn("is_dealt", F.coalesce("is_dealt", F.lit(False)))
+    salt = F.when(F.col("is_dealt"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0)
+    dealt = rows.withColumn("salt", salt).repartitionByRange("head", "salt")
+    bare = F.regexp_replace("text", SPACE, "")
+    dealt = dealt.select(*(["row"] if carry else []), "doc_id", "head", "salt", "is_dealt", bare.alias("bare"), F.char_length("text").cast("long").alias("n_chars"))
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    # The windows' keys are those of the ranges: no further shuffle.
+    order = [F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last()]
+    near = Window.partitionBy("head", "salt").orderBy("bare", *order)
+    runs = dealt.withColumn("starts", ~F.col("bare").eqNullSafe(F.lag("bare").over(near))).withColumn("sha", F.sha2("bare", 256))
+    runs = runs.withColumn("run", F.sum(F.col("starts").cast("long")).over(near.rowsBetween(Window.unboundedPreceding, 0))).drop("bare", "starts")
+    best = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
+    run = Window.partitionBy("head", "salt", "run")
+    return runs.withColumns({"first": F.row_number().over(run.orderBy(*order)), "run_size": F.count("*").over(run), "best": F.min(best).over(run)})
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without the characters of `[\\x20\\x09-\\x0D]`; null is the empty text. The row with
     the most code points in its original text stays, then the smallest doc_id (null last). Of rows that repeat doc_id
-    and text exactly one is kept. An empty table gives no rows; other columns are ignored, or with carry kept in the struct `row`.
+    and text exactly one is kept. Texts of any length are compared whole. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.regexp_replace(text, SPACE, "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), bare.alias("bare"), F.char_length(text).cast("long").alias("n_chars"))
-    if carry:
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), bare.alias("bare"), F.char_length(text).cast("long").alias("n_chars"))
-    rows = rows.withColumn("sha", F.sha2("bare", 256))
-    order = [F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last()]
+    runs = written(_sorted_runs(docs, id_col, text_col, False), "runs")  # narrow: no texts
+    alone = runs.where(~F.col("is_dealt")).select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("run_size").alias("group_size"), (F.col("first") == 1).alias("kept"), F.col("sha").alias("text_sha256"))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    large = docs.count() / (4 * parts)
-    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id")))
-    hot = rows.groupBy("sha").agg(F.count("*").alias("hot_size"), best.alias("best")).where(F.col("hot_size") > F.greatest(F.lit(large), F.lit(100)))
-    hot = hot.select("sha", "hot_size", F.col("best.doc_id").alias("hot_keep"))
-
-    salt = F.when(F.col("hot_size").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    dealt = rows.join(F.broadcast(hot), "sha", "left").withColumns({"salt": salt.cast("int"), "head": F.substring("bare", 1, HEAD)})
-    dealt = dealt.repartitionByRange("head", "sha", "salt")
-
-    # The windows' keys contain those of the ranges: no further shuffle.
-    near = Window.partitionBy("head", "sha", "salt").orderBy("bare", *order)
-    runs = dealt.withColumn("starts", ~F.col("bare").eqNullSafe(F.lag("bare").over(near)))
-    runs = runs.withColumn("run", F.sum(F.col("starts").cast("int")).over(near.rowsBetween(Window.unboundedPreceding, 0))).drop("bare", "starts")
-    run = Window.partitionBy("head", "sha", "salt", "run")
-    found = runs.withColumns({"first": F.row_number().over(run.orderBy(*order)), "local_keep": F.first("doc_id").over(run.orderBy(*order)), "local_size": F.count("*").over(run)})
-    is_hot = F.col("hot_size").isNotNull()
-    keep = F.when(is_hot, F.col("hot_keep")).otherwise(F.col("local_keep"))
-    return found.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.when(is_hot, F.col("hot_size")).otherwise(F.col("local_size")).alias("group_size"),
-        ((F.col("first") == 1) & F.col("doc_id").eqNullSafe(keep)).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-        *(["row"] if carry else []),
+    dealt = runs.where("is_dealt")
+    ends = dealt.where("first = 1").select("head", "salt", "run", "sha", "run_size", F.struct("best.n", "best.none", "best.doc_id", "salt").alias("best"))
+    joined = ends.groupBy("head", "sha").agg(F.sum("run_size").alias("group_size"), F.min("best").alias("whole"))
+    found = ends.select("head", "salt", "run", "sha").join(joined, ["head", "sha"]).drop("sha")
+    across = dealt.join(found, ["head", "salt", "run"]).select(
+        "doc_id", F.col("whole.doc_id").alias("keep_id"), "group_size", ((F.col("first") == 1) & (F.col("salt") == F.col("whole.salt"))).alias("kept"), F.col("sha").alias("text_sha256")
     )
+    return alone.unionByName(across)
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    return exact_duplicates(docs, id_col, text_col, carry=True).where("kept").select("row.*")
+    """The rows of docs that stay, with all their columns; cases as in exact_duplicates."""
+    firsts = written(_sorted_runs(docs, id_col, text_col, True).where("first = 1").drop("first"), "firsts")  # at most one row a text and range
+    dealt = firsts.where("is_dealt")
+    best = dealt.groupBy("head", "sha").agg(F.min(F.struct("best.n", "best.none", "best.doc_id", "salt")).alias("whole"))
+    winners = best.select("head", "sha", F.col("whole.salt").alias("salt"))
+    return firsts.where(~F.col("is_dealt")).select("row.*").unionByName(dealt.join(winners, ["head", "sha", "salt"], "left_semi").select("row.*"))
 
 
 EXACT_SQL = r"""

@@ -2,7 +2,8 @@
 
 The large star links every larger neighbour of a node to the least node around it, the small star does so for smaller
 neighbours; taken in turn they leave one star a component after a few rounds. A round is aggregates and equi-joins; its
-edges are written to the shared folder, and only a count and a checksum reach the driver.
+edges are written to the shared folder, and only a count and a checksum reach the driver. The edges of a node with a large
+share of all edges stay where they lie; the node's row is broadcast to them.
 """
 
 from __future__ import annotations
@@ -10,18 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined, share, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """The least v of each u, and the number of its edges; combined before the shuffle."""
+    return written(edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "least")
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    least = _least(both).withColumn("low", F.least("u", "low"))
+    return joined(both.where("v > u"), least, "u", "n", share(edges, 2 * n)).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("low"))
-    moved = edges.join(least, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    edges = written(edges, "edges")
+    least = _least(edges)
+    moved = joined(edges, least, "u", "n", share(edges, n)).where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(least.select("u", F.col("low").alias("v"))).distinct()
 
 
@@ -36,6 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     before, now = None, _mark(edges)
     while now[0] and now != before:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(_large_star(edges, now[0]), now[0]), "edges")
         before, now = now, _mark(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

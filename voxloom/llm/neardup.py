@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, words, written
+from .common import joined, mixed, share, slices, words, written
 from .graph import components
 
 SHINGLE = 5
@@ -117,7 +117,7 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def sketched(rows: DataFrame, size: int) -> DataFrame:
-    """doc_id, set (fingerprint), n_shingles, bands of rows (doc_id, text)."""
+    """doc_id, row, set (fingerprint), n_shingles, bands of rows (doc_id, row, text)."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,9 +125,9 @@ def sketched(rows: DataFrame, size: int) -> DataFrame:
                 hashes, ends = shingles(part.column("text"), size)
                 keys = band_keys(signatures(hashes, ends))
                 bands = _lists(np.ascontiguousarray(keys).reshape(-1), np.arange(len(keys) + 1) * BANDS)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(hashes, ends), pa.binary()), pa.array(np.diff(ends), pa.int64()), bands], names=["doc_id", "set", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(fingerprints(hashes, ends), pa.binary()), pa.array(np.diff(ends), pa.int64()), bands], names=["doc_id", "row", "set", "n_shingles", "bands"])
 
-    return rows.mapInArrow(sketch, "doc_id long, set binary, n_shingles long, bands array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, row long, set binary, n_shingles long, bands array<long>")
 
 
 def full_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -178,21 +178,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR
 
     A document's set is its distinct shingles of `size` words; sets with similarity of at least `percent` are linked, and
     component_id is the smallest doc_id reachable. Texts that are null or have no words have no shingles and no links. Rows
-    that repeat doc_id and text each get a row; a null doc_id is the smallest of no component but its own. An empty table
+    that repeat doc_id and text each get a row. A row with a null doc_id links others like any row, but gives no component
+    its name and has none itself. Shingles are compared by 64-bit hashes. Texts of any length are read whole. An empty table
     gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row"), F.col(text_col).alias("text"))
     sketches = written(sketched(rows, size), "sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = sketches.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
 
     banded = classes.select("set", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("set").alias("pivot"), F.count("*").alias("members"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("sum")).where("members > 1")
     members = written(banded.join(buckets, "band"), "members")  # only of buckets with company
 
-    wanted = members.select("set").distinct().join(classes.select("set", "low"), "set").select(F.col("low").alias("doc_id"))
-    texts = rows.join(wanted, "doc_id", "left_semi")
-    sets = written(full_sets(texts, size), "sets")
+    wanted = members.select("set").distinct().join(classes.select("set", "row"), "set").select("row")
+    texts = rows.join(wanted, "row", "left_semi")  # a row of each class; more only where rows repeat doc_id and text
+    sets = written(full_sets(texts, size).groupBy("set").agg(F.first("items").alias("items")), "sets")
 
     pairs = members.where("set <> pivot").select("set", "pivot").distinct()
     left = pairs.join(sets, "set").withColumnRenamed("items", "a")
@@ -221,7 +222,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR
 
     roots = found.join(classes.select(F.col("set").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
     linked = found.join(roots, "root").select(F.col("node").alias("set"), "component_id")
-    named = classes.join(linked, "set", "left").select("set", F.coalesce("component_id", "low").alias("component_id"))
-    result = sketches.select("doc_id", "n_shingles", "set").join(named, "set", "left")
-    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    named = written(classes.join(linked, "set", "left").select("set", "size", F.coalesce("component_id", "low").alias("component_id")), "named")
+    own = sketches.select("doc_id", "n_shingles", "set")
+    result = joined(own.where("n_shingles > 0"), named, "set", "size", share(rows, sketches.count())).drop("size")
+    result = result.unionByName(own.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
