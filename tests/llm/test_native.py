@@ -61,5 +61,25 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {("domain0", "de"): 200, ("domain0", "en"): 800, ("domain1", "en"): 1000}
 
 
+def test_weight_zero_gives_nothing(spark):
+    rows = [(i, "w " * 9, lang, s) for i, (lang, s) in enumerate([("en", "src0")] * 100 + [("de", "src0")] * 100 + [("en", "src1")] * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, budget=3000, domains={"domain0": 1, "domain1": 0}, languages={"en": 2, "de": 0}).groupBy("domain", "lang", "leaf_budget").agg({"n_tokens": "sum"}).collect()
+    assert [tuple(r) for r in got] == [("domain0", "en", 2000, 2000)]  # two epochs are all that the only leaf with weight can give
+    assert mixing.mix(docs, domains={"domain0": 0, "domain1": 0}).count() == 0
+    with pytest.raises(ValueError, match="at least 0"):
+        mixing.mix(docs, languages={"en": -1})
+
+
+def test_mixed_rows_keep_their_columns(spark):
+    rows = [(7, "w " * n, "en", "src0", n) for n in (1, 2, 3, 4)] + [(i, "w", "de", "src0", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row int")
+    plain, carried = mixing.mix(docs, budget=100), mixing.mix(docs, budget=100, carry=True)
+    assert carried.columns == ["row", *plain.columns]
+    assert sorted(map(tuple, carried.drop("row").collect())) == sorted(map(tuple, plain.collect()))
+    assert all(len(r.row.text.split()) + 1 == r.n_tokens and r.row.doc_id == r.doc_id for r in carried.collect())
+    assert sum(r.n_tokens for r in carried.collect()) <= 100
+
+
 def test_queries_have_their_sql():
     assert set(queries.oracle_sql()) <= set(queries.queries())

@@ -4,11 +4,13 @@ The budget goes down the tree. A node's share of its parent's budget follows its
 own subtree can give (its tokens times max_epochs); what it can't take goes to its siblings by their weights, and only what
 a whole subtree can't take goes to the siblings of its ancestors. Each level is one window over the nodes (not the
 documents): children in the order of capacity over weight, the first of them filled, the rest sharing what is left. Budgets
-are whole tokens, so the children's sum is the parent's exactly.
+are whole tokens, so the children's sum is the parent's exactly. A node of weight 0 gets nothing: its subtree has nothing to
+give, in a shortage too.
 
 A leaf takes its documents in epochs, each in the order of a hash of seed, epoch and doc_id: whole epochs first, then the
 longest prefix of the next one that fits in what is left. The prefix comes from running totals in two steps (4096 buckets of
-the hash, then rows within a bucket), so no task sees a whole leaf. Built-in functions only.
+the hash, then rows within a bucket), so no task sees a whole leaf. Texts are read once for their tokens; all else goes on
+with leaf, tokens and doc_id. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 SEED, MAX_EPOCHS = 17, 2
 LEVELS = ("domain", "lang", "source")
 #: Weights of the query; what isn't named has weight 1. Whole numbers.
@@ -63,28 +67,37 @@ def share_out(nodes: DataFrame, parents: list[str], name: str, scale: int) -> Da
 def leaf_budgets(leaves: DataFrame, budget: int | None, max_epochs: int, domains: Mapping[str, int], languages: Mapping[str, int], sources: Mapping[str, int]) -> DataFrame:
     """leaves: domain, lang, source, supply. Adds each leaf's budget; a budget of None is the supply of all leaves."""
     weights = dict(zip(LEVELS, (domains, languages, sources)))
+    for name, own in weights.items():
+        if any(w < 0 or w != int(w) for w in own.values()):
+            raise ValueError(f"weights of {name} must be whole numbers of at least 0: {dict(own)}")
+    total = leaves.agg(F.sum("supply").alias("total"))
     caps = leaves.withColumn("cap", F.col("supply") * max_epochs)
-    top = caps.agg(F.least(F.sum("cap"), F.sum("supply") if budget is None else F.lit(budget)).alias("budget"))
+    for name in LEVELS:
+        caps = caps.where(_weight(name, weights[name]) > 0)
+    top = caps.agg(F.sum("cap").alias("most")).join(F.broadcast(total)).select(F.least("most", "total" if budget is None else F.lit(budget)).alias("budget"))  # one row each
     nodes = None
     for k, name in enumerate(LEVELS):
         parents = list(LEVELS[:k])
         own = caps.groupBy(*parents, name).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(name, weights[name]))
         own = own.join(nodes, parents) if parents else own.join(F.broadcast(top))  # top is one row
-        nodes = share_out(own, parents, name, math.lcm(1, *weights[name].values()))
+        nodes = share_out(own, parents, name, math.lcm(1, *(w for w in weights[name].values() if w)))
     return leaves.join(nodes, list(LEVELS))
 
 
 def mix(
     docs: DataFrame, budget: int | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS, domain: Column | None = None, tokens: Column | None = None,
-    domains: Mapping[str, int] = DOMAIN_WEIGHTS, languages: Mapping[str, int] = LANGUAGE_WEIGHTS, sources: Mapping[str, int] = {}, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    domains: Mapping[str, int] = DOMAIN_WEIGHTS, languages: Mapping[str, int] = LANGUAGE_WEIGHTS, sources: Mapping[str, int] = {}, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False,
 ) -> DataFrame:
     """One row for each epoch that takes a document: doc_id, domain, lang, source, n_tokens, epoch, leaf_budget.
 
-    Null languages and sources are the nodes named by the empty text. Null texts have one token, their end. Rows that repeat
-    a doc_id are taken one by one. An empty table gives no rows; other columns are ignored.
+    Null languages and sources are the nodes named by the empty text. Null texts have one token, their end; texts of any
+    length count whole. Rows that repeat a doc_id are taken one by one, of equal places in the order those of fewer tokens
+    first. A leaf of weight 0 (or under a node of weight 0) gives none. An empty table gives no rows; other columns are
+    ignored, or with carry kept in the struct `row`.
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = docs.select(
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
         F.col(id_col).alias("doc_id"),
         (domain_of(F.col(source_col)) if domain is None else domain).alias("domain"),
         blank(lang_col).alias("lang"),
@@ -92,8 +105,11 @@ def mix(
         (words_and_end(F.col(text_col)) if tokens is None else tokens).alias("n_tokens"),
     ).withColumn("domain", blank("domain"))
     leaf = list(LEVELS)
+    if not carry:
+        rows = written(rows, "tokens")  # narrow: no texts
     plan = leaf_budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("supply")), budget, max_epochs, domains, languages, sources)
     plan = plan.select(*leaf, F.col("budget").alias("leaf_budget"), F.expr("cast(budget div supply as int)").alias("whole"), (F.col("budget") % F.col("supply")).alias("part"))
+    plan = written(plan, "leaves")
     rows = rows.join(plan, leaf)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
@@ -102,9 +118,9 @@ def mix(
     totals = rows.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*leaf, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy(*leaf, "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*leaf, "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     first = rows.join(starts, [*leaf, "bucket"]).where("start < part").withColumn("upto", F.col("start") + F.sum("n_tokens").over(inside)).where("upto <= part")
-    columns = ["doc_id", *leaf, "n_tokens", "epoch", "leaf_budget"]
+    columns = [*(["row"] if carry else []), "doc_id", *leaf, "n_tokens", "epoch", "leaf_budget"]
     return whole.select(columns).unionByName(first.withColumn("epoch", F.col("whole")).select(columns))
 
 

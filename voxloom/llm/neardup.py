@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, mixed, share, slices, words, written
+from .common import joined, mixed, salted, share, slices, words, written
 from .graph import components
 
 SHINGLE = 5
@@ -189,15 +189,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR
 
     banded = classes.select("set", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("set").alias("pivot"), F.count("*").alias("members"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("sum")).where("members > 1")
-    members = written(banded.join(buckets, "band"), "members")  # only of buckets with company
+    most = classes.agg(F.sum("size")).first()[0] or 0
+    members = written(joined(banded, buckets, "band", "members", share(rows, BANDS * most)), "members")  # only of buckets with company
 
     wanted = members.select("set").distinct().join(classes.select("set", "row"), "set").select("row")
     texts = rows.join(wanted, "row", "left_semi")  # a row of each class; more only where rows repeat doc_id and text
     sets = written(full_sets(texts, size).groupBy("set").agg(F.first("items").alias("items")), "sets")
 
-    pairs = members.where("set <> pivot").select("set", "pivot").distinct()
+    pairs = written(members.where("set <> pivot").select("set", "pivot").distinct(), "pairs")
     left = pairs.join(sets, "set").withColumnRenamed("items", "a")
-    both = left.join(sets.select(F.col("set").alias("pivot"), F.col("items").alias("b")), "pivot")
+    pivots = pairs.groupBy("pivot").agg(F.count("*").alias("n")).join(sets.select(F.col("set").alias("pivot"), F.col("items").alias("b")), "pivot")
+    both = salted(left, pivots, "pivot", "n", "set", share(rows, pairs.count()))
     shared = F.size(F.array_intersect("a", "b"))
     links = written(both.where(similar(shared, F.size("a"), F.size("b"), percent)).select(F.col("set").alias("u"), F.col("pivot").alias("v")), "links")
     found = components(links)
@@ -220,8 +222,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR
     more = written(searched.groupBy("band", "low", "high").applyInPandas(search, "u binary, v binary"), "links")
     found = written(components(links.unionByName(more)) if more.take(1) else found, "components")
 
-    roots = found.join(classes.select(F.col("set").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = found.join(roots, "root").select(F.col("node").alias("set"), "component_id")
+    roots = found.join(classes.select(F.col("set").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    linked = joined(found, written(roots, "roots"), "root", "n", share(rows, found.count())).select(F.col("node").alias("set"), "component_id")
     named = written(classes.join(linked, "set", "left").select("set", "size", F.coalesce("component_id", "low").alias("component_id")), "named")
     own = sketches.select("doc_id", "n_shingles", "set")
     result = joined(own.where("n_shingles > 0"), named, "set", "size", share(rows, sketches.count())).drop("size")
