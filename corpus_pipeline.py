@@ -45,11 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as came in, by the target weights: leaves over their budget give a prefix, others up to two epochs (a row for each)."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_taken_id")).agg(F.count("*").alias("_times"))
-    ids = docs.groupBy(F.col("doc_id").alias("_row_id")).agg(F.count("*").alias("_rows"))  # 1 unless an id stands for several texts
-    times = taken.join(ids, taken["_taken_id"].eqNullSafe(ids["_row_id"])).select("_taken_id", F.ceil(F.col("_times") / F.col("_rows")).cast("int").alias("_times"))
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["_taken_id"]))
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select([docs[c] for c in docs.columns])
+    return mixing.mix(docs, carry=True).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
