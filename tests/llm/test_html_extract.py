@@ -22,7 +22,7 @@ def test_article_without_the_rest(spark):
     assert got[1] == got[2] == got[4] == got[5] == ("", 0)
     assert got[6] == ("Alone", 5)
     assert got[7][1] == 499_999
-    assert texts(spark, [])== {}
+    assert texts(spark, []) == {}
 
 
 def test_tree_fits_its_table():
@@ -47,3 +47,65 @@ def test_given_pages(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<b>", "").replace("</b>", "")
         parts = [re.sub(r"\s+", " ", html.unescape(x)).strip() for x in re.split(r"</?(?:p|h1|br)>", article)]
         assert got[r.page_id] == " ".join(x for x in parts if x)
+
+
+def chosen(tree, row):
+    while not isinstance(tree, bool):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_words_links_and_neighbours_decide():
+    x, y = h.labelled()
+
+    def errors(columns):
+        tree = h.grow(x[:, columns], y)
+        return sum(chosen(tree, r) != t for r, t in zip(x[:, columns], y))
+
+    whole = errors([0, 1, 2, 3, 4, 5])
+    assert whole <= 0.02 * len(y)
+    assert errors([0]) > 4 * whole + 4 and errors([1]) > 2 * whole + 4  # neither words nor links alone are enough
+    assert errors([0, 1]) > whole + 2  # nor both without the neighbours
+    used, todo = set(), [h.grow(x, y)]
+    while todo:
+        if not isinstance(tree := todo.pop(), bool):
+            used.add(h.FEATURES[tree[0]].split("_")[0] if "_" not in h.FEATURES[tree[0]] else h.FEATURES[tree[0]])
+            todo += tree[2:]
+    assert {"density", "density_before", "density_after"} <= used and used & {"words", "words_before", "words_after"}
+
+
+def test_pages_without_named_parts(spark):
+    long = "Heavy rain fell on the towns along the coast for a second night, and the rivers rose above their banks again."
+    link = lambda *names: "".join(f"<li><a href='/{n}'>{n}</a></li>" for n in names)
+    got = texts(
+        spark,
+        [
+            "plain text no tags at all",
+            f"<div><ul>{link('Home', 'News', 'Sport')}</ul></div><div><h2>Storm at the coast</h2><p>{long}</p><p>Stay.</p><p>{long}</p></div><div><a href=/t>Terms of use</a> <a href=/c>Contact</a></div>",
+            f"<p><a href=/>Start</a> | <a href=/x>Index</a></p><h1>A bridge</h1><p>{long} <a href=/m>More here</a></p><p>It fell.</p><p>{long}</p><p><a href=/p>Previous page</a> <a href=/q>Next page</a></p><p>By us</p>",
+            f"<div class='alert-free side-by-side'><div class='article-header'>Title</div><p>{long}</p></div><div class='search-results form-group'>{long}</div>",
+            f'<main><p class="x>{long}</p><p>Then <b class="y">this</b> one.</p></main>',
+            f"<p>{long}</p><label>Name</label><input><p class='ad-slot-2'>Buy it</p><div class='reader-comments'><p>{long}</p></div>",
+            "a <b title='x > y'>c</b> <a<a<a d " + "<a " * 5000,
+        ],
+    )
+    assert got[0][0] == "plain text no tags at all"
+    assert got[1][0] == f"Storm at the coast {long} Stay. {long}"
+    assert got[2][0] == f"A bridge {long} More here It fell. {long}"
+    assert got[3][0] == f"Title {long} {long}"
+    assert got[4][0] == f"{long} Then this one."
+    assert got[5][0] == long
+    assert got[6][0].startswith("a c") and "<" not in got[6][0]
+
+
+def test_other_names_and_no_article_tag(spark):
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r.page_id: r.text for r in h.main_text(rows).collect()}
+    plain = [(r.page_id, "u", re.sub(r"<(/?)article>", r"<\1div>", re.sub('<div class="ad">.*?</div>', "", r.html)).replace("<nav>", "<div class=k7>").replace("</nav>", "</div>")) for r in rows.collect()]
+    got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()}
+    # The menu has no name now: its links tell. A title of a few words between it and a short line may be taken for a part of it.
+    same = sum(got[i] == want[i] for i in want)
+    assert same >= 0.9 * len(want), same
+    assert all(want[i].endswith(got[i]) and len(got[i].split()) >= len(want[i].split()) - 4 for i in want)

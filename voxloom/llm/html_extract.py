@@ -1,9 +1,11 @@
-"""Main text of web pages: blocks, shallow features, and a decision tree.
+"""Main text of web pages: flat blocks, shallow features, and a decision tree.
 
-A page is cut into flat text blocks where block-level tags begin or end. Each block has its words, its link density
-(the share of its words in links), those of its neighbours, and whether it stands in a part of the page that is named
-as the article or as something else. A decision tree, grown on the small table of labelled pages below, says which blocks
-are text; it is applied as one column expression (nested CASE) over each page's array of blocks. Pages never move: no shuffle.
+A page is cut into flat text blocks where block-level tags begin or end. Tags and names of parts only cut blocks and drop
+what can't be text: navigation, footers, asides, forms, parts named as adverts or comments and the like; where a page marks
+its article, what stands outside it. Of the blocks that are left, each has its words and its link density (the share of its
+words in links), and so have its two neighbours. A decision tree on these six numbers, grown on the small labelled table
+below, says which blocks are text; it is applied as one column expression (nested CASE) over each page's array of blocks.
+Pages never move: no shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .common import slices
 
 #: HTML element names by what they do to the text.
 RAW = set("script style textarea title".split())
-SKIPPED = set("script style template noscript head title iframe object svg math canvas select textarea button datalist audio video".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr input".split())
+SKIPPED = set("script style template noscript head title iframe object svg math canvas select textarea button datalist audio video label legend output progress meter".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = set("nav footer aside form menu dialog header".split())
 REPEATED = set("p li dt dd tr td th option".split())
@@ -31,32 +33,47 @@ INSIDE = set("article main".split())
 NAMED = set(
     """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr
     nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar side aside widget related recommended share sharing social toolbar
-    comment comments disqus respond reply replies discussion feedback notice notices alert warning newsletter subscribe subscription signup login search
+    comment comments disqus respond reply replies discussion feedback notice notices alert alerts warning newsletter subscribe subscription signup login search
     pagination pager copyright legal contentinfo complementary dialog form""".split()
 )
-BEGINS = ("comment", "advert", "sidebar", "cookie", "newsletter", "sponsor")
+#: Words that may stand beside those in a name and leave its meaning (`site-footer`, `ad-slot-2`, `comment-list`).
+BESIDE = set(
+    """area bar block box body bottom col column container content global holder inner item items left list links middle outer page
+    panel primary reader readers right row secondary section site slot small sticky text thread top unit user users widgets wrap wrapper zone""".split()
+)
 #: Elements whose class says something about the page, not about a part of it.
 WHOLE = INSIDE | {"html", "body"}
 #: Attribute values of a part that holds the article.
-ARTICLE = set("article content main post entry story".split())
+ARTICLE = set("article content main post entry story article-body post-content entry-content post-body story-body".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags. Quotes in a tag count where they are closed before a space or the tag's end; else the tag ends at the next mark.
+_QUOTED = r"\"[^\"<>]*+(?:\"|[<>][^\"]*+\"(?=[\s/>]))|'[^'<>]*+(?:'|[<>][^']*+'(?=[\s/>]))"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|{_QUOTED})*+(?=>)|[^<>]*)(?:>|\Z|(?=<))", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
+#: Words have a letter or a digit; marks between links are none.
+_WORD = re.compile(r"\w\S*")
 
 UNNAMED, IN_ARTICLE, ELSEWHERE = 0, 1, 2
 
 
+def _elsewhere(name: str) -> bool:
+    """Whether a class, id or role names a part that isn't the article: all its words do, or go beside those that do."""
+    tokens = [t for t in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])|[0-9]+", name) if t]
+    tokens = [t.lower() for t in tokens]
+    return any(t in NAMED for t in tokens) and all(t in NAMED or t in BESIDE for t in tokens)
+
+
 def _part(name: str, attributes: str) -> int:
     """What kind of part an element opens."""
     if name in OUTSIDE:
         return ELSEWHERE
     if attributes and name not in WHOLE:
-        tokens = {t for m in _NAMES.findall(attributes) for t in re.split(r"[\s_-]+", "".join(m).lower())}
-        if tokens & NAMED or any(t.startswith(BEGINS) for t in tokens) or _HIDDEN.search(attributes):
+        names = [x for m in _NAMES.findall(attributes) for x in "".join(m).split()]
+        if any(_elsewhere(x) for x in names) or _HIDDEN.search(attributes):
             return ELSEWHERE
-        if name in ("div", "section") and tokens & ARTICLE:
+        if name in ("div", "section") and any(x.lower() in ARTICLE for x in names):
             return IN_ARTICLE
     return IN_ARTICLE if name in INSIDE else UNNAMED
 
@@ -72,8 +89,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         if text:
             whole = _SPACE.sub(" ", "".join(t for t, _ in text)).strip()
             if whole:
-                linked = sum(len(t.split()) for t, link in text if link)
-                out.append((whole, len(whole.split()), linked, part))
+                linked = sum(len(_WORD.findall(t)) for t, link in text if link)
+                out.append((whole, len(_WORD.findall(whole)), linked, part))
             text.clear()
 
     while at < n:
@@ -128,55 +145,98 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-#: The labelled table: pages of common layouts; a block that begins with "=" is text.
-LABELLED = (
-    """<body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article><h1>=Storm over the northern coast tonight</h1><p>=Heavy rain fell on the towns
-    along the coast for a second night, and rivers rose above their banks.</p><p>=Schools stay shut.</p><p>=More than two thousand people left their homes, said the <a href=/m>mayor of the town</a>
-    on Monday evening.</p></article><aside class=related><h2>Related</h2><p><a href=/1>Storm in the south</a></p></aside><footer>&copy; The Daily Paper. All rights reserved.</footer></body>""",
-    """<body><div class=header>The Garden Blog, about plants and soil</div><div id=menu><a href=/a>About</a> <a href=/b>Archive</a></div><div class=ad>Buy our new spade today, it digs
-    twice as deep as any other spade that you can find in shops.</div><div class=post><h2>=Roses in winter</h2><p>=Cut the stems before the first frost and cover the roots.</p><p>=Wait.</p>
-    <ul><li>=Use straw or dry leaves</li><li>=Never use plastic</li></ul></div><div id=comments><p>I tried this last year and it worked very well for all of my roses, thank you for the good advice.</p></div></body>""",
-    """<body><p><a href=/>Start</a> | <a href=/x>Index</a> | <a href=/y>Contact us</a></p><h1>=A short history of the bridge</h1><p>=The first bridge over the river was built of wood and stood for
-    nearly a hundred years before a flood took it away in a single night.</p><p>=Its stone piers can still be seen at low water, some way below the new bridge and the mill.</p>
-    <p><a href=/p>Previous page</a> <a href=/q>Next page</a></p><p>Copyright notice</p></body>""",
-    """<body><div>Login</div><div><a href=/1>Sport</a><a href=/2>Weather</a><a href=/3>Money</a></div><div><p>=The council voted late on Tuesday to widen the road past the old station, after
-    a long debate in which many members spoke.</p><p>=Work will begin in the spring and should be done before the end of the next year, the chair of the council said.</p></div>
-    <div><a href=/t>Terms of use</a></div><div>Powered by Press</div></body>""",
-    """<body><header><p>The weekly letter from the library, for readers of all ages in the town</p></header><main><h1>=New books</h1><p>=Forty new books came in this week.</p><p>=Come and see.</p>
-    <blockquote>=A reader without a book is a boat without water.</blockquote></main><form><p>Send us your name and your address and we will write to you every week.</p></form>
-    <div class="cookie-notice">We use cookies to make this page work better for you. By reading on you accept our use of them.</div><footer><p>Library Road 5, open from nine to five</p></footer></body>""",
-    """<body><ul><li><a href=/1>Bread</a></li><li><a href=/2>Cakes</a></li></ul><h1>=Plain white bread</h1><p>=Mix the flour with warm water, salt and yeast, then knead the dough for ten minutes
-    until it no longer sticks to the board.</p><p>=Let it rest.</p><p>=Bake it in a hot oven for forty minutes, until the crust is dark and sounds hollow when you knock on it.</p>
-    <ul><li><a href=/5>More about flour and yeast</a></li><li><a href=/6>Ovens for small kitchens</a></li></ul></body>""",
-    """<body><section><p>=Late in the year the birds leave the lake and fly south over the hills, in flocks of many hundreds that darken the sky.</p><p>=Few stay.</p><p>=Those that do stay feed on
-    seeds and berries along the shore until the ice breaks in the spring.</p></section><section class=sidebar><p>Subscribe to our bird letter and get a free map of the lake with every number.</p></section>
-    <p><a href=/s>Share</a> <a href=/u>Tweet</a></p></body>""",
-    """<body><article><h1>=The mill</h1><p>=It stands.</p><p>=The old mill by the ford has ground no corn since the war, but its wheel still turns.</p><p>=See it.</p></article></body>""",
-    """<body><main><p>=One.</p></main></body>""",
-    """<body><nav><a href=/>Home</a></nav><article><p>=A short note.</p><p>=See <a href=/x>the list</a></p></article></body>""",
-    """<body><article><p>=<a href=/h>The harbour pages</a></p><p>=Ships.</p></article></body>""",
-    """<body><h1>=The weir</h1><p>=Salmon climb the weir in autumn, when the water is high, and rest in the pool above it before they go on.</p><p>=Anglers may not fish within a hundred yards of it, by an old law that
-    the river court still keeps with some care.</p></body>""",
-    """<body><p>=This page is a plain note about the clock in the tower, which was mended in the spring and strikes the hours again.</p></body>""",
-)
+#: The labelled table: a line is a page without tags that name its parts, a word one of its blocks in order: `t` text or
+#: `n` not, its words, and behind a stroke those of them that are in links.
+LABELLED = """
+n3/3 n1 t6 t34 t41/2 t3 t52 n5/5
+n2/2 n4/4 t9 t1 t28/1 t33 t2 n3/3 n2
+n1/1 n1/1 n1/1 t5 t60 t22 t47/3 n1/1 n1/1
+n6/5 n2 t8 t26 t9 t31 t5 t44 n4/3 n3
+n1 n3/3 t32 t27 t40 n3/3 n3
+n5/5 t7 t18 t24/2 t4 t19 n6/6 n5/5
+n2/2 n2/2 n3 t11 t45 t3 t7 t38 n2/2 n2/2
+t6 t40 t1 t33 t28
+t12
+t3
+t1
+t21
+t70
+t5 t4
+t4 t60
+t60 t4
+t2 t1 t2
+t3 t3 t3 t3
+t1 t9 t1 t8 t12 t1
+t14 t13 t2 t80 t1 t1 t30
+t9 t10 t11 t12
+t5 t25/3 t6 t31/1 t7
+t8 t50/4 t20 t2
+t3 t90 t2/2 t70
+t6 t35 t4/4 t42 t30
+t7 t28 t3/2 t33
+t2 t18 t1/1 t26 t4
+t5 t3/2 t4
+t6 t10/4 t12
+t40/12 t35/9 t30
+t20/8 t28 t31/10
+t3 t44 t5/2 t36 n2/2
+t8 t61 n3/3 n4/4
+t9 t37 n5/5
+n4/4 t7 t3 t22
+n3/3 t5 t2 t2
+n7/7 t4 t48 t3
+n8/8 t10 t29 t36/2 n9/9
+n2/2 n2/2 n2/2 n2/2 t9 t52 t1 t37
+n1/1 n1/1 n1/1 n1/1 n1/1
+n4/4 n6/6 n3/3
+n12/12
+n3/3
+n1/1 n2 n1/1
+n5/5 n1 n6/6 t7 t55 t21
+n10/10 n2 n3/3 t6 t31 t42
+t8 t33 t25 n4/4 n3 n5/5
+t5 t47 t20 n6/6 n2 n3/3 n1/1
+n9/8 t6 t24 t30 n8/7
+n11/9 t4 t36 t2 t27 n12/10
+n6/5 t7 t29 t18
+t9 t34 n7/6
+n2 n4/4 t11 t41 t38
+n1 n5/5 n6/6 t8 t23 t2 t57
+n3 n2/2 t9 t64
+t7 t32 n2/2 n4
+t10 t20 t35 n3/3 n2
+t4 t55/6 n3/3 n3
+t6 t19 t27 n8/8 n5
+t16/2 t14 t3
+t120/20 t90/15
+t2/1 t30 t28
+t15/6 t40
+t5 t30 t1 t25 n4/4
+t1 t40 n3/3
+t2 t9 t1 t60 n2/2
+t1 t17 n6/6
+n3/3 t1 t21 n5/5 n2
+n1 n7/7 t3 t1 t33 n2/2
+t24 n2/2
+"""
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "named_text", "named_other")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after")
 
 
-def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """One row a block, as FEATURES; blocks beyond the page's ends have no words and no links."""
-    words = np.array([0, *(b[1] for b in found), 0], float)
-    density = np.array([0, *(b[2] for b in found), 0]) / np.maximum(words, 1)
-    part = np.array([b[3] for b in found])
-    return np.stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], part == IN_ARTICLE, part == ELSEWHERE], axis=1)
+def features(found: list[tuple[int, int]]) -> np.ndarray:
+    """One row a block of (words, words in links), as FEATURES; blocks beyond the ends have no words and no links."""
+    words = np.array([0, *(b[0] for b in found), 0], float)
+    density = np.array([0, *(b[1] for b in found), 0]) / np.maximum(words, 1)
+    return np.stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]], axis=1)
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     x, y = [], []
-    for page in LABELLED:
-        found = blocks(page)
-        x.append(features(found))
-        y += [b[0].startswith("=") for b in found]
+    for page in LABELLED.split("\n"):
+        found = [(*map(int, (block[1:] + "/0").split("/")[:2]), block[0] == "t") for block in page.split()]
+        if found:
+            x.append(features([b[:2] for b in found]))
+            y += [b[2] for b in found]
     return np.concatenate(x), np.array(y)
 
 
@@ -208,7 +268,11 @@ def decided(tree: tuple | bool, values: dict[str, Column]) -> Column:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every page. Null, empty and textless pages have the empty text; broken markup is read as far as it goes."""
+    """page_id, url, text and n_chars of every page.
+
+    Null, empty and textless pages have the empty text; broken markup is read as far as it goes, pages of any length whole.
+    Rows that repeat a page each get a row; an empty table gives none; other columns are ignored.
+    """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("text", pa.string()), ("words", pa.int32()), ("links", pa.int32()), ("part", pa.int32())]))
@@ -222,13 +286,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     cut_pages = rows.mapInArrow(cut, f"page_id {ids[0]}, url {ids[1]}, blocks array<struct<text: string, words: int, links: int, part: int>>")
     tree = grow(*labelled())
 
+    left = F.filter("blocks", lambda b: b["part"] != ELSEWHERE)
+    marked = F.filter("blocks", lambda b: b["part"] == IN_ARTICLE)
+    cut_pages = cut_pages.withColumn("blocks", F.when(F.size(marked) > 0, marked).otherwise(left))
+
     def is_text(block: Column, i: Column) -> Column:
         near = lambda k: F.get("blocks", i + k)  # noqa: E731  null beyond the ends
         words = lambda b: F.coalesce(b["words"], F.lit(0)).cast("double")
         density = lambda b: F.coalesce(b["links"] / F.greatest(b["words"], F.lit(1)), F.lit(0.0))
-        before, after = near(-1), near(1)
-        named = [(block["part"] == x).cast("int") for x in (IN_ARTICLE, ELSEWHERE)]
-        return decided(tree, dict(zip(FEATURES, [words(block), density(block), words(before), density(before), words(after), density(after), *named])))
+        return decided(tree, dict(zip(FEATURES, [f(b) for b in (block, near(-1), near(1)) for f in (words, density)])))
 
     text = F.array_join(F.transform(F.filter("blocks", is_text), lambda b: b["text"]), " ")
     return cut_pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
