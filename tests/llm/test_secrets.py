@@ -80,8 +80,7 @@ def test_cut_decoding_is_that_of_whole_texts():
                     end = i + 1
                     while end < len(path) and path[end] == secrets.INSIDE:
                         end += 1
-                    if (e[a + i : a + end, 1:].max(1) - e[a + i : a + end, 0]).sum() >= secrets.LEAD:
-                        want.append((k, a + i, a + end))
+                    want.append((k, a + i, a + end))
                     i = end
                 else:
                     i += 1
@@ -112,3 +111,37 @@ def test_learns_what_the_patterns_show(spark):
     got = {r.doc_id: r.secrets for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [s.kind for s in got[999]] == ["crf"] and "passphrase=" in got[999][0].text
     assert all([s.kind for s in got[i]] == (["assign"] if i % 3 == 0 else []) for i in range(300))
+
+
+#: Forms that the labelled table doesn't have.
+NEW_SECRETS = ['curl -H "Authorization: token «{dash}»"', "my new passphrase is «{pass}» by the way", "«amqp://{word}:{pass}@{word}.example.com:5672/»", '{"login_key": "«{key}»"}', "pwd -> «{pass}»", "-----BEGIN EC PRIVATE KEY----- «{long} {long}» -----END EC PRIVATE KEY-----", "bearer «{web}»"]
+NEW_PLAIN = ["record {uuid} of {word}", "digest {HASH}", "see https://docs.example.com/{word}/{Word}/{num}", "{Word}{Word}Factory", "part no {code}", "the passphrase is safe", "{word}_{num}.tar.gz", "login at nine", "{num}-{num}-{num}"]
+
+
+def test_secrets_beyond_the_patterns_are_found(spark):
+    lines = secrets.labelled_lines(600, 77, NEW_SECRETS, NEW_PLAIN)
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(lines)], "doc_id long, text string")
+    field = secrets.train(corpus)
+    got = {r.doc_id: r.secrets for r in secrets.scan(rows, field).collect()}
+    hit = right = tagged = 0
+    for i, (text, spans) in enumerate(lines):
+        found = [s for s in got[i] if s.kind == "crf"]
+        hit += any(s.start < b and s.end > a for s in got[i] for a, b in spans)
+        tagged += len(found)
+        right += sum(any(s.start < b and s.end > a for a, b in spans) for s in found)
+    assert hit >= 0.9 * 300, hit
+    assert right >= 0.95 * tagged > 0, (right, tagged)
+    real = secrets.scan(corpus, field).collect()
+    assert sum(any(s.kind == "crf" for s in r.secrets) for r in real) <= 0.005 * len(real)
+    # In one table with the corpus, where nothing says that these are secrets.
+    both = corpus.union(rows.where("doc_id < 60").selectExpr("doc_id + 1000000", "text"))
+    got = {r.doc_id: r.secrets for r in secrets.secrets(both).where("doc_id >= 1000000").collect()}
+    assert sum(any(s.kind == "crf" for s in got[1000000 + i]) for i in range(60) if lines[i][1]) >= 24
+
+
+def test_the_rest_of_a_secret_beside_a_base_span(spark):
+    rows = [(0, "then he wrote password=abcdef$Xy9Qr7!kPz3mW8 and left"), (1, 'set "password": "abcdef123456", then go'), (2, "password=abcdef123456.")]
+    got = {r.doc_id: r.secrets for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.kind, s.text) for s in got[0]] == [("assign", "password=abcdef"), ("crf", "password=abcdef$Xy9Qr7!kPz3mW8")]
+    assert [s.kind for s in got[1]] == [s.kind for s in got[2]] == ["assign"]

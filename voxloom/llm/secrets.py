@@ -1,16 +1,21 @@
 """Secrets by fixed patterns and a linear-chain conditional random field.
 
 The patterns give the base spans. The field tags the words of a text as begin, inside or outside of a secret, from each
-word's shape, its two neighbours and the document's own make-up; it learns by maximum likelihood, with the base spans of
-a bounded sample of documents as labels, so that it finds what is like them beyond the patterns' letters. Decoding is
-Viterbi's, exact but short: where a word's lead for "outside" exceeds all that the two moves around it can change, every best
-path passes "outside" there, and only the words between such points need a table. Texts stay where they lie; no shuffle.
+word's shape, its two neighbours and the document's own make-up; every run on the best path that holds more than base spans
+is a span too. It learns by maximum likelihood from two tables of windows: one drawn from the corpus, with the base spans
+as labels, and a labelled one of secrets that no pattern shows (login addresses, bearer lines, key blocks, split
+assignments, passwords in prose) beside what only looks like them (UUIDs, checksums in capitals, dates, codes, names).
+
+Decoding is Viterbi's, exact but short: where a word's lead for "outside" exceeds all that the two moves around it can
+change, every best path passes "outside" there, and only the words between such points need a table. Texts stay where
+they lie; no shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -22,13 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, words
+from .common import mixed, slices, words
 
-#: Documents to learn from, about; windows without a secret kept of each; words on each side of a window's middle.
-SAMPLE, WINDOWS, REACH = 4_000, 1, 4
+#: Bounds of the sample to learn from: different documents, and of each the windows around base spans, around other odd
+#: words, and around any words; words on each side of a window's middle.
+SAMPLE, OF_SPANS, OF_ODD, OF_ANY, REACH = 3_000, 6, 2, 1, 4
+#: Lines of the labelled table.
+LABELLED = 1_500
 STEPS, RATE, DECAY = 80, 0.2, 1e-3
-#: The least probability-like lead, in log units, of a tagged span over the best path without it, to be reported.
-LEAD = 1.0
 
 #: The base patterns, in the order that spans of one start take.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -36,7 +42,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_KEYWORD = re.compile(r"pass(?:word|wd|phrase)?$|secret|token|api|key$|credential|auth|pwd", re.I)
+_KEYWORD = re.compile(r"pass(?:word|wd|phrase)?$|secret|token|api|key$|credential|auth|pwd|bearer|login", re.I)
+_KEYED = "(?i)pass|pwd|secret|token|api|key|credential|auth|bearer|login"  # finds all that _KEYWORD finds
+_LOGIN = re.compile(r"://[^/\s:@]+:[^/\s@]{4,}@")
+_UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _VALUE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 #: Marks around a word that are no part of it.
 _MARKS = "\"'`.,;:!?()[]{}<>*#$%&|~^\\"
@@ -58,9 +67,9 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 
 OWN = (
     "bias long8 long12 long16 long20 long32 lower upper digit only_digits half_digits mixed_case digit_and_lower digit_and_upper upper_digits hex16 "
-    "turns4 turns8 even_mix assigned quoted dotted at_sign plus_slash dashes value keyword symbols other_letters"
+    "turns4 turns8 even_mix assigned quoted dotted at_sign plus_slash dashes value keyword symbols other_letters login uuid capital_hex mixed_mark slashes"
 ).split()
-NEAR = "keyword equals ends_assign quoted_value none".split()
+NEAR = "keyword equals ends_assign quoted_value none block".split()
 FILE = "many_digits keyword_somewhere short code_like".split()
 WIDTH = len(OWN) + 2 * len(NEAR) + len(FILE)
 
@@ -79,6 +88,7 @@ def own_features(word: str) -> np.ndarray:
             digits > 1 and lower > 0, digits > 1 and upper > 1, digits > 0 and digits + upper == n > 8, n >= 16 and 0 < digits < n and re.fullmatch("[0-9a-f]+", tail) is not None,
             turns >= 4, turns >= 8, n >= 10 and digits > 0 and entropy > 0.8 * math.log2(min(n, 40)), tail != core, word[:1] in "\"'`" and n >= 6, "." in tail, "@" in word, "+" in tail or "/" in tail, "-" in tail or "_" in tail,
             bool(_VALUE.search(tail)), bool(_KEYWORD.search(core.split("=")[0].split(":")[0])), sum(not c.isalnum() for c in word) > 2, any(c.isalpha() and c > "\x7f" for c in tail),
+            bool(_LOGIN.search(word)), bool(_UUID.search(word)), n >= 16 and re.fullmatch("[0-9A-F]+", tail) is not None, digits > 0 and lower > 0 and upper > 0 and kinds.count("x") > 0 and "/" not in tail, tail.count("/") > 1,
         ],
         np.float32,
     )
@@ -86,11 +96,11 @@ def own_features(word: str) -> np.ndarray:
 
 def near_features(word: str) -> np.ndarray:
     core = word.strip(_MARKS.replace(":", ""))
-    return np.array([bool(_KEYWORD.search(core.rstrip(":="))), core in ("=", ":", ":=", "=>"), core[-1:] in ("=", ":"), word[:1] in "\"'`" and len(core) >= 6, 0], np.float32)
+    return np.array([bool(_KEYWORD.search(core.rstrip(":="))), core in ("=", ":", ":=", "=>"), core[-1:] in ("=", ":"), word[:1] in "\"'`" and len(core) >= 6, 0, "-----" in word], np.float32)
 
 
 #: Neighbours beyond a text's ends.
-EDGE = np.array([0, 0, 0, 0, 1], np.float32)
+EDGE = np.array([0, 0, 0, 0, 1, 0], np.float32)
 
 
 @dataclass
@@ -112,7 +122,7 @@ class Slice:
         core = pc.utf8_trim(column, _MARKS)
         flag = lambda x: x.to_numpy(zero_copy_only=False)
         plain = flag(pc.match_substring_regex(core, _PLAIN))
-        keyed = flag(pc.match_substring_regex(core, "(?i)pass|pwd|secret|token|api|key|credential|auth"))
+        keyed = flag(pc.match_substring_regex(core, _KEYED))
         size, inner = flag(pc.utf8_length(column)), flag(pc.utf8_length(core))
         capital, accent = flag(pc.not_equal(pc.utf8_lower(core), core)), flag(pc.binary_length(core)) > inner
         shout = capital & flag(pc.equal(pc.utf8_upper(core), core)) & (inner > 1)
@@ -200,8 +210,7 @@ class Field:
                 end = k + 1
                 while end < len(path) and path[end] == INSIDE:
                     end += 1
-                if (e[a + k : a + end, 1:].max(1) - e[a + k : a + end, OUTSIDE]).sum() >= LEAD:
-                    out.append((int(owner), a + k, a + end))
+                out.append((int(owner), a + k, a + end))
                 k = end
         return out
 
@@ -263,36 +272,95 @@ def fit(x: np.ndarray, y: np.ndarray, live: np.ndarray, steps: int = STEPS) -> F
     return Field(w.astype(np.float32), t.astype(np.float32))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """A field from about `sample` rows (doc_id, text) drawn by a hash of doc_id; None where they hold no base span."""
-    total = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, sample / max(total, 1)) * float(1 << 30))
-    length = 2 * REACH + 1
+def labelled_lines(lines: int = LABELLED, seed: int = 1, positive: list[str] | None = None, negative: list[str] | None = None) -> list[tuple[str, list[tuple[int, int]]]]:
+    """The labelled table, by rule: (text, spans of secrets). A line is a form of the lists below among ordinary words; half the lines hold a secret."""
+    rng = random.Random(seed)
+    text = lambda kinds, a, b: "".join(rng.choice(kinds) for _ in range(rng.randint(a, b)))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    values = {
+        "key": lambda: text(lower + upper + digits, 20, 44),
+        "long": lambda: text(lower + upper + digits + "+/", 48, 64) + rng.choice(["", "=", "=="]),
+        "pass": lambda: text(lower, 2, 5) + text(upper, 1, 3) + rng.choice("$!#%&*?@^~") + text(digits, 1, 3) + text(lower + upper + digits + "$!#%^", 3, 8),
+        "web": lambda: f"eyJ{text(lower + upper + digits, 14, 30)}.eyJ{text(lower + upper + digits, 20, 50)}.{text(lower + upper + digits + '_-', 24, 43)}",
+        "dash": lambda: text(lower, 2, 4) + rng.choice("_-") + text(lower + upper + digits, 22, 40),
+        "word": lambda: text(lower, 3, 9), "Word": lambda: text(lower, 3, 9).capitalize(), "num": lambda: text(digits, 1, 9), "CAPS": lambda: text(upper, 2, 8),
+        "HASH": lambda: text(digits + "ABCDEF", 16, 40), "uuid": lambda: "-".join(text(digits + "abcdef", n, n) for n in (8, 4, 4, 4, 12)), "code": lambda: f"{text(upper, 1, 3)}{rng.choice('-/')}{text(digits, 2, 6)}",
+    }
+    out = []
+    for k in range(lines):
+        prose = lambda: [values[rng.choice(["word"] * 8 + ["Word", "num"])]() + rng.choice([""] * 8 + [",", "."]) for _ in range(rng.randint(3, 8))]
+        form = rng.choice((SECRET_FORMS if positive is None else positive) if k % 2 else (PLAIN_FORMS if negative is None else negative))
+        line, spans, at = " ".join(prose()) + " ", [], 0
+        for part in re.split(r"(\{\w+\}|[«»])", form):
+            if part == "«":
+                at = len(line)
+            elif part == "»":
+                spans.append((at, len(line)))
+            else:
+                line += values[part[1:-1]]() if part[:1] == "{" and part[1:-1] in values else part
+        out.append((line + " " + " ".join(prose()), spans))
+    return out
+
+
+#: The labelled forms: « and » hold a secret, braces name a kind of value.
+SECRET_FORMS = [
+    'Authorization: Bearer «{web}»', "Authorization: Bearer «{key}»", '"client_key": "«{key}»",', '"private_key" : "«{long}»"', "export PRIVATE_KEY=«{key}»", "set AUTH_KEY «{key}»",
+    "passphrase: «{pass}»", "pwd=«{pass}»", "pwd is «{pass}»", "the login is {word} / «{pass}»", "use the passphrase «{pass}» to open it", "my pass «{pass}» still works", "login with «{pass}»",
+    "«postgres://{word}:{pass}@{word}.example.net:5432/{word}»", "«https://{word}:{key}@{word}.example.org/{word}.git»", "«redis://{word}:{key}@10.0.0.7:6379»", "«mysql://{word}:{pass}@{word}/{word}»",
+    "-----BEGIN PRIVATE KEY----- «{long} {long} {long}» -----END PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY----- «{long} {long}» -----END OPENSSH PRIVATE KEY-----",
+    'key = "«{key}" \\ "{key}»"', 'credential = "«{key}» "', "credential -> «{key}»", "auth_key: «{dash}»", "X-Auth-Key: «{key}»", "«{dash}» is the auth key", "access key «{key}»", "signing key: '«{long}»'", "cookie auth=«{web}»",
+]
+PLAIN_FORMS = [
+    "{uuid}", "id {uuid} was seen", "key {uuid}", "checksum {HASH} of the file", "SHA {HASH}", "the password was changed on 2024-03-0{num}", "a token of thanks", "the key to the {word}", "api of {word} and {word}", "secret {word} of the {word}",
+    "auth failed for {word}", "login page", "order {code} of {num}", "model {code}{num}", "https://www.example.com/{word}/{word}?id={num}", "https://{word}.example.org/{Word}/{num}.html", "{word}.{num}@mail.example.com", "+49 30 {num}{num}",
+    "{num}.{num}.{num}", "2023-11-{num}T10:22:31Z", "{Word}{Word}{Word}", "{word}_{word}_{num}.pdf", "{word}-{word}-{word}", "{CAPS}{num}", "{word}{num}", "$ {num},{num}", "{word}$$$ {word}%%% {word}!!", "{CAPS}! {CAPS}!!", "ISBN 978-{num}-{num}",
+    "key: {word}", "keyword {Word}", "bearer of {word}", "credentials of {word}", "{word}/{word}/{word}", "def {word}_{word}({word}): return {word}", "<{word} class=\"{word}\">", "C{num}H{num}O{num}", "v{num}.{num}-rc{num}", "{word}|{word}|{num}",
+]
+
+
+def windows_of(texts: pa.Array, spans: list[list[tuple[int, str, int]]], wanted) -> Iterator[tuple[bytes, bytes]]:
+    """Features and tags of the words around those that wanted(tags, first word, last word + 1, slice) names, for each text."""
+    s, column = Slice.of(texts), texts.to_pylist()
+    for k, text in enumerate(column):
+        a, b = s.starts[k], s.starts[k + 1]
+        tag = tags(s.positions(text), spans[k]) if spans[k] else np.zeros(b - a, np.int8)
+        for middle in wanted(tag, a, b, s):
+            at = np.arange(max(0, middle - REACH), min(b - a, middle + REACH + 1))
+            yield s.at(a + at, np.full(len(at), k)).astype(np.float32).tobytes(), tag[at].tobytes()
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
+    """A field from the labelled table and at most `sample` different rows (doc_id, text), drawn by a hash of both."""
+    rows = docs.where(F.length("text") > 0).withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).withColumn("bits", F.length(F.bin("hash")))
+    limit, total = 0, 0
+    for r in sorted(rows.select("hash", "bits").distinct().groupBy("bits").agg(F.count("*").alias("n")).collect()):  # at most 63 rows
+        total += r["n"]
+        limit = r["bits"] if total <= sample else limit
+    drawn = rows.where(F.col("bits") <= limit).groupBy("hash").agg(F.first("text").alias("text")).select("text")  # rows that repeat doc_id and text are one
+
+    def some(which: np.ndarray, most: int) -> np.ndarray:
+        """Places anywhere in a text, in the order of a hash."""
+        return which[np.argsort(mixed(which.astype(np.uint64) + np.uint64(1)))[:most]]
+
+    def wanted(tag: np.ndarray, a: int, b: int, s: Slice) -> list[int]:
+        odd = s.own[:, OWN.index("value")] * (s.own[:, OWN.index("digit")] + s.own[:, OWN.index("mixed_case")]) + s.own[:, OWN.index("keyword")]
+        outside = tag == OUTSIDE
+        return [*some(np.flatnonzero(tag == BEGIN), OF_SPANS), *some(np.flatnonzero((odd[s.codes[a:b]] > 0) & outside), OF_ODD), *some(np.flatnonzero(outside), OF_ANY)]
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                s, texts = Slice.of(part.column("text")), part.column("text").to_pylist()
-                odd = s.own[:, OWN.index("value")] * (s.own[:, OWN.index("digit")] + s.own[:, OWN.index("mixed_case")]) + s.own[:, OWN.index("keyword")]
-                rows = []
-                for k, text in enumerate(texts):
-                    a, b = s.starts[k], s.starts[k + 1]
-                    spans = base_spans(text or "")
-                    tag = tags(s.positions(text), spans) if spans else np.zeros(b - a, np.int8)
-                    hits = np.flatnonzero(tag == BEGIN)
-                    strange = np.flatnonzero((odd[s.codes[a:b]] > 0) & (tag == OUTSIDE))[: 2 * WINDOWS]
-                    spread = np.linspace(0, b - a - 1, WINDOWS, dtype=int) if b > a else []
-                    for middle in [*hits, *strange, *spread]:
-                        at = np.arange(max(0, middle - REACH), min(b - a, middle + REACH + 1))
-                        rows.append((s.at(a + at, np.full(len(at), k)).astype(np.float32).tobytes(), tag[at].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["x", "y"])
-
-    found = drawn.mapInArrow(windows, "x binary, y binary").toPandas()
-    if not len(found) or not any(any(y) for y in found["y"]):
-        return None
+                found = list(windows_of(part.column("text"), [base_spans(x) for x in part.column("text").to_pylist()], wanted))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["x", "y"])
+
+    found = [(r["x"], r["y"]) for r in drawn.mapInArrow(windows, "x binary, y binary").collect()]  # at most sample * (OF_SPANS + OF_ODD + OF_ANY)
+    lines = labelled_lines()
+    whole = lambda tag, a, b, s: [*np.flatnonzero(tag == BEGIN), *range(REACH, b - a, 2 * REACH + 1)]
+    found += windows_of(pa.array([x for x, _ in lines]), [sorted({(a, "crf", b) for a, b in own} | {*base_spans(x)}) for x, own in lines], whole)
+    length = 2 * REACH + 1
     x, y, live = np.zeros((len(found), length, WIDTH), np.float32), np.zeros((len(found), length), np.int64), np.zeros((len(found), length), bool)
-    for k, (a, b) in enumerate(zip(found["x"], found["y"])):
+    for k, (a, b) in enumerate(found):
         x[k, : len(b)], y[k, : len(b)], live[k, : len(b)] = np.frombuffer(a, np.float32).reshape(-1, WIDTH), np.frombuffer(b, np.int8), True
     return fit(x, y, live)
 
@@ -306,8 +374,8 @@ def _core(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def scan(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
-    """doc_id, secrets array<struct<kind, start, end, text>> of rows (doc_id, text): base spans, and those of the field that touch none."""
+def scan(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """doc_id, secrets array<struct<kind, start, end, text>> of rows (doc_id, text): base spans, and those of the field that reach beyond them."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
 
@@ -320,7 +388,7 @@ def scan(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFr
                 may = s.may
                 text_of = np.repeat(np.arange(part.num_rows), np.diff(s.starts))
                 tagged: dict[int, list[tuple[int, int]]] = {}
-                for k, a, b in f.secrets(f.emissions(s), s.starts) if f is not None and len(s.codes) else []:
+                for k, a, b in f.secrets(f.emissions(s), s.starts) if len(s.codes) else []:
                     tagged.setdefault(k, []).append((a - s.starts[k], b - s.starts[k]))
                 out: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for k in sorted({*np.unique(text_of[may[s.codes]]).tolist(), *tagged}):
@@ -330,7 +398,10 @@ def scan(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFr
                         places, base = s.positions(text), list(spans)
                         for a, b in tagged[k]:
                             x, y = _core(text, places[a][0], places[b - 1][1])
-                            if x < y and all(y <= p or x >= q for p, _, q in base):
+                            at = x
+                            for p, _, q in base:  # in order of start
+                                at = max(at, q) if p <= at else at
+                            if any(c.isalnum() for c in text[at:y]):
                                 spans.append((x, "crf", y))
                     out[k] = [{"kind": n, "start": a, "end": b, "text": text[a:b]} for a, n, b in sorted(spans, key=lambda z: (z[0], KINDS.index(z[1])))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], names=["doc_id", "secrets"])
@@ -339,7 +410,11 @@ def scan(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFr
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id and its secrets. Null and empty texts have none; other columns are ignored; an empty table gives no rows."""
+    """One row per input row: doc_id and its secrets.
+
+    Null and empty texts have none. Rows that repeat doc_id and text each get a row. Texts of any length are read whole; of
+    equally good paths that of the least tags is taken. Other columns are ignored; an empty table gives no rows.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return scan(rows, train(rows))
 
