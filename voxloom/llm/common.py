@@ -19,10 +19,12 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests on one machine, one folder for the application."""
+    """The folder in spark.checkpoint.dir; where it is unset and Spark runs on one machine, as in tests, one folder for the application."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="voxloom-")

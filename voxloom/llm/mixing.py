@@ -116,8 +116,11 @@ def mix(
 
     whole = rows.withColumn("epoch", F.explode(F.expr("case when whole > 0 then sequence(0, whole - 1) else array() end")))
     totals = rows.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("n"))
-    before = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*leaf, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # Running totals in two steps: of 16 parts of a leaf, then of a part's buckets.
+    upto = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumn("part16", F.substring("bucket", 1, 1))
+    of_parts = totals.groupBy(*leaf, "part16").agg(F.sum("n").alias("n")).withColumn("before", upto(leaf, "part16")).drop("n")
+    starts = totals.withColumn("inside", upto([*leaf, "part16"], "bucket")).join(of_parts, [*leaf, "part16"]).select(*leaf, "bucket", (F.col("before") + F.col("inside")).alias("start"))
     inside = Window.partitionBy(*leaf, "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     first = rows.join(starts, [*leaf, "bucket"]).where("start < part").withColumn("upto", F.col("start") + F.sum("n_tokens").over(inside)).where("upto <= part")
     columns = [*(["row"] if carry else []), "doc_id", *leaf, "n_tokens", "epoch", "leaf_budget"]

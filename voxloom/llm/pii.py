@@ -1,16 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
-Fixed patterns find the protected entities: addresses, numbers and the like. A term near an entity reveals it as far as it
-tells which entity is meant: the share of the entity's information, -log2 p(e), that the term gives away is its pointwise
-mutual information with the entity divided by that. Probabilities are counts of documents over the whole corpus. Terms
-that give away more than DISCLOSED, seen near the entity in at least SUPPORT different surroundings, are spans to
-generalise or remove wherever they stand in a document of that entity. A document's surroundings are the pairs of
-neighbouring words around the entity; one whose pairs are found in n of the entity's documents (the median of its pairs)
-counts as 1/n. So copies of a passage, near copies too, count as about one, and a fixed line in documents that differ
-otherwise counts as many.
-
-Built-in functions only. One pass finds the entities and their surroundings, with no shuffle of texts; counts of terms are
-combined before the shuffle. Every pattern is read in one direction without going back, so very long texts are linear.
+Fixed patterns find the protected entities: addresses, numbers and the like. A term that stands in documents of an entity
+reveals it as far as it tells which entity is meant: the share of the entity's information, -log2 p(e), that the term gives
+away is its pointwise mutual information with the entity divided by that. Probabilities are counts of documents over the
+whole corpus, and a term's company is the whole document. Terms that give away at least DISCLOSED, seen with the entity in
+at least SUPPORT different documents, are spans to generalise or remove wherever they stand in a document of that entity.
+
+How different documents are is told by the pairs of neighbouring words in them; one whose pairs are found in n of the
+entity's documents (the median of its pairs) counts as 1/n. So copies of a passage, near copies too, count as about one,
+and a fixed line in documents that differ otherwise counts as many. Entities of fewer than SUPPORT documents can't have
+such terms; their documents' words are never paired with them.
+
+Built-in functions only. One pass finds the entities; counts of terms are combined before the shuffle; entities of many
+documents are dealt over tasks. Every pattern is read in one direction without going back, so very long texts are linear.
 """
 
 from __future__ import annotations
@@ -18,13 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined, salted, share, written
 
-#: Characters on each side of an entity that count as its surroundings.
-NEAR = 80
-#: Different surroundings of an entity that a term must be seen in, and the share of the entity's information that may be given away.
+#: Different documents of an entity that a term must be seen in, and the share of the entity's information that may be given away.
 SUPPORT, DISCLOSED = 3, 0.8
 KINDS = ("email", "ip", "card", "phone", "term")
+SPANS = "array<struct<kind: string, start: bigint, end: bigint, value: string>>"
 
 #: The base patterns. Possessive forms match what the plain ones match; the look-behind only spares starts
 #: within a run that cannot do better than the run's first character.
@@ -87,7 +88,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """array<struct<kind, start, end, value, before, after>> of the base spans, by kind and start."""
+    """array<struct<kind, start, end, value>> of the base spans, by kind and start."""
     out = []
     for kind, pattern in PATTERNS.items():
         holds = HOLDS[kind]
@@ -97,56 +98,67 @@ def entities(text: Column) -> Column:
             m["start"].alias("start"),
             m["end"].alias("end"),
             m["value"].alias("value"),
-            F.substring(text, F.greatest(m["start"] - NEAR, F.lit(0)).cast("int") + 1, F.least(m["start"], F.lit(NEAR)).cast("int")).alias("before"),
-            F.substring(text, m["end"].cast("int") + 1, F.lit(NEAR)).alias("after"),
         )
-        empty = F.array().cast("array<struct<kind: string, start: bigint, end: bigint, value: string, before: string, after: string>>")
+        empty = F.array().cast(SPANS)
         out.append(F.when(text.rlike(SIGNS[kind]), F.transform(real, row)).otherwise(empty))
     return F.concat(*out)
 
 
-def revealing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, disclosed) of the terms that give away too much; found: doc, entities; docs: doc, text."""
-    seen = found.select("doc", F.explode("entities").alias("e")).select("doc", F.concat_ws(":", "e.kind", "e.value").alias("entity"), "e.before", "e.after")
-    words = F.filter(F.split(F.lower(F.concat_ws(" \x02 ", "before", "after")), _BETWEEN), lambda t: t != "")
-    near = seen.select("doc", "entity", words.alias("words"))
+def terms_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), _BETWEEN), lambda t: t != "")
+
+
+def recurring(found: DataFrame) -> DataFrame:
+    """(doc, entity, n_entity) of the entities that at least SUPPORT documents of found (doc, entities) have."""
+    seen = written(found.select("doc", F.explode("entities").alias("e")).select("doc", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct(), "seen")
+    of_entity = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
+    return written(joined(seen, of_entity, "entity", "n_entity", share(seen, seen.count())), "recurring")
+
+
+def disclosures(found: DataFrame, again: DataFrame, docs: DataFrame) -> DataFrame:
+    """(entity, term, n_entity, support, disclosed) of the terms with support; found: doc, text, entities; again: recurring(found); docs: doc, text."""
+    texts = found.join(again.select("doc").distinct(), "doc", "left_semi").select("doc", terms_of(masked(F.col("text"), F.col("entities"))).alias("words"))
+    near = again.join(texts.groupBy("doc").agg(F.first("words").alias("words")), "doc")  # rows that repeat doc_id and text are one
     pairs = F.transform("words", lambda t, i: F.xxhash64(t, F.get("words", i + 1)))
-    company = near.select("doc", "entity", F.explode(F.when(F.size("words") > 0, pairs).otherwise(F.array(F.lit(0).cast("bigint")))).alias("pair")).distinct()
-    common = company.groupBy("entity", "pair").agg(F.count("*").alias("n"))
-    weights = company.join(common, ["entity", "pair"]).groupBy("doc", "entity").agg((1 / F.expr("percentile(n, 0.5)")).alias("weight"))
-    own = near.select("doc", "entity", F.explode(F.array_distinct("words")).alias("term")).distinct().join(weights, ["doc", "entity"])
-    together = own.groupBy("entity", "term").agg(F.round(F.sum("weight"), 6).alias("support"), F.count("*").alias("n_both")).where(F.col("support") >= SUPPORT)
+    pairs = F.when(F.size("words") > 0, F.array_distinct(pairs)).otherwise(F.array(F.lit(0).cast("bigint")))
+    company = written(near.select("doc", "entity", F.explode(pairs).alias("pair")).select("doc", "entity", F.xxhash64("entity", "pair").alias("pair")), "company")
+    common = company.groupBy("pair").agg(F.count("*").alias("n"))
+    weights = joined(company, common, "pair", "n", share(docs, company.count())).groupBy("doc", "entity").agg((1 / F.expr("percentile(n, 0.5)")).alias("weight"))
+    own = near.select("doc", "entity", "n_entity", F.explode(F.array_distinct("words")).alias("term")).join(weights, ["doc", "entity"])
+    together = own.groupBy("entity", "n_entity", "term").agg(F.round(F.sum("weight"), 6).alias("support"), F.count("*").alias("n_both")).where(F.col("support") >= SUPPORT)
     together = written(together, "together")
     n = docs.count()
-    of_entity = seen.groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"))
-    words = F.filter(F.array_distinct(F.split(F.lower("text"), _BETWEEN)), lambda t: t != "")
-    of_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    of_term = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     information = F.log2(F.lit(float(n)) / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
-    return together.join(of_entity, "entity").join(of_term, "term").where("n_entity < " + str(n)).select("entity", "term", (mutual / information).alias("disclosed")).where(F.col("disclosed") >= DISCLOSED)
+    return together.join(of_term, "term").where(F.col("n_entity") < n).select("entity", "term", "n_entity", "support", (mutual / information).alias("disclosed"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id and spans, array<struct<kind, start, end, value>>: the base spans, then revealing terms.
+    """One row per input row: doc_id, spans, sanitised.
 
-    Null and empty texts have none. Rows that repeat doc_id and text each get a row; a null doc_id is one of its own; other
-    columns are ignored; an empty table gives no rows.
+    spans: array<struct<kind, start, end, value>>, the base spans, then revealing terms. sanitised: the text with the spans
+    generalised or removed, null where there is none and the text stays as it is. Null and empty texts have no spans. Rows
+    that repeat doc_id and text each get a row and count as one document; a null doc_id is one of its own; texts of any
+    length are read whole; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.xxhash64("doc_id", "text"))
     found = rows.select("doc_id", "doc", "text", entities(F.col("text")).alias("entities"))
     found = written(found.withColumn("text", F.when(F.size("entities") > 0, F.col("text"))), "entities")  # other texts aren't needed again
-    short = F.transform("entities", lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value")))
-    base = found.select("doc_id", "doc", short.alias("spans"))
+    held = found.where(F.size("entities") > 0)
 
-    terms = written(revealing(found.where(F.size("entities") > 0), rows), "terms")
-    held = found.select("doc", F.explode("entities").alias("e")).select("doc", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct()
-    wanted = held.join(terms, "entity").groupBy("doc").agg(F.collect_set("term").alias("terms"))
+    again = recurring(held)
+    terms = disclosures(held, again, rows).where(F.col("disclosed") >= DISCLOSED)
+    terms = written(terms.groupBy("entity", "n_entity").agg(F.collect_list("term").alias("terms")), "terms")
+    wanted = salted(again.drop("n_entity"), terms, "entity", "n_entity", "doc", share(rows, again.count()))
+    wanted = wanted.select("doc", F.explode("terms").alias("term")).groupBy("doc").agg(F.collect_set("term").alias("terms"))
     own = F.filter(matches(masked(F.col("text"), F.col("entities")), TERM), lambda m: F.array_contains("terms", F.lower(m["value"])))
-    spans = F.transform(own, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-    more = found.where("text is not null").join(wanted, "doc").select("doc", spans.alias("more")).groupBy("doc").agg(F.first("more").alias("more"))
-    joined = base.join(more, "doc", "left")
-    return joined.select("doc_id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
+    more = F.transform(own, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+    spans = F.when(F.col("terms").isNull(), F.col("entities")).otherwise(F.concat("entities", more))
+    with_spans = held.join(wanted, "doc", "left").select("doc_id", spans.alias("spans"), "text").select("doc_id", "spans", sanitised(F.col("text"), F.col("spans")).alias("sanitised"))
+    clean = found.where(F.size("entities") == 0).select("doc_id", F.col("entities").alias("spans"), F.lit(None).cast("string").alias("sanitised"))
+    return clean.unionByName(with_spans)
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -184,4 +196,5 @@ def digest(found: DataFrame) -> DataFrame:
     of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
     join = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(join(of(*KINDS[:4])), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"))
+    n_terms = F.size(of("term")).cast("long").alias("n_terms")
+    return found.select("doc_id", *counts, F.sha2(join(of(*KINDS[:4])), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"), n_terms, "sanitised")
