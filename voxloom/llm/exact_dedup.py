@@ -31,28 +31,26 @@ def head_of(text: Column) -> Column:
     return F.when((F.char_length(soon) == HEAD) | (F.char_length(text) <= ENOUGH), soon).otherwise(F.substring(F.regexp_replace(text, SPACE, ""), 1, HEAD))
 
 
-def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
-    """Rows with their run in their range: head, salt, is_dealt, run, first (rank in it), run_size, best (of the run), sha."""
+def _sorted(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """Rows sorted in their ranges: doc_id, head, salt, is_dealt, sha, starts (a run of equal texts), run, best (the row's rank among equal texts), with carry also `row`."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(*row, F.col(id_col).alias("doc_id"), text.alias("text"), head_of(text).alias("head"))
+    wide = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else text.alias("text")  # one copy of the text is shuffled
+    rows = docs.select(wide, F.col(id_col).alias("doc_id"), head_of(text).alias("head"))
     counts = rows.groupBy("head").agg(F.count("*").alias("n"))
     shared = counts.where(F.col("n") > F.lit(docs.count() / (4 * parts) + 100)).select("head", F.lit(True).alias("is_dealt"))  # fewer than 4 * parts rows
     rows = rows.join(F.broadcast(shared), "head", "left").withColumn("is_dealt", F.coalesce("is_dealt", F.lit(False)))
     salt = F.when(F.col("is_dealt"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0)
     dealt = rows.withColumn("salt", salt).repartitionByRange("head", "salt")
-    bare = F.regexp_replace("text", SPACE, "")
-    dealt = dealt.select(*(["row"] if carry else []), "doc_id", "head", "salt", "is_dealt", bare.alias("bare"), F.char_length("text").cast("long").alias("n_chars"))
+    text = F.coalesce(F.col("row").getField(text_col), F.lit("")) if carry else F.col("text")
+    n_chars = F.char_length(text).cast("long")
+    best = F.struct((-n_chars).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
+    dealt = dealt.select(*(["row"] if carry else []), "doc_id", "head", "salt", "is_dealt", F.regexp_replace(text, SPACE, "").alias("bare"), best.alias("best"))
 
-    # The windows' keys are those of the ranges: no further shuffle.
-    order = [F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last()]
-    near = Window.partitionBy("head", "salt").orderBy("bare", *order)
+    # The window's key is that of the ranges: no further shuffle.
+    near = Window.partitionBy("head", "salt").orderBy("bare", "best")
     runs = dealt.withColumn("starts", ~F.col("bare").eqNullSafe(F.lag("bare").over(near))).withColumn("sha", F.sha2("bare", 256))
-    runs = runs.withColumn("run", F.sum(F.col("starts").cast("long")).over(near.rowsBetween(Window.unboundedPreceding, 0))).drop("bare", "starts")
-    best = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
-    run = Window.partitionBy("head", "salt", "run")
-    return runs.withColumns({"first": F.row_number().over(run.orderBy(*order)), "run_size": F.count("*").over(run), "best": F.min(best).over(run)})
+    return runs.withColumn("run", F.sum(F.col("starts").cast("long")).over(near.rowsBetween(Window.unboundedPreceding, 0))).drop("bare")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,22 +60,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the most code points in its original text stays, then the smallest doc_id (null last). Of rows that repeat doc_id
     and text exactly one is kept. Texts of any length are compared whole. An empty table gives no rows; other columns are ignored.
     """
-    runs = written(_sorted_runs(docs, id_col, text_col, False), "runs")  # narrow: no texts
-    alone = runs.where(~F.col("is_dealt")).select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("run_size").alias("group_size"), (F.col("first") == 1).alias("kept"), F.col("sha").alias("text_sha256"))
+    run = Window.partitionBy("head", "salt", "run")
+    runs = _sorted(docs, id_col, text_col, False).withColumns({"run_size": F.count("*").over(run), "whole": F.min("best").over(run)})
+    runs = written(runs.withColumn("first", F.col("starts")).drop("starts"), "runs")  # narrow: no texts
+    alone = runs.where(~F.col("is_dealt")).select("doc_id", F.col("whole.doc_id").alias("keep_id"), F.col("run_size").alias("group_size"), F.col("first").alias("kept"), F.col("sha").alias("text_sha256"))
 
-    dealt = runs.where("is_dealt")
-    ends = dealt.where("first = 1").select("head", "salt", "run", "sha", "run_size", F.struct("best.n", "best.none", "best.doc_id", "salt").alias("best"))
+    dealt = runs.where("is_dealt").drop("whole")
+    ends = dealt.where("first").select("head", "salt", "run", "sha", "run_size", F.struct("best.n", "best.none", "best.doc_id", "salt").alias("best"))
     joined = ends.groupBy("head", "sha").agg(F.sum("run_size").alias("group_size"), F.min("best").alias("whole"))
     found = ends.select("head", "salt", "run", "sha").join(joined, ["head", "sha"]).drop("sha")
     across = dealt.join(found, ["head", "salt", "run"]).select(
-        "doc_id", F.col("whole.doc_id").alias("keep_id"), "group_size", ((F.col("first") == 1) & (F.col("salt") == F.col("whole.salt"))).alias("kept"), F.col("sha").alias("text_sha256")
+        "doc_id", F.col("whole.doc_id").alias("keep_id"), "group_size", (F.col("first") & (F.col("salt") == F.col("whole.salt"))).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return alone.unionByName(across)
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; cases as in exact_duplicates."""
-    firsts = written(_sorted_runs(docs, id_col, text_col, True).where("first = 1").drop("first"), "firsts")  # at most one row a text and range
+    firsts = written(_sorted(docs, id_col, text_col, True).where("starts").drop("starts", "run"), "firsts")  # at most one row a text and range
     dealt = firsts.where("is_dealt")
     best = dealt.groupBy("head", "sha").agg(F.min(F.struct("best.n", "best.none", "best.doc_id", "salt")).alias("whole"))
     winners = best.select("head", "sha", F.col("whole.salt").alias("salt"))
