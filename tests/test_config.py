@@ -47,3 +47,23 @@ def test_manifest(spark, tmp_path):
     assert manifests.merged({"a": 1, "b": None}, {"b": 2}) == {"a": 1, "b": 2}
     with pytest.raises(ValueError):
         manifests.merged({"a": 1}, {"a": 2})
+
+
+def test_parameters_of_a_run_are_saved_and_read(spark, tmp_path):
+    given = {"img_path": "a.tif", "seg_path": "s.tif", "thresholds": [9, 5], "dilation_steps": [2, 1], "touch_rule": "stop", "output_folder": "o"}
+    config.save(spark, str(tmp_path / "run"), {**given, "image": object()})
+    assert config.load(spark, str(tmp_path / "run")) == given
+    assert config.load(spark, str(tmp_path / "run"), "grow")["min_growth_size"] == 50
+    (tmp_path / "c.json").write_text('{"num_threads": 2, "output_folder": "o", "input_folder": "i"}')
+    assert config.load(spark, str(tmp_path / "c.json"), "mesh")["num_threads"] == 2
+    (tmp_path / "bad.yaml").write_text("- 1")
+    with pytest.raises(ValueError, match="no parameters"):
+        config.load(spark, str(tmp_path / "bad.yaml"))
+
+
+def test_a_pair_of_thresholds_out_of_order_fails(spark):
+    from voxloom.functions import thresholds
+
+    cells = spark.createDataFrame([(0, 5)], "img_id int, v int")
+    with pytest.raises(Exception, match="isn't below upper"):
+        thresholds.threshold_pairs(cells, "actual_values", (100, 140), (100, 180), 3).collect()

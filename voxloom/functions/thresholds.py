@@ -26,8 +26,8 @@ def threshold_list(base: DataFrame, low: int, high: int, n: int, ascending: bool
     return base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("img_id", "step", F.floor(F.round(value.cast("double"), 6)).cast("int").alias("value"))
 
 
-def threshold_pairs(cells: DataFrame, mode: str, low: tuple[float, float], high: tuple[float, float], n: int, least: int = 0, most: int = 255) -> DataFrame:
-    """img_id, step, lower, upper: n pairs evenly between (first, last) factors of Otsu's threshold or of the mean, or values as they are; clipped; lower < upper."""
+def threshold_pairs(cells: DataFrame, mode: str, low: tuple[float, float], high: tuple[float, float] | None, n: int, least: int = 0, most: int = 255) -> DataFrame:
+    """img_id, step, lower, upper: n pairs evenly between (first, last) factors of Otsu's threshold or of the mean, or values as they are; clipped to [least, most]. Without `high` upper is null. A pair whose lower end isn't below its upper one fails the query."""
     if mode == "otsu_factor":
         base = otsu(cells).select("img_id", F.col("threshold").cast("double").alias("base"))
     elif mode == "mean_factor":
@@ -37,7 +37,11 @@ def threshold_pairs(cells: DataFrame, mode: str, low: tuple[float, float], high:
     step = lambda ends: F.lit(float(ends[0])) + F.lit(float(ends[1] - ends[0])) * F.col("step") / float(max(n - 1, 1))
     cut = lambda c: F.floor(F.round(F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), F.col("base") * c)), 6)).cast("int")
     rows = base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.select("img_id", "step", cut(step(low)).alias("lower"), cut(step(high)).alias("upper")).where("lower < upper")
+    if high is None:
+        return rows.select("img_id", "step", cut(step(low)).alias("lower"), F.lit(None).cast("int").alias("upper"))
+    rows = rows.select("img_id", "step", cut(step(low)).alias("lower"), cut(step(high)).alias("upper"))
+    fault = F.raise_error(F.format_string("image %d, step %d: lower threshold %d isn't below upper threshold %d", "img_id", "step", "lower", "upper")).cast("int")
+    return rows.select("img_id", "step", "lower", F.when(F.col("lower") < F.col("upper"), F.col("upper")).otherwise(fault).alias("upper"))
 
 
 #: The ends of integer types.

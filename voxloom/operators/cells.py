@@ -39,11 +39,11 @@ def keep_labels(cells: DataFrame, ids: Iterable[int], keep: bool = True) -> Data
 
 def map_classes(cells: DataFrame, classes: Mapping[int, str], scheme: list[str]) -> DataFrame:
     """class_id: a label's class by its place in the scheme from 1; 0 for labels without a class. The mapping is a small dictionary by hand."""
-    number = F.lit(0)
-    for label, name in classes.items():
-        if name in scheme:
-            number = F.when(F.col("label") == label, scheme.index(name) + 1).otherwise(number)
-    return cells.withColumn("class_id", number)
+    known = {label: scheme.index(name) + 1 for label, name in classes.items() if name in scheme}
+    if not known:
+        return cells.withColumn("class_id", F.lit(0))
+    table = F.create_map(*[F.lit(x).cast("int") for pair in known.items() for x in pair])
+    return cells.withColumn("class_id", F.coalesce(F.try_element_at(table, F.col("label")), F.lit(0)))
 
 
 def clean_image(cells: DataFrame, ids: Iterable[int]) -> DataFrame:
@@ -88,6 +88,25 @@ def slices(cells: DataFrame, axis: str, low: int, high: int, column: str = "v")
 PALETTE = [(255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255)]
 
 
+def background(cells: DataFrame) -> DataFrame:
+    """Cells without a label that have an intensity: where background points may be drawn."""
+    return cells.where((F.col("label") == 0) & (F.col("v") > 0))
+
+
+def narrowed(cells: DataFrame) -> DataFrame:
+    """Adds dtype, the integer type that an image's labels are written in: uint8 where it has at most 255 different values (0 too), else uint16."""
+    different = cells.groupBy("img_id").agg(F.countDistinct("label").alias("n"))
+    kinds = different.select("img_id", F.when(F.col("n") <= 255, "uint8").otherwise("uint16").alias("dtype"))
+    return cells.join(kinds, "img_id")
+
+
+def has_labels(cells: DataFrame, ids: Iterable[int]) -> DataFrame:
+    """img_id, label, present: whether an image has each of ids."""
+    found = [F.max((F.col("label") == i).cast("int")).alias(f"_{i}") for i in ids]
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("label"), (F.col(f"_{i}") == 1).alias("present")) for i in ids]))
+    return cells.groupBy("img_id").agg(*found).select("img_id", rows.alias("r")).select("img_id", "r.label", "r.present")
+
+
 def palette(cells: DataFrame) -> DataFrame:
     at = F.when(F.col("label") > 0, (F.col("label") - 1) % len(PALETTE) + 1).otherwise(0)
     table = F.array(*[F.array(*map(F.lit, c)) for c in [(0, 0, 0), *PALETTE]])

@@ -17,17 +17,19 @@ from pyspark.sql import functions as F
 
 from ..model import BITS, KEY, cell_id
 
-#: Cells on each side of a tile: at most 64 ** 3 cells in one task at a time.
+#: Cells on each side of a tile: at most 64 ** 3 cells of one value in one task at a time.
 TILE = 64
 
 _own: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir; where that is unset, in one folder for the application."""
+    """df as a table in the folder of spark.checkpoint.dir; where that is unset and Spark runs on one machine, in one folder for the application."""
     spark: SparkSession = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="voxloom-")
@@ -43,9 +45,7 @@ def offsets(connectivity: int) -> list[tuple[int, int, int]]:
 
 
 def _label_tile(part: pd.DataFrame, connectivity: int) -> pd.DataFrame:
-    """root of each cell within one tile: least cell number by repeated minima over neighbours and jumps to the root's root."""
-    if part.duplicated(["z", "y", "x"]).any():  # a cell with several values: each value by itself
-        return pd.concat([_label_tile(own, connectivity) for _, own in part.groupby("value")], ignore_index=True)
+    """root of each cell of one value within one tile: least cell number by repeated minima over neighbours and jumps to the root's root."""
     low = part[["z", "y", "x"]].min()
     at = tuple(part[a].to_numpy() - low[a] + 1 for a in ("z", "y", "x"))
     shape = tuple(int(a.max()) + 2 for a in at)
@@ -54,10 +54,8 @@ def _label_tile(part: pd.DataFrame, connectivity: int) -> pd.DataFrame:
     at = tuple(a[order] for a in at)
     number = np.full(shape, n, np.int64)
     number[at] = np.arange(n)
-    value = part["value"].to_numpy()[order]
     near = [(number[tuple(a + d for a, d in zip(at, o))]) for o in offsets(connectivity)]
-    padded = np.append(value, value.dtype.type(0))
-    near = [np.where((b < n) & (padded[b] == value), b, np.arange(n)) for b in near]
+    near = [np.where(b < n, b, np.arange(n)) for b in near]
     root, before = np.arange(n), None
     while before is None or (root != before).any():
         before = root
@@ -69,7 +67,7 @@ def _label_tile(part: pd.DataFrame, connectivity: int) -> pd.DataFrame:
         root = root[root]
     cell = (((part["z"].to_numpy().astype(np.int64) << BITS) + part["y"].to_numpy()) << BITS) + part["x"].to_numpy()
     cell = cell[order]
-    return pd.DataFrame({"img_id": part["img_id"].to_numpy()[order], "value": value, "z": part["z"].to_numpy()[order], "y": part["y"].to_numpy()[order], "x": part["x"].to_numpy()[order], "root": cell[root]})
+    return pd.DataFrame({"img_id": part["img_id"].to_numpy()[order], "value": part["value"].to_numpy()[order], "z": part["z"].to_numpy()[order], "y": part["y"].to_numpy()[order], "x": part["x"].to_numpy()[order], "root": cell[root]})
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -93,13 +91,12 @@ def components(cells: DataFrame, connectivity: int = 3, value: Column | None = N
     """Cells (foreground rows only; the rest are background) with `value` and `root`. Neighbours of unequal values aren't linked."""
     rows = cells.select(*KEY, (F.lit(1) if value is None else value).cast("long").alias("value"))
     corner = [F.expr(f"{a} div {tile}").alias(f"t{a}") for a in ("z", "y", "x")]
-    tiled = rows.select("*", *corner).groupBy("img_id", "tz", "ty", "tx")
+    tiled = rows.select("*", *corner).groupBy("img_id", "value", "tz", "ty", "tx")
     local = tiled.applyInPandas(lambda part: _label_tile(part, connectivity), "img_id int, value long, z int, y int, x int, root long")
     edge = F.greatest(*[F.when((F.col(a) % tile == 0) | (F.col(a) % tile == tile - 1), 1).otherwise(0) for a in ("z", "y", "x")]) == 1
-    several = cells.agg(*[F.max(F.expr(f"{a} div {tile}")).alias(a) for a in ("z", "y", "x")]).first()
-    if not any(several):
-        return local
     local = written(local, "tiles")
+    if not any(local.agg(*[F.max(F.expr(f"{a} div {tile}")).alias(a) for a in ("z", "y", "x")]).first()):
+        return local
     border = local.where(edge).withColumn("cell", cell_id())
     steps = F.array(*[F.lit((a << 2 * BITS) + (b << BITS) + c).cast("long") for a, b, c in offsets(connectivity)])
     moved = border.select("img_id", "value", F.col("root").alias("u"), F.explode(F.transform(steps, lambda d: F.col("cell") + d)).alias("cell"))

@@ -40,18 +40,25 @@ def overwrite(cells: DataFrame, labels: Iterable[int]) -> DataFrame:
     return cells
 
 
-def grow(cells: DataFrame, thresholds: list[int], steps: list[int], rule: str = "max", uppers: list[int] | None = None, still: int | None = None, least: int = 1) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+def grow(cells: DataFrame, thresholds: list[int], steps: list[int], rule: str = "max", uppers: list[int] | None = None, still: int | None = None, least: int = 1, ids: Iterable[int] | None = None, boundary: Column | None = None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
     """Growth through falling thresholds, steps[i] hops each; a threshold ends early after `still` hops that add fewer than `least` cells.
 
     Returns the table and a log of (threshold, hop, cells with a label, cells that pass or have one). `still` counts by hop, so
-    each hop then is a job; without it HOPS hops make one.
+    each hop then is a job; without it HOPS hops make one. ids: the labels that grow, the others stay as they are; boundary:
+    cells that no label enters. rule `overwrite`: the growing labels in turn dilate over everything, as overwrite() does.
     """
     log, n = [], None
+    ids = None if ids is None else list(ids)
+    if rule == "overwrite" and ids is None:
+        ids = [r["label"] for r in cells.where("label > 0").select("label").distinct().collect()]  # one plan step a label
     for i, (low, count) in enumerate(zip(thresholds, steps)):
         passes = (F.col("v") >= low) if uppers is None else F.col("v").between(low, uppers[i])
+        passes = passes if boundary is None else passes & ~boundary
         quiet = 0
         for k in range(1, count + 1):
-            cells = hop(cells, passes, rule)
+            cells = overwrite(cells, ids) if rule == "overwrite" else hop(cells, passes, rule, ids)
+            if rule == "overwrite" and boundary is not None:
+                cells = cells.withColumn("label", F.when(boundary, 0).otherwise(F.col("label")))
             if still is None and k % HOPS and k < count:
                 continue
             cells = written(cells, "grown")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import AXES, KEY
@@ -33,7 +33,7 @@ def fill_small_holes(cells: DataFrame, area: int) -> DataFrame:
     """Components (by faces) of the complement of each label with fewer cells than `area` and than a quarter of the image become the label; the highest label wins."""
     labels = cells.where("label > 0").select("img_id", F.col("label").alias("of")).distinct()
     parts = components(cells.join(labels, "img_id").where("label <> of"), 1, F.col("of"))
-    size = parts.withColumn("n", F.count("*").over(Window.partitionBy("img_id", "value", "root")))
     whole = cells.groupBy("img_id").agg(F.count("*").alias("cells"))
-    small = size.join(whole, "img_id").where(f"n < {area} and 4 * n < cells").groupBy(*KEY).agg(F.max("value").cast("int").alias("hole"))
+    size = parts.groupBy("img_id", "value", "root").agg(F.count("*").alias("n")).join(whole, "img_id").where(f"n < {area} and 4 * n < cells")
+    small = parts.join(size.select("img_id", "value", "root"), ["img_id", "value", "root"]).groupBy(*KEY).agg(F.max("value").cast("int").alias("hole"))
     return cells.join(small, KEY, "left").select(*KEY, F.coalesce("hole", "label").alias("label"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..model import AXES, KEY, line
 
-#: Axes of each step of a footprint, by name. `cube` and `square` of size 1 are single cells: no step.
+#: Axes of each step of a footprint, by name.
 FOOTPRINTS = {
     "ball": ["zyx"],
     "disk": ["zyx"],
@@ -26,9 +26,9 @@ FOOTPRINTS = {
     "2XZ_1Y": ["zx", "zx", "y"],
     "2XY_1Z": ["yx", "yx", "z"],
     "2YZ_1X": ["zy", "zy", "x"],
-    "cube": [],
-    "square": [],
 }
+#: Axes of footprints that are boxes of `size` cells on each side.
+BOXES = {"cube": "zyx", "square": "yx"}
 _FAR = 1 << 28
 
 
@@ -38,10 +38,20 @@ def _spread(cells: DataFrame, axes: str, how, column: str) -> DataFrame:
     return cells.withColumn(column, both(*hits) if len(hits) > 1 else hits[0])
 
 
-def erode(cells: DataFrame, footprint: str = "ball", times: int = 1, column: str = "on") -> DataFrame:
-    """column (boolean) eroded. Whole balls go by one distance transform."""
+def _box(cells: DataFrame, axes: str, low: int, high: int, how, column: str) -> DataFrame:
+    """A box is the sum of segments along its axes: one window an axis, one after another."""
+    for a in axes:
+        cells = cells.withColumn(column, how(column).over(line(a).rowsBetween(low, high)))
+    return cells
+
+
+def erode(cells: DataFrame, footprint: str = "ball", times: int = 1, column: str = "on", size: int = 1) -> DataFrame:
+    """column (boolean) eroded. Whole balls go by one distance transform. size: of a `cube` or `square`; an even one reaches one cell further back."""
     cells = cells.withColumn(column, F.col(column).cast("int"))
-    if footprint in ("ball", "disk") and times > 1:
+    if footprint in BOXES:
+        for _ in range(times if size > 1 else 0):
+            cells = _box(cells, BOXES[footprint], -(size // 2), size - 1 - size // 2, F.min, column)
+    elif footprint in ("ball", "disk") and times > 1:
         cells = city_block(cells, column, "_d").withColumn(column, (F.col("_d") > times).cast("int")).drop("_d")
     else:
         for _ in range(times):
@@ -50,9 +60,13 @@ def erode(cells: DataFrame, footprint: str = "ball", times: int = 1, column: str
     return cells.withColumn(column, F.col(column) == 1)
 
 
-def dilate(cells: DataFrame, footprint: str = "ball", times: int = 1, column: str = "on") -> DataFrame:
+def dilate(cells: DataFrame, footprint: str = "ball", times: int = 1, column: str = "on", size: int = 1) -> DataFrame:
+    """column (boolean) dilated; size as in erode(), an even box reaches one cell further on."""
     cells = cells.withColumn(column, F.col(column).cast("int"))
     for _ in range(times):
+        if footprint in BOXES:
+            cells = _box(cells, BOXES[footprint], -(size - 1 - size // 2), size // 2, F.max, column) if size > 1 else cells
+            continue
         for axes in FOOTPRINTS[footprint]:
             cells = _spread(cells, axes, F.max, column)
     return cells.withColumn(column, F.col(column) == 1)

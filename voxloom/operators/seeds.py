@@ -151,11 +151,12 @@ def plot_series(log: DataFrame) -> DataFrame:
     return point("volume", "cells").unionByName(point("components", "n_components"))
 
 
-def descent(cells: DataFrame, start: int, target: int, rounds: int, top: int) -> DataFrame:
-    """Seeds above `start`; then thresholds fall evenly to target, and each label in turn takes all that is connected by faces to its first cell through free cells above the threshold."""
+def descent(cells: DataFrame, start: int, target: int, rounds: int, top: int, erosions: int = 0) -> DataFrame:
+    """Seeds above `start`, eroded `erosions` times; then thresholds fall evenly to target, and each label in turn takes all that is connected by faces to its first cell through free cells above the threshold."""
     from .components import onto, written
 
-    at = written(cells.select(*KEY, "v").join(onto(cells, relabelled(components(cells.where(F.col("v") > start)), top)), KEY), "descent")
+    on = erode(cells.withColumn("on", F.col("v") > start), "ball", erosions)
+    at = written(cells.select(*KEY, "v").join(onto(cells, relabelled(components(on.where("on")), top)), KEY), "descent")
     for i in range(1, rounds + 1):
         low = start - (start - target) * i // rounds
         for j in range(1, top + 1):

@@ -23,15 +23,16 @@ def faces(cells: DataFrame) -> DataFrame:
     return out
 
 
-def skeleton(cells: DataFrame, column: str = "on", most: int = 100) -> DataFrame:
-    """column thinned in each z slice to lines of one cell, by the parallel two-pass thinning of Zhang and Suen; `most` rounds at most.
+def skeleton(cells: DataFrame, column: str = "on") -> DataFrame:
+    """column thinned in each z slice to lines of one cell, by the parallel two-pass thinning of Zhang and Suen.
 
-    A round is two passes of windows along x and y and a written table; it ends when nothing changes.
+    A round is two passes of windows along x and y and a written table; it ends when nothing changes, after about as many
+    rounds as the thickest part has cells across.
     """
     rows = cells.select(*KEY, F.col(column).cast("int").alias("p"))
     x, y = line("x"), line("y")
-    count = None
-    for _ in range(most):
+    before, count = None, -1
+    while before != count:
         for first in (True, False):
             seen = rows.withColumns({"w": F.coalesce(F.lag("p").over(x), F.lit(0)), "e": F.coalesce(F.lead("p").over(x), F.lit(0))})
             ring = {"n": F.lag("p"), "ne": F.lag("e"), "nw": F.lag("w"), "s": F.lead("p"), "se": F.lead("e"), "sw": F.lead("w")}
@@ -45,6 +46,4 @@ def skeleton(cells: DataFrame, column: str = "on", most: int = 100) -> DataFrame
             rows = seen.select(*KEY, F.when(gone, 0).otherwise(F.col("p")).alias("p"))
         rows = written(rows, "thinned")
         before, count = count, rows.where("p = 1").count()
-        if count == before:
-            break
     return rows.where("p = 1").select(*KEY)

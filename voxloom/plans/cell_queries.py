@@ -78,6 +78,9 @@ QUERIES = {
     "stride": (lambda s, d: C.stride(volumes(s, d), 3), f"WITH {VOLUMES} SELECT img_id, z // 3 AS z, y, x, v FROM volumes WHERE z % 3 = 0"),
     "blank_between": (lambda s, d: C.blank_between(volumes(s, d), 3), f"WITH {VOLUMES} SELECT {K}, CASE WHEN z % 3 = 0 THEN v ELSE 0 END AS v FROM volumes"),
     "slice_axis": (lambda s, d: C.slices(volumes(s, d), "y", 2, 9), f"WITH {VOLUMES} SELECT img_id, y AS slice, z AS \"row\", x AS col, v FROM volumes WHERE y BETWEEN 2 AND 8"),
+    "background_mask": (lambda s, d: C.background(seg(s, d)), f"WITH {SEG} SELECT * FROM seg WHERE label = 0 AND v > 0"),
+    "narrowed_labels": (lambda s, d: C.narrowed(seg(s, d)), f"WITH {SEG} SELECT s.*, dtype FROM seg s JOIN (SELECT img_id, CASE WHEN count(DISTINCT label) <= 255 THEN 'uint8' ELSE 'uint16' END AS dtype FROM seg GROUP BY img_id) USING (img_id)"),
+    "has_labels": (lambda s, d: C.has_labels(segments(volumes(s, d), 230), [1, 5, 9]), f"WITH {VOLUMES}, {seg_sql('volumes', 230)} SELECT img_id, l::INT AS label, bool_or(label = l) AS present FROM seg, (VALUES (1), (5), (9)) t(l) GROUP BY ALL"),
     "palette": (lambda s, d: C.palette(seg(s, d)), f"WITH {SEG} SELECT {K}, {_palette_sql()} FROM seg"),
     "normalize_8bit": (lambda s, d: C.normalise_8bit(photos(s, d)), f"WITH {PHOTOS} SELECT {K}, CASE WHEN hi > lo THEN (v - lo) * 255 // (hi - lo) ELSE 0 END::INT AS v FROM (SELECT *, min(v) OVER (PARTITION BY img_id) AS lo, max(v) OVER (PARTITION BY img_id) AS hi FROM photos)"),
     "bbox": (
@@ -114,6 +117,7 @@ QUERIES = {
     "otsu_list": (lambda s, d: T.threshold_list(T.otsu(photos(s, d)), 80, 120, 5), f"WITH {PHOTOS}, {OTSU} SELECT img_id, step::INT AS step, floor(round(threshold * 80 / 100.0::DOUBLE + threshold * 40 / 100.0::DOUBLE * step / 4, 6))::INT AS value FROM otsu, range(0, 5) r(step)"),
     "threshold_pairs_otsu": (lambda s, d: T.threshold_pairs(photos(s, d), "otsu_factor", (0.5, 1.0), (1.5, 1.2), 6), f"WITH {PHOTOS}, {OTSU} {PAIRS('SELECT img_id, threshold::DOUBLE AS base FROM otsu', (0.5, 1.0), (1.5, 1.2), 6)}"),
     "threshold_pairs_mean": (lambda s, d: T.threshold_pairs(photos(s, d), "mean_factor", (0.5, 1.0), (1.5, 1.2), 6), f"WITH {PHOTOS} {PAIRS('SELECT img_id, sum(v::BIGINT)::DOUBLE / count(*) AS base FROM photos GROUP BY img_id', (0.5, 1.0), (1.5, 1.2), 6)}"),
+    "threshold_pairs_lower": (lambda s, d: T.threshold_pairs(photos(s, d), "otsu_factor", (0.5, 1.0), None, 6).where("upper is null").drop("upper"), f"WITH {PHOTOS}, {OTSU} SELECT img_id, step::INT AS step, floor(round(greatest(0.0::DOUBLE, least(255.0::DOUBLE, threshold::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * step / 5.0::DOUBLE))), 6))::INT AS lower FROM otsu, range(0, 6) s(step)"),
     "threshold_pairs_actual": (lambda s, d: T.threshold_pairs(photos(s, d), "actual_values", (100, 140), (300, 180), 5), f"WITH {PHOTOS} {PAIRS('SELECT DISTINCT img_id, 1.0::DOUBLE AS base FROM photos', (100, 140), (300, 180), 5)}"),
     "distinct_levels": (lambda s, d: T.distinct_levels(photos(s, d), 100, 150, 4), f"WITH {PHOTOS} SELECT img_id, v FROM (SELECT img_id, v, row_number() OVER (PARTITION BY img_id ORDER BY v) - 1 AS k FROM (SELECT DISTINCT img_id, v FROM photos WHERE v BETWEEN 100 AND 150)) WHERE k % 4 = 0"),
 }

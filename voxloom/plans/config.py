@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from typing import Any
+from typing import TYPE_CHECKING, Any
+
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,7 @@ def _text(**k) -> Rule:
     return Rule((str,), **k)
 
 
+#: The parameters of the runs, with their defaults and bounds.
 _IMAGE = {"img_path": _text(required=True), "output_folder": _text(required=True), "workspace": _text(default=""), "base_name": _text(), "boundary_path": _text()}
 _MESH = {"is_make_meshes": Rule((bool,), default=False), "downsample_scale": _int(default=10, low=1, high=100), "step_size": _int(default=1, low=1, high=10)}
 _THRESHOLDS = {"thresholds": _numbers(required=True, low=0), "upper_thresholds": _numbers(low=0), "num_threads": _int(low=1, default=1)}
@@ -83,6 +87,26 @@ def checked(kind: str, given: Mapping[str, Any]) -> dict[str, Any]:
     return {name: given.get(name) if given.get(name) is not None else rule.default for name, rule in rules.items()}
 
 
+def load(spark: SparkSession, path: str, kind: str | None = None) -> dict[str, Any]:
+    """Parameters from a YAML or JSON file anywhere that Spark reads; with kind, checked with defaults."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()
+    given = yaml.safe_load(text["value"]) if text else None  # JSON is YAML
+    if not isinstance(given, dict):
+        raise ValueError(f"{path} holds no parameters")
+    return checked(kind, given) if kind else given
+
+
+def save(spark: SparkSession, path: str, parameters: Mapping[str, Any]) -> None:
+    """The parameters of a run as a YAML file in the folder `path`. Arrays and tables aren't parameters and are left out."""
+    import yaml
+
+    plain = lambda x: isinstance(x, (str, int, float, bool, type(None))) or isinstance(x, (list, tuple)) and all(map(plain, x)) or isinstance(x, dict) and all(map(plain, x.values()))
+    text = yaml.safe_dump({k: list(v) if isinstance(v, tuple) else v for k, v in parameters.items() if plain(v)}, sort_keys=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def thresholds(lower: int | Sequence[float], upper: int | Sequence[float] | None, rising: bool) -> list[tuple[int, int | None]]:
     """Pairs of whole thresholds. Seeds go inwards (lower ends rise, upper ends fall), growth outwards."""
     lower = [int(x) for x in (lower if isinstance(lower, Sequence) else [lower])]

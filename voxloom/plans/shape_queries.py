@@ -45,6 +45,10 @@ def _chain(parts: list[tuple[str, str]], low=LOW) -> str:
     return f"WITH {VOLUMES}, {', '.join(out)} SELECT {K} FROM {name} WHERE was"
 
 
+def _boxed(reach: list[tuple[int, int, int]], how: str, low: int) -> str:
+    return f"WITH {VOLUMES}, {shifted('b', 'volumes', f'v >= {low}', [o for o in reach if any(o)], how)} SELECT {K} FROM b WHERE hit"
+
+
 A, O = "bool_and", "bool_or"  # noqa: E741
 QUERIES: dict = {}
 for _name in ("ball", "ball_XY", "ball_XZ", "ball_YZ", "X", "Y", "Z", "2XZ_1Y", "2XY_1Z", "2YZ_1X"):
@@ -52,6 +56,9 @@ for _name in ("ball", "ball_XY", "ball_XZ", "ball_YZ", "X", "Y", "Z", "2XZ_1Y",
 QUERIES |= {
     "erode_ball_twice": (lambda s, d: _on(M.erode(mask(s, d, 40), "ball", 2)), _chain([("zyx", A)] * 2, 40)),
     "erode_cube": (lambda s, d: _on(M.erode(mask(s, d), "cube")), f"WITH {VOLUMES} SELECT {K} FROM volumes WHERE v >= {LOW}"),
+    "erode_cube3": (lambda s, d: _on(M.erode(mask(s, d, 40), "cube", size=3)), _boxed([(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)], A, 40)),
+    "erode_square2": (lambda s, d: _on(M.erode(mask(s, d, 60), "square", size=2)), _boxed([(0, b, c) for b in (-1, 0) for c in (-1, 0)], A, 60)),
+    "dilate_square2": (lambda s, d: _on(M.dilate(mask(s, d, 200), "square", size=2)), _boxed([(0, b, c) for b in (0, 1) for c in (0, 1)], O, 200)),
     "dilate_ball": (lambda s, d: _on(M.dilate(mask(s, d, 200))), _chain([("zyx", O)], 200)),
     "open": (lambda s, d: _on(M.opened(mask(s, d, 60))), _chain([("zyx", A), ("zyx", O)], 60)),
     "close": (lambda s, d: _on(M.closed(mask(s, d, 180))), _chain([("zyx", O), ("zyx", A)], 180)),
@@ -241,6 +248,11 @@ QUERIES |= {
     "grow_once_overwrite": (lambda s, d: _out(G.overwrite(seeded(s, d), [2, 5])), f"WITH {VOLUMES}, {_SEEDED}, {', '.join(_OVER)} SELECT {K}, label FROM w5"),
     "grow_subset": (lambda s, d: _out(G.hop(seeded(s, d), F.col("v") >= 120, "max", [1, 4])), _grown(["v >= 120"], "max", "1, 4")),
     "grow_multi": (lambda s, d: _out(G.grow(seeded(s, d), [180, 140, 100], [2, 2, 1])[0]), _grown(["v >= 180"] * 2 + ["v >= 140"] * 2 + ["v >= 100"])),
+    "grow_ids_boundary": (
+        lambda s, d: _out(G.grow(seeded(s, d), [160, 100], [2, 2], ids=[1, 4], boundary=F.col("x") == 8)[0]),
+        _grown(["v >= 160 AND p.x <> 8"] * 2 + ["v >= 100 AND p.x <> 8"] * 2, "max", "1, 4"),
+    ),
+    "grow_overwrite": (lambda s, d: _out(G.grow(seeded(s, d), [0], [1], "overwrite", ids=[2, 5])[0]), f"WITH {VOLUMES}, {_SEEDED}, {', '.join(_OVER)} SELECT {K}, label FROM w5"),
     "grow_upper": (lambda s, d: _out(G.grow(seeded(s, d), [180, 140], [1, 2], uppers=[200, 220])[0]), _grown(["v BETWEEN 180 AND 200"] + ["v BETWEEN 140 AND 220"] * 2)),
     "grow_log": (_grow_log, _log_sql()),
     "grow_final": (
@@ -392,6 +404,7 @@ QUERIES |= {
     ),
     "adaptive_thre": (lambda s, d: S.adaptive_by_threshold(volumes(s, d), [170, 190, 210], 0, 12)[0], None),
     "descent": (lambda s, d: S.descent(volumes(s, d), 215, 185, 2, 2), None),
+    "descent_eroded": (lambda s, d: S.descent(volumes(s, d), 40, 30, 1, 2, erosions=2), None),
     "distance_squared": (lambda s, d: D.squared_distance(mask(s, d, 60)), f"WITH {VOLUMES} {_NEAREST}"),
     "edt_center": (lambda s, d: D.centres(mask(s, d, 60)), f"WITH {VOLUMES}, n AS ({_NEAREST}) SELECT img_id, z, y, x, d FROM n WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY d DESC, z, y, x) = 1"),
     "edge_band": (lambda s, d: D.squared_distance(mask(s, d, 60)).where("d > 0 and d < 9"), f"WITH {VOLUMES}, n AS ({_NEAREST}) SELECT * FROM n WHERE d > 0 AND d < 9"),

@@ -60,6 +60,10 @@ QUERIES = {
         lambda s, d: N.align_sorted(*_names(s, d), "folder"),
         f"WITH a AS (SELECT s_nationkey AS folder, {_NAME} || '.tif' AS image, row_number() OVER (PARTITION BY s_nationkey ORDER BY {_NAME}) AS k FROM supplier), b AS (SELECT s_nationkey AS folder, 'seg_' || {_NAME} || '_final.tif' AS other, row_number() OVER (PARTITION BY s_nationkey ORDER BY {_NAME}) AS k FROM supplier WHERE s_acctbal > 0) SELECT * FROM a JOIN b USING (folder, k)",
     ),
+    "matching_names": (
+        lambda s, d: N.matching(_names(s, d)[1], "seg_0", "_final"),
+        f"SELECT s_nationkey AS folder, 'seg_' || {_NAME} || '_final.tif' AS name, substr({_NAME}, 2) AS key FROM supplier WHERE s_acctbal > 0 AND starts_with({_NAME}, '0')",
+    ),
     "batch_manifest": (_manifest, "SELECT p_brand, count(DISTINCT p_size)::INT AS n, min(p_size) AS low, max(p_size) AS high FROM part GROUP BY p_brand"),
     "tiff_round_trip": (_round_trip, f"WITH {SEG} SELECT {K}, label FROM seg"),
     "prompt_json": (_prompt_json, f"""{_POINTS} SELECT img_id, slice, '{{"point":[' || px || ',' || py || '],"label":' || sign || ',"name":"class_' || class_id || '"}}' AS prompt FROM pts"""),

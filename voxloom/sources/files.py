@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,15 +63,15 @@ def unpng(data: bytes) -> np.ndarray:
 def read_stack(spark: SparkSession, path: str) -> DataFrame:
     """z, y, x, v of a folder of PNG slices, z by file name; read_array's columns for .npy files."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = [r["path"] for r in files.select("path").orderBy("path").collect()]  # one name a slice
-    number = {name: k for k, name in enumerate(names)}
+    number = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("z"))  # a row a slice
+    files = files.join(number, "path")
 
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, content in zip(part["path"], part["content"]):
+            for z, content in zip(part["z"], part["content"]):
                 image = unpng(content)
                 y, x = np.indices(image.shape)
-                yield pd.DataFrame({"z": number[name], "y": y.ravel(), "x": x.ravel(), "v": image.ravel().astype(int)})
+                yield pd.DataFrame({"z": z, "y": y.ravel(), "x": x.ravel(), "v": image.ravel().astype(int)})
 
     return files.mapInPandas(cells, "z int, y int, x int, v int")
 

@@ -47,6 +47,13 @@ def key_of(name: Column, prefix: str = "", suffix: str = "") -> Column:
     return F.when(bare.endswith(suffix), F.substring(bare, F.lit(1), F.length(bare) - len(suffix))).otherwise(bare) if suffix else bare
 
 
+def matching(names: DataFrame, prefix: str, suffix: str) -> DataFrame:
+    """Names that begin with prefix and end, before the extension, with suffix; key is what stands between."""
+    bare = F.regexp_replace("name", r"\.[A-Za-z0-9]+$", "")
+    long_enough = F.length(bare) >= len(prefix) + len(suffix)
+    return names.where(bare.startswith(prefix) & bare.endswith(suffix) & long_enough).withColumn("key", key_of(F.col("name"), prefix, suffix))
+
+
 def align_exact(images: DataFrame, others: DataFrame, prefix: str, suffix: str) -> DataFrame:
     """(key, image, other) of files whose names agree without the others' prefix and suffix."""
     a = images.select(key_of(F.col("name")).alias("key"), F.col("name").alias("image"))
