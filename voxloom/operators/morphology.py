@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..model import AXES, KEY, line
 
-#: Axes of each step of a footprint, by name.
+#: Axes of each step of a footprint, by name. `cube` and `square` of size 1 are single cells: no step.
 FOOTPRINTS = {
     "ball": ["zyx"],
     "disk": ["zyx"],
@@ -26,6 +26,8 @@ FOOTPRINTS = {
     "2XZ_1Y": ["zx", "zx", "y"],
     "2XY_1Z": ["yx", "yx", "z"],
     "2YZ_1X": ["zy", "zy", "x"],
+    "cube": [],
+    "square": [],
 }
 #: Axes of footprints that are boxes of `size` cells on each side.
 BOXES = {"cube": "zyx", "square": "yx"}
