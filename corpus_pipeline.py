@@ -26,30 +26,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged like its twin; an empty table gives none.
     """
     learned = langid.train(docs)
-    named = langid.predict(docs, learned, lang_as="_language", score_as="_language_score", fit_as="_language_fit")
-    fits = F.coalesce(F.col("_language_fit") > 0, F.col("text").rlike(r"\p{L}") & F.lit(not learned.languages), F.lit(False))
-    lang = F.when(F.col("_language") != langid.UNDECIDED, F.col("_language")).alias("lang")
+    longest = max(docs.columns, key=len)  # names that no column of docs has
+    language, score, fit = (f"{longest}_{x}" for x in ("language", "score", "fit"))
+    named = langid.predict(docs, learned, lang_as=language, score_as=score, fit_as=fit)
+    fits = F.coalesce(F.col(f"`{fit}`") > 0, F.col("text").rlike(r"\p{L}") & F.lit(not learned.languages), F.lit(False))
+    lang = F.when(F.col(f"`{language}`") != langid.UNDECIDED, F.col(f"`{language}`")).alias("lang")
     return named.where(fits).select([lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts."""
+    """Keeps one row of each group of equal texts: that of the most characters, then of the least doc_id. Null texts count as empty; an empty table gives none."""
     return exact_dedup.without_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near duplicates; documents without words stay."""
+    """Keeps one document of each component of near duplicates, that of the least doc_id; documents without words and those with a null doc_id stay. An empty table gives none."""
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as came in, by the target weights: leaves over their budget give a prefix, others up to two epochs (a row for each)."""
+    """As many tokens as came in, by the target weights: leaves over their budget give a prefix, others up to two epochs (a row for each).
+
+    Null languages and sources are leaves of their own, null texts have one token; an empty table gives none.
+    """
     return mixing.mix(docs, carry=True).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit decreasing into sequences of 2048 tokens."""
+    """Best-fit decreasing into sequences of 2048 tokens. Null and empty texts are one token, longer texts than a sequence are cut; an empty table gives none."""
     return packing.pack_documents(docs)
 
 
