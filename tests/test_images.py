@@ -176,3 +176,20 @@ def test_adaptive_by_threshold(spark):
     out, lineage = seeds.adaptive_by_threshold(table(spark, v), [4, 8])
     sizes = sorted(r["count"] for r in out.groupBy("label").count().collect())
     assert sizes == [2, 2, 2] and lineage.count() == 2
+
+
+def test_adaptive_seeds_with_a_list_of_segments(spark):
+    v = np.zeros((1, 7, 20), int)
+    v[0, 1:6, 1:6] = v[0, 1:6, 9:14] = 9  # two blocks and a bridge of one cell
+    v[0, 3, 6:9] = 9
+    v[0, 3, 16] = 9  # a crumb
+    cells = table(spark, v)
+    split, lineage = seeds.adaptive(cells, 5, 1)
+    assert len(np.unique(volume(split, v.shape, "label"))) == 4 and lineage.count() == 2
+    one, none = seeds.adaptive(cells, 5, 1, top=[1, 1])  # a single child doesn't split its parent
+    assert len(np.unique(volume(one, v.shape, "label"))) == 2 and none.count() == 0
+    large, _ = seeds.adaptive(cells, 5, 1, top=[9, 2], min_size=2)
+    assert len(np.unique(volume(large, v.shape, "label"))) == 3
+    kept, none = seeds.adaptive(cells, 5, 1, size_limit=(None, 10))
+    assert none.count() == 0
+    assert len(np.unique(volume(seeds.adaptive_by_threshold(cells, [5, 8], 1, top=[3, 3], patience=1)[0], v.shape, "label"))) == 3

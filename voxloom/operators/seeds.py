@@ -77,23 +77,29 @@ def split_rule(parents: DataFrame, children: DataFrame, share: float, total: flo
     return seen.withColumns({"chosen": chosen, "count": count}).join(most, "img_id").select("img_id", "parent", "child", "share", "chosen", F.when(F.col("chosen"), F.col("most") + F.col("count")).cast("int").alias("to"))
 
 
-def adaptive(cells: DataFrame, low: int, erosions: int, top: int | None = None, share: float = 0.0, total: float = 0.0, patience: int = 3) -> tuple[DataFrame, DataFrame]:
+def _top(top: int | list[int] | None, step: int) -> int | None:
+    return top[step] if isinstance(top, list) else top
+
+
+def adaptive(cells: DataFrame, low: int, erosions: int, top: int | list[int] | None = None, share: float = 0.0, total: float = 0.0, patience: int = 3, high: int | None = None, min_size: int = 0, size_limit: tuple[int | None, int | None] = (None, None)) -> tuple[DataFrame, DataFrame]:
     """Splits the components of a threshold by those left after each erosion. Returns the labels, by size, and the lineage (step, img_id, parent, child label, share).
 
-    Ends after `patience` steps in which nothing splits.
+    Ends after `patience` steps in which nothing splits. top: how many components to keep, of all steps or a list by step, the
+    first of no erosion; min_size: of a component; size_limit: of a label that may split; high: an upper threshold.
     """
+    from .cells import within
     from .components import written
 
-    far = written(city_block(cells.withColumn("on", F.col("v") >= low), "on", "d"), "distance")
-    at = written(relabelled(components(far.where("d > 0")), top), "seeds")
+    far = written(city_block(cells.withColumn("on", within(low, high)), "on", "d"), "distance")
+    at = written(relabelled(components(far.where("d > 0")), _top(top, 0), min_size), "seeds")
     lineage, quiet = None, 0
     for k in range(1, erosions + 1):
-        children = written(relabelled(components(far.where(F.col("d") > k)), top), "seeds")
-        rule = written(split_rule(at, children, share, total), "splits")
+        children = written(relabelled(components(far.where(F.col("d") > k)), _top(top, k), min_size), "seeds")
+        rule = written(split_rule(at, children, share, total, size_limit), "splits")
         steps = rule.where("chosen").select(F.lit(k).alias("step"), "img_id", "parent", F.col("to").alias("child"), "share")
         lineage = steps if lineage is None else lineage.unionByName(steps)
         if rule.take(1):
-            at, quiet = written(split_step(at, children, share, total), "seeds"), 0
+            at, quiet = written(split_step(at, children, share, total, size_limit), "seeds"), 0
         else:
             quiet += 1
             if quiet >= patience:
@@ -114,22 +120,25 @@ def descendants(lineage: DataFrame, steps: int) -> DataFrame:
     return at.distinct().select("img_id", "root", F.col("child").alias("leaf"))
 
 
-def adaptive_by_threshold(cells: DataFrame, lows: list[int], erosions: int = 0, top: int | None = None, share: float = 0.0, total: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """As adaptive(), with rising thresholds in place of erosions; each mask is eroded `erosions` times."""
+def adaptive_by_threshold(cells: DataFrame, lows: list[int], erosions: int = 0, top: int | list[int] | None = None, share: float = 0.0, total: float = 0.0, patience: int | None = None, min_size: int = 0) -> tuple[DataFrame, DataFrame]:
+    """As adaptive(), with rising thresholds in place of erosions; each mask is eroded `erosions` times. patience: steps without a split after which it ends; None: goes through all."""
     from .cells import reorder
     from .components import written
 
-    def left(low: int) -> DataFrame:
-        far = city_block(cells.withColumn("on", F.col("v") >= low), "on", "d")
-        return written(relabelled(components(far.where(F.col("d") > erosions)), top), "seeds")
+    def left(step: int) -> DataFrame:
+        far = city_block(cells.withColumn("on", F.col("v") >= lows[step]), "on", "d")
+        return written(relabelled(components(far.where(F.col("d") > erosions)), _top(top, step), min_size), "seeds")
 
-    at, lineage = left(lows[0]), None
-    for k, low in enumerate(lows[1:], 1):
-        children = left(low)
+    at, lineage, quiet = left(0), None, 0
+    for k in range(1, len(lows)):
+        children = left(k)
         rule = written(split_rule(at, children, share, total), "splits")
         steps = rule.where("chosen").select(F.lit(k).alias("step"), "img_id", "parent", F.col("to").alias("child"), "share")
         lineage = steps if lineage is None else lineage.unionByName(steps)
         at = written(split_step(at, children, share, total), "seeds")
+        quiet = 0 if patience is None or rule.take(1) else quiet + 1
+        if patience is not None and quiet >= patience:
+            break
     return reorder(at), lineage
 
 
