@@ -55,3 +55,20 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
         whole.setdefault(r[0], []).append(r[3])
     assert set(whole) == {r[0] for r in i}
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").collect())) == sorted(x[:5] for x in j)
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars int, `row` string, head string, `_language` string, bits int, lang_pred string"
+    rows = [(i, "the river ran past the old mill " * 3 + f"word {'abcdefgh'[i % 8]}" if i else None, "en" if i % 2 else None, None, 0, "r", "h", "l", 1, "p") for i in range(12)] * 2
+    for name, given in (("none", []), ("some", rows)):
+        docs = spark.createDataFrame(given, schema)
+        (tmp_path / name).mkdir()
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        at = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, at, str(tmp_path / name)).write.parquet(str(tmp_path / name / f"{k}"))
+            at = spark.read.parquet(str(tmp_path / name / f"{k}"))
+            assert k == 4 or at.columns == docs.columns
+            if given and k < 4:
+                assert {(r["row"], r["head"], r["_language"], r["bits"], r["lang_pred"], r["lang"]) for r in at.collect()} == {("r", "h", "l", 1, "p", "en")}
+        assert (at.count() > 0) == bool(given)
