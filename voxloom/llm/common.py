@@ -55,12 +55,12 @@ def joined(left: DataFrame, right: DataFrame, key: str, size: str, limit: float)
     return left.join(heavy, key).unionByName(dealt)
 
 
-def salted(left: DataFrame, right: DataFrame, key: str, size: str, spread: str, limit: float) -> DataFrame:
-    """As joined(), for right rows of any width: a heavy key's row is copied, and left's rows are dealt over the copies by a hash of `spread`."""
+def salted(left: DataFrame, right: DataFrame, key: str, size: str, spread: str, limit: float, how: str = "inner") -> DataFrame:
+    """As joined(), for right rows of any width: a heavy key's row is copied, and left's rows are dealt over the copies by a hash of `spread`. how: inner or left."""
     copies = F.greatest(F.lit(1), F.ceil(F.col(size) / F.lit(limit))).cast("int")
     heavy = F.broadcast(right.where(F.col(size) > limit).select(key, copies.alias("_copies")))
     dealt = left.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
-    return dealt.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))), [key, "_salt"]).drop("_salt")
+    return dealt.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))), [key, "_salt"], how).drop("_salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
