@@ -5,11 +5,14 @@ A row of the grid is a copy of the image's cells that pass; all erosions by ball
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEY
+from ..model import AXES, KEY, line
 from .components import components, relabelled
+from .distance import hull_volumes
 from .morphology import city_block, erode
 
 
@@ -44,13 +47,21 @@ def seed_log(swept: DataFrame) -> DataFrame:
     return swept.groupBy("img_id", "low", "erosion").agg(F.count("*").alias("n_components"), F.sum("size").alias("cells"), F.array_join(F.transform(listed, lambda s: s["size"].cast("string")), ",").alias("sizes"))
 
 
-def split_step(parents: DataFrame, children: DataFrame, share: float = 0.0, total: float = 0.0, size_limit: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+#: Limits of what may split: (least, most), None for no limit.
+Limit = tuple[int | None, int | None]
+NO_LIMIT: Limit = (None, None)
+
+
+def split_step(parents: DataFrame, children: DataFrame, share: float = 0.0, total: float = 0.0, size_limit: Limit = NO_LIMIT, hull_limit: Limit = NO_LIMIT) -> DataFrame:
     """One step of adaptive splitting: parents and children are cell tables with label > 0; gives the cells' new labels.
 
-    A parent with two children or more, which together cover at least `total` of it, and of a size within the limits, goes;
-    its children that cover more than `share` of it get fresh labels by (parent, child), and paint their whole component.
+    A parent with two children or more, which together cover at least `total` of it, and of a size and hull within the limits,
+    goes; its children that cover more than `share` of it get fresh labels by (parent, child), and paint their whole component.
     """
-    rule = split_rule(parents, children, share, total, size_limit)
+    return _split(parents, children, split_rule(parents, children, share, total, size_limit, hull_limit))
+
+
+def _split(parents: DataFrame, children: DataFrame, rule: DataFrame) -> DataFrame:
     kept = parents.join(rule.select("img_id", F.col("parent").alias("label")).distinct(), ["img_id", "label"], "left_anti")
     fresh = children.join(rule.where("chosen").select("img_id", F.col("child").alias("label"), "to"), ["img_id", "label"]).groupBy(*KEY).agg(F.max("to").alias("to"))
     return kept.join(fresh, KEY, "full").select(*KEY, F.coalesce("to", "label").cast("int").alias("label"))
@@ -63,52 +74,102 @@ def overlap_shares(parents: DataFrame, children: DataFrame) -> DataFrame:
     return both.groupBy("img_id", "parent", "child").agg(F.count("*").alias("shared")).join(size, ["img_id", "parent"]).withColumn("share", F.round(F.col("shared") / F.col("size"), 6) * 100)
 
 
-def split_rule(parents: DataFrame, children: DataFrame, share: float, total: float, size_limit: tuple[int | None, int | None] = (None, None)) -> DataFrame:
-    """img_id, parent, child, share, chosen, to for the parents that split."""
+def split_rule(parents: DataFrame, children: DataFrame, share: float, total: float, size_limit: Limit = NO_LIMIT, hull_limit: Limit = NO_LIMIT) -> DataFrame:
+    """img_id, parent, child, share, chosen, to for the parents that split. hull_limit: of the volume of the parent's hull, of which a flat one has none and doesn't split."""
     low, high = size_limit
     by = Window.partitionBy("img_id", "parent")
     seen = overlap_shares(parents, children).withColumns({"n": F.count("*").over(by), "sum": F.sum("share").over(by)})
     seen = seen.where((F.col("n") >= 2) & (F.col("sum") >= total * 100))
     seen = seen if low is None else seen.where(F.col("size") >= low)
     seen = seen if high is None else seen.where(F.col("size") <= high)
+    if hull_limit != NO_LIMIT:
+        few = parents.join(seen.select("img_id", F.col("parent").alias("label")).distinct(), ["img_id", "label"], "left_semi")
+        volume = F.expr("volume6 div 6")
+        within = F.col("volume6") > 0
+        within = within if hull_limit[0] is None else within & (volume >= hull_limit[0])
+        within = within if hull_limit[1] is None else within & (volume <= hull_limit[1])
+        seen = seen.join(hull_volumes(few).where(within).select("img_id", F.col("label").alias("parent")), ["img_id", "parent"], "left_semi")
     most = parents.groupBy("img_id").agg(F.max("label").alias("most"))
     chosen = F.col("share") > share * 100
     count = F.sum(chosen.cast("int")).over(Window.partitionBy("img_id").orderBy("parent", "child"))
     return seen.withColumns({"chosen": chosen, "count": count}).join(most, "img_id").select("img_id", "parent", "child", "share", "chosen", F.when(F.col("chosen"), F.col("most") + F.col("count")).cast("int").alias("to"))
 
 
-def _top(top: int | list[int] | None, step: int) -> int | None:
-    return top[step] if isinstance(top, list) else top
+def _at(values, step: int):
+    """A setting of one step: of all steps, or of a list by step."""
+    return values[step] if isinstance(values, list) else values
 
 
-def adaptive(cells: DataFrame, low: int, erosions: int, top: int | list[int] | None = None, share: float = 0.0, total: float = 0.0, patience: int = 3, high: int | None = None, min_size: int = 0, size_limit: tuple[int | None, int | None] = (None, None)) -> tuple[DataFrame, DataFrame]:
-    """Splits the components of a threshold by those left after each erosion. Returns the labels, by size, and the lineage (step, img_id, parent, child label, share).
-
-    Ends after `patience` steps in which nothing splits. top: how many components to keep, of all steps or a list by step, the
-    first of no erosion; min_size: of a component; size_limit: of a label that may split; high: an upper threshold.
-    """
-    from .cells import within
+def _split_by_steps(masks: Iterator[DataFrame], top: int | list[int] | None, min_size: int, patience: int | None, share: float, total: float, size_limit: Limit, hull_limit: Limit) -> tuple[DataFrame, DataFrame]:
+    """Splits the components of the first mask by those of each next one. Returns the labels, by size, and the lineage (step, img_id, parent, child label, share)."""
+    from .cells import reorder
     from .components import written
 
-    far = written(city_block(cells.withColumn("on", within(low, high)), "on", "d"), "distance")
-    at = written(relabelled(components(far.where("d > 0")), _top(top, 0), min_size), "seeds")
-    lineage, quiet = None, 0
-    for k in range(1, erosions + 1):
-        children = written(relabelled(components(far.where(F.col("d") > k)), _top(top, k), min_size), "seeds")
-        rule = written(split_rule(at, children, share, total, size_limit), "splits")
+    parts = lambda mask, step: written(relabelled(components(mask), _at(top, step), min_size), "seeds")
+    at, lineage, quiet = parts(next(masks), 0), None, 0
+    for k, mask in enumerate(masks, 1):
+        children = parts(mask, k)
+        rule = written(split_rule(at, children, share, total, size_limit, hull_limit), "splits")
         steps = rule.where("chosen").select(F.lit(k).alias("step"), "img_id", "parent", F.col("to").alias("child"), "share")
         lineage = steps if lineage is None else lineage.unionByName(steps)
         if rule.take(1):
-            at, quiet = written(split_step(at, children, share, total, size_limit), "seeds"), 0
+            at, quiet = written(_split(at, children, rule), "seeds"), 0
         else:
             quiet += 1
-            if quiet >= patience:
+            if patience is not None and quiet >= patience:
                 break
-    from .cells import reorder
-
+    if lineage is None:
+        lineage = at.limit(0).select(F.lit(0).alias("step"), "img_id", F.col("label").alias("parent"), F.col("label").alias("child"), F.lit(0.0).alias("share"))
     return reorder(at), lineage
 
 
+def _eroded(on: DataFrame, times: int, footprints: str | list[str] | None) -> Iterator[DataFrame]:
+    """The cells of `on` that are left after 0, 1, ... `times` erosions. footprints: of all erosions or by step; balls, and None, go by one distance transform."""
+    from .components import written
+
+    names = [_at(footprints or "ball", k) for k in range(times)]
+    if set(names) <= {"ball", "disk"}:
+        far = written(city_block(on, "on", "d"), "distance")
+        yield from (far.where(F.col("d") > k) for k in range(times + 1))
+        return
+    at = on
+    yield at.where("on")
+    for name in names:
+        at = written(erode(at, name), "eroded")
+        yield at.where("on")
+
+
+def _mask(cells: DataFrame, low: int, high: int | None, boundary: Column | None) -> DataFrame:
+    from .cells import within
+
+    on = within(low, high)
+    return cells.withColumn("on", on if boundary is None else on & ~boundary)
+
+
+def adaptive(
+    cells: DataFrame,
+    low: int,
+    erosions: int,
+    top: int | list[int] | None = None,
+    share: float = 0.0,
+    total: float = 0.0,
+    patience: int | None = 3,
+    high: int | None = None,
+    min_size: int = 0,
+    size_limit: Limit = NO_LIMIT,
+    hull_limit: Limit = NO_LIMIT,
+    boundary: Column | None = None,
+    footprints: str | list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Splits the components of a threshold by those left after each erosion. Returns the labels, by size, and the lineage (step, img_id, parent, child label, share).
+
+    Ends after `patience` steps in which nothing splits. top: how many components to keep, of all steps or a list by step, the
+    first of no erosion; min_size: of a component; size_limit, hull_limit: of the cells and the hull's volume of a label that may
+    split; high: an upper threshold; boundary: cells that belong to nothing; footprints: of all erosions or a list by step.
+    """
+    return _split_by_steps(_eroded(_mask(cells, low, high, boundary), erosions, footprints), top, min_size, patience, share, total, size_limit, hull_limit)
+
+
 def descendants(lineage: DataFrame, steps: int) -> DataFrame:
     """img_id, root, leaf: labels that split and those that came of them in the end. A join a step."""
     at = lineage.select("img_id", F.col("parent").alias("root"), "child")
@@ -120,38 +181,54 @@ def descendants(lineage: DataFrame, steps: int) -> DataFrame:
     return at.distinct().select("img_id", "root", F.col("child").alias("leaf"))
 
 
-def adaptive_by_threshold(cells: DataFrame, lows: list[int], erosions: int = 0, top: int | list[int] | None = None, share: float = 0.0, total: float = 0.0, patience: int | None = None, min_size: int = 0) -> tuple[DataFrame, DataFrame]:
-    """As adaptive(), with rising thresholds in place of erosions; each mask is eroded `erosions` times. patience: steps without a split after which it ends; None: goes through all."""
-    from .cells import reorder
-    from .components import written
-
-    def left(step: int) -> DataFrame:
-        far = city_block(cells.withColumn("on", F.col("v") >= lows[step]), "on", "d")
-        return written(relabelled(components(far.where(F.col("d") > erosions)), _top(top, step), min_size), "seeds")
-
-    at, lineage, quiet = left(0), None, 0
-    for k in range(1, len(lows)):
-        children = left(k)
-        rule = written(split_rule(at, children, share, total), "splits")
-        steps = rule.where("chosen").select(F.lit(k).alias("step"), "img_id", "parent", F.col("to").alias("child"), "share")
-        lineage = steps if lineage is None else lineage.unionByName(steps)
-        at = written(split_step(at, children, share, total), "seeds")
-        quiet = 0 if patience is None or rule.take(1) else quiet + 1
-        if patience is not None and quiet >= patience:
-            break
-    return reorder(at), lineage
-
-
-def grid(cells: DataFrame, lows: list[int], footprints: list[str], top: int) -> DataFrame:
-    """img_id, low, footprint, rank, size after one erosion by each footprint: the grid is a union of plans over one scan."""
-    out = None
-    for name in footprints:
-        for low in lows:
-            on = erode(cells.withColumn("on", F.col("v") >= low), name)
-            size = relabelled(components(on.where("on")), top).groupBy("img_id", F.col("label").alias("rank")).agg(F.count("*").alias("size"))
-            size = size.select("img_id", F.lit(low).alias("low"), F.lit(name).alias("footprint"), "rank", "size")
-            out = size if out is None else out.unionByName(size)
-    return out
+def adaptive_by_threshold(
+    cells: DataFrame,
+    lows: list[int],
+    erosions: int = 0,
+    top: int | list[int] | None = None,
+    share: float = 0.0,
+    total: float = 0.0,
+    patience: int | None = None,
+    min_size: int = 0,
+    highs: list[int] | None = None,
+    size_limit: Limit = NO_LIMIT,
+    hull_limit: Limit = NO_LIMIT,
+    boundary: Column | None = None,
+    footprints: str | list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """As adaptive(), with rising thresholds in place of erosions (highs: upper ones); each mask is eroded `erosions` times. patience: steps without a split after which it ends; None: goes through all."""
+
+    def masks() -> Iterator[DataFrame]:
+        for k, low in enumerate(lows):
+            *_, left = _eroded(_mask(cells, low, None if highs is None else highs[k], boundary), erosions, footprints)
+            yield left
+
+    return _split_by_steps(masks(), top, min_size, patience, share, total, size_limit, hull_limit)
+
+
+def grid(cells: DataFrame, lows: list[int], footprints: list[str], top: int, erosions: int = 1, highs: list[int] | None = None, min_size: int = 0) -> DataFrame:
+    """img_id, low, footprint, erosion, rank, size for every threshold (highs: upper ones), footprint and 1 to `erosions` erosions.
+
+    The grid is rows: a threshold is an image of its own, and each footprint's erosions follow one another over all of them at once;
+    components of all thresholds, footprints and erosions are labelled together.
+    """
+    n = len(lows)
+    at = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    low, high = F.get(F.array(*map(F.lit, lows)), F.col("_low")), F.get(F.array(*map(F.lit, highs or [None] * n)), F.col("_low"))
+    on = cells.withColumn("_low", at).withColumn("on", (F.col("v") >= low) & (high.isNull() | (F.col("v") <= high)))
+    on = on.select((F.col("img_id") * n + F.col("_low")).alias("img_id"), "z", "y", "x", "on")
+    left = None
+    for f, name in enumerate(footprints):
+        now = on
+        for k in range(1, erosions + 1):
+            now = erode(now, name)
+            rows = now.where("on").select(*KEY, F.lit(f * erosions + k - 1).alias("case"))
+            left = rows if left is None else left.unionByName(rows)
+    size = components(left, 3, F.col("case")).groupBy("img_id", F.col("value").cast("int").alias("case"), "root").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
+    by = Window.partitionBy("img_id", "case").orderBy(F.desc("size"), "root")
+    found = size.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+    name = F.get(F.array(*map(F.lit, footprints)), F.expr(f"cast(case div {erosions} as int)"))
+    return found.select(F.expr(f"cast(img_id div {n} as int)").alias("img_id"), F.get(F.array(*map(F.lit, lows)), F.col("img_id") % n).alias("low"), name.alias("footprint"), (F.col("case") % erosions + 1).cast("int").alias("erosion"), "rank", "size")
 
 
 def plot_series(log: DataFrame) -> DataFrame:
@@ -161,20 +238,22 @@ def plot_series(log: DataFrame) -> DataFrame:
 
 
 def descent(cells: DataFrame, start: int, target: int, rounds: int, top: int, erosions: int = 0) -> DataFrame:
-    """Seeds above `start`, eroded `erosions` times; then thresholds fall evenly to target, and each label in turn takes all that is connected by faces to its first cell through free cells above the threshold."""
+    """Seeds above `start` (by faces, eroded `erosions` times); then thresholds fall evenly to target, and at each one what is free and above it joins a seed.
+
+    Free cells hang together by faces, and a whole such part goes to a label that it touches: to the highest, since labels
+    are painted in order. A round labels the free parts of all images once, whatever the number of labels.
+    """
     from .components import onto, written
 
     on = erode(cells.withColumn("on", F.col("v") > start), "ball", erosions)
-    at = written(cells.select(*KEY, "v").join(onto(cells, relabelled(components(on.where("on")), top)), KEY), "descent")
-    for i in range(1, rounds + 1):
-        low = start - (start - target) * i // rounds
-        for j in range(1, top + 1):
-            own = F.col("label") == j
-            parts = components(at.where(own | ((F.col("label") == 0) & (F.col("v") > low))), 1)
-            marked = parts.join(at.where(own).select(*KEY), KEY)
-            first = marked.groupBy("img_id").agg(F.min_by("root", F.struct(*KEY[1:])).alias("root"))
-            taken = parts.join(first, ["img_id", "root"]).select(*KEY, F.lit(j).alias("to"))
-            # A label keeps only what hangs together with its first cell.
-            at = at.join(taken, KEY, "left").select(*KEY, "v", F.when(F.col("to").isNotNull(), F.col("to")).when(own, 0).otherwise(F.col("label")).cast("int").alias("label"))
-            at = written(at, "descent")
+    at = written(cells.select(*KEY, "v").join(onto(cells, relabelled(components(on.where("on"), 1), top)), KEY), "descent")
+    for i in range(rounds + 1):
+        low = start + (target - start) * i // rounds  # whole numbers above the fraction are those above its floor
+        free = (F.col("label") == 0) & (F.col("v") > low)
+        parts = components(at.where(free), 1)
+        seen = F.greatest(*[F.max("label").over(line(a).rowsBetween(-1, 1)) for a in AXES])
+        beside = at.withColumn("beside", seen).where(free & (F.col("beside") > 0)).select(*KEY, "beside")
+        taken = parts.join(beside, KEY).groupBy("img_id", "root").agg(F.max("beside").alias("to"))
+        joined = parts.join(taken, ["img_id", "root"]).select(*KEY, "to")
+        at = written(at.join(joined, KEY, "left").select(*KEY, "v", F.coalesce("to", "label").cast("int").alias("label")), "descent")
     return at.select(*KEY, "label")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cell_queries, shape_queries, table_queries
+from . import cell_queries, seed_queries, shape_queries, table_queries
 
-_ALL = {**cell_queries.QUERIES, **shape_queries.QUERIES, **table_queries.QUERIES}
+_ALL = {**cell_queries.QUERIES, **shape_queries.QUERIES, **table_queries.QUERIES, **seed_queries.QUERIES}
 
 
 def queries():

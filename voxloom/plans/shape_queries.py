@@ -397,14 +397,12 @@ def _grid_sql() -> str:
 
 _NEAREST = f"SELECT p.img_id, p.z, p.y, p.x, coalesce(min((p.z - q.z) * (p.z - q.z) + (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)), 1099511627776)::BIGINT AS d FROM volumes p LEFT JOIN (SELECT * FROM volumes WHERE v < 60) q ON q.img_id = p.img_id GROUP BY ALL"
 QUERIES |= {
-    "seed_grid": (lambda s, d: S.grid(volumes(s, d), [60, 100], ["ball", "ball_XY"], 6), _grid_sql()),
+    "seed_grid": (lambda s, d: S.grid(volumes(s, d), [60, 100], ["ball", "ball_XY"], 6).drop("erosion"), _grid_sql()),
     "seed_plot_series": (
         lambda s, d: S.plot_series(S.seed_log(S.sweep(volumes(s, d), [100, 140], 1, 10))),
         _sweep_sql([100, 140], 1, 10, f", lg AS ({_LOG}) SELECT img_id, 'volume' AS series, low, erosion, cells AS value FROM lg UNION ALL SELECT img_id, 'components', low, erosion, n_components FROM lg").replace(" , lg", ", lg"),
     ),
     "adaptive_thre": (lambda s, d: S.adaptive_by_threshold(volumes(s, d), [170, 190, 210], 0, 12)[0], None),
-    "descent": (lambda s, d: S.descent(volumes(s, d), 215, 185, 2, 2), None),
-    "descent_eroded": (lambda s, d: S.descent(volumes(s, d), 40, 30, 1, 2, erosions=2), None),
     "distance_squared": (lambda s, d: D.squared_distance(mask(s, d, 60)), f"WITH {VOLUMES} {_NEAREST}"),
     "edt_center": (lambda s, d: D.centres(mask(s, d, 60)), f"WITH {VOLUMES}, n AS ({_NEAREST}) SELECT img_id, z, y, x, d FROM n WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY d DESC, z, y, x) = 1"),
     "edge_band": (lambda s, d: D.squared_distance(mask(s, d, 60)).where("d > 0 and d < 9"), f"WITH {VOLUMES}, n AS ({_NEAREST}) SELECT * FROM n WHERE d > 0 AND d < 9"),
