@@ -1,6 +1,7 @@
-"""TIFF stacks as cell tables and back: uncompressed or deflate, 8, 16 and 32 bits, whole numbers or floats, one channel.
+"""TIFF stacks as cell tables and back: uncompressed, deflate, LZW or PackBits, with or without differences along rows, 8, 16 and 32 bits, whole numbers or floats, one channel.
 
-Files come through Spark's binaryFile reader and are decoded one page at a time in tasks; pages of one file become z slices.
+Files come through Spark's binaryFile reader and are decoded one page at a time in tasks; pages of one file become z slices. For
+files that no task should hold see stacks.py.
 """
 
 from __future__ import annotations
@@ -46,11 +47,66 @@ def _page(data: bytes, end: str, tags: dict[int, tuple]) -> np.ndarray:
         raise ValueError("only images of one channel")
     bits, kind = tags[BITS][0], tags.get(FORMAT, (1,))[0]
     dtype = np.dtype(end + {1: "u", 2: "i", 3: "f"}[kind] + str(bits // 8))
-    how = tags.get(COMPRESSION, (1,))[0]
-    if how not in (1, 8, 32946) or tags.get(PREDICTOR, (1,))[0] != 1:
-        raise ValueError(f"compression {how} isn't supported")
-    raw = b"".join(zlib.decompress(part) if how != 1 else part for part in (data[a : a + n] for a, n in zip(tags[STRIPS], tags[COUNTS])))
-    return np.frombuffer(raw, dtype).reshape(tags[HEIGHT][0], tags[WIDTH][0])
+    parts = (data[a : a + n] for a, n in zip(tags[STRIPS], tags[COUNTS]))
+    return image_of(parts, tags, dtype)
+
+
+def image_of(parts: Iterable[bytes], tags: dict[int, tuple], dtype: np.dtype) -> np.ndarray:
+    """A page from its strips."""
+    how, differences = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
+    if how not in UNPACK or differences not in (1, 2) or differences == 2 and dtype.kind == "f":
+        raise ValueError(f"compression {how} with predictor {differences} isn't supported")
+    raw = b"".join(map(UNPACK[how], parts))
+    image = np.frombuffer(raw, dtype, tags[HEIGHT][0] * tags[WIDTH][0]).reshape(tags[HEIGHT][0], tags[WIDTH][0])
+    return np.cumsum(image, axis=1, dtype=dtype.newbyteorder("=")) if differences == 2 else image
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """PackBits: a count below 128 and that many bytes and one more, or 257 less a count of copies of one byte."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += data[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+CLEAR, DONE = 256, 257
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits from the highest bit on, one bit more as soon as the next code but one needs it."""
+    known: list[bytes] = []
+    out, width, last = [], 9, b""
+    bits, held = 0, 0
+    for byte in data:
+        bits, held = (bits << 8) | byte, held + 8
+        if held < width:
+            continue
+        held -= width
+        code, bits = bits >> held, bits & ((1 << held) - 1)
+        if code == DONE:
+            break
+        if code == CLEAR:
+            known, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if not known or code > len(known):
+            raise ValueError("broken LZW data")
+        word = known[code] if code < len(known) else last + last[:1]
+        if last:
+            known.append(last + word[:1])
+        out.append(word)
+        last = word
+        width = max(9, min(12, (len(known) + 1).bit_length()))
+    return b"".join(out)
+
+
+#: By compression: none, LZW, deflate (two numbers), PackBits.
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
 
 
 def encode(slices: Iterable[np.ndarray]) -> bytes:
