@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,16 +27,23 @@ def merged(row: Mapping[str, object], config: Mapping[str, object]) -> dict[str,
     return {**config, **row}
 
 
-def run(rows: DataFrame, make: Callable[[Mapping[str, object]], str]) -> DataFrame:
-    """Each row with output_folder and error from make(row): a manifest is a list of runs, each of them a set of Spark jobs, so its rows come to the driver; one bad row doesn't end the batch."""
-    out = []
-    for row in rows.toLocalIterator():
+def run(rows: DataFrame, make: Callable[[Mapping[str, object]], str], at_once: int = 1) -> DataFrame:
+    """Each row with output_folder and error from make(row), at_once of them at a time.
+
+    A manifest is a list of runs, each of them a set of Spark jobs, so its rows come to the driver; one bad row doesn't end the batch.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def one(row: Row) -> tuple:
         try:
-            out.append((*row, make(row.asDict()), None))
+            return (*row, make(row.asDict()), None)
         except Exception as e:  # noqa: BLE001  the row's error is its result
-            out.append((*row, None, f"{type(e).__name__}: {e}"))
-    from pyspark.sql.types import StringType, StructField, StructType
+            return (*row, None, f"{type(e).__name__}: {e}")
 
+    with ThreadPoolExecutor(at_once) as pool:
+        out = list(pool.map(one, rows.toLocalIterator()))
     return rows.sparkSession.createDataFrame(out, StructType([*rows.schema.fields, StructField("output_folder", StringType()), StructField("error", StringType())]))
 
 
