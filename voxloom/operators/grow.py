@@ -81,7 +81,7 @@ def grow(
     for i, low in enumerate(thresholds):
         high, count = None if uppers is None else uppers[i], MOST if steps is None else steps[i]
         seen_every = every[i] if every else 1 if still is not None else HOPS
-        active, k, quiet, ended = at.select(*tiles.PLACE), 0, 0, False
+        active, k, quiet, ended = None, 0, 0, False
         while k < count and not ended:
             size = min(hops, count - k, seen_every - k % seen_every if save else hops)
             after, sums, moved = _round(at, active, low, high, size, rule, ids)
@@ -111,7 +111,7 @@ def grow(
     return tiles.untiled(at, ["v", "label"], tile), log
 
 
-def _round(at: DataFrame, active: DataFrame, low: int, high: int | None, k: int, rule: str, ids: list[int] | None) -> tuple[DataFrame, list[tuple[int, int]], bool]:
+def _round(at: DataFrame, active: DataFrame | None, low: int, high: int | None, k: int, rule: str, ids: list[int] | None) -> tuple[DataFrame, list[tuple[int, int]], bool]:
     """k hops by tiles: the tiles, after each hop (cells with a label, cells that pass or have one), and whether any changed."""
     grows = None if ids is None else np.array(ids, np.int32)
 

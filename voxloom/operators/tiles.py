@@ -40,10 +40,15 @@ def tiled(cells: DataFrame, columns: list[str], tile: int = TILE) -> DataFrame:
             out[c] = dense.tobytes()
         return pd.DataFrame([out])
 
-    found = rows.groupBy(*PLACE).applyInPandas(pack, f"{_TILES}, {', '.join(f'{c} binary' for c in columns)}")
+    found = dealt(rows).groupBy(*PLACE).applyInPandas(pack, f"{_TILES}, {', '.join(f'{c} binary' for c in columns)}")
     return found.withColumn("counts", F.lit(None).cast("array<bigint>"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows by their tile in as many parts as a shuffle has: tiles are few bytes and much work, which Spark would put into few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
+
+
 def untiled(tiles: DataFrame, columns: list[str], tile: int = TILE) -> DataFrame:
     """The dense table of tiles' columns."""
 
@@ -83,19 +88,19 @@ def _borders(columns: list[str], k: int) -> Callable[[Iterable[pd.DataFrame]], I
 Kernel = Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, list[int]]]
 
 
-def round_of(tiles: DataFrame, active: DataFrame, columns: list[str], changing: str, k: int, kernel: Kernel) -> DataFrame:
+def round_of(tiles: DataFrame, active: DataFrame | None, columns: list[str], changing: str, k: int, kernel: Kernel) -> DataFrame:
     """tiles after k hops, with `changed` and `counts`, which the kernel makes for each hop.
 
     kernel: (columns as arrays with a border of k cells, where cells exist) -> the changing column and counts of the tile's own
-    cells after each hop. active: places of the tiles that take part; of the others changed is false and counts stay.
+    cells after each hop. active: places of the tiles that take part (None: all); of the others changed is false and counts stay.
     """
     sent = tiles.select(*PLACE, *SHAPE, *columns).mapInPandas(_borders(columns, k), f"{_TILES}, dz int, dy int, dx int, {', '.join(f'{c} binary' for c in columns)}")
-    around = sent.join(active, PLACE, "left_semi")
+    around = dealt(sent).join(tiles.select(*PLACE) if active is None else active, PLACE, "left_semi")  # borders beyond an image's end have no receiver
 
     def step(part: pd.DataFrame) -> pd.DataFrame:
         rows = list(part.itertuples(index=False))
         own = next((r for r in rows if (r.dz, r.dy, r.dx) == (0, 0, 0)), None)
-        if own is None:  # borders of an image's end, for a tile that isn't there
+        if own is None:  # active places may lie beyond an image's end
             return pd.DataFrame(columns=names)
         shape = (own.nz, own.ny, own.nx)
         there = np.zeros([n + 2 * k for n in shape], bool)
@@ -117,15 +122,17 @@ def round_of(tiles: DataFrame, active: DataFrame, columns: list[str], changing:
     names = [*PLACE, *SHAPE, *columns, "changed", "counts"]
     kinds = f"{_TILES}, {', '.join(f'{c} binary' for c in columns)}, changed boolean, counts array<bigint>"
     done = around.groupBy(*PLACE).applyInPandas(step, kinds)
+    if active is None:
+        return done
     idle = tiles.join(active, PLACE, "left_anti").select(*PLACE, *SHAPE, *columns, F.lit(False).alias("changed"), "counts")
     return done.unionByName(idle)
 
 
 def near(changed: DataFrame) -> DataFrame:
-    """Places of the given tiles and of all around them, whether or not there is a tile."""
+    """Places of the given tiles and of all around them, whether or not there is a tile; some of them several times."""
     for a in ("tz", "ty", "tx"):
         changed = changed.withColumn(a, F.explode(F.array(F.col(a) - 1, F.col(a), F.col(a) + 1)))
-    return changed.distinct()
+    return changed
 
 
 def hop_array(label: np.ndarray, passes: np.ndarray, grows: np.ndarray | None, rule: str) -> np.ndarray:
