@@ -47,7 +47,7 @@ def images():
     return out
 
 
-@pytest.mark.parametrize("rule, ids, size, hops", [("max", None, 4, 3), ("min", None, 5, 5), ("max", [1, 3], 32, 8), ("min", [2], 4, 1)])
+@pytest.mark.parametrize("rule, ids, size, hops", [("max", None, 4, 3), ("min", [1, 3], 5, 5), ("max", None, 32, 8)])
 def test_growth_by_tiles(spark, images, rule, ids, size, hops):
     cells = table(spark, images)
     got, log = grow.grow(cells, [60, 30], [4, 7], rule, ids=ids, boundary=F.col("x") == 3, hops=hops, tile=size, still=50)

@@ -124,3 +124,37 @@ def relabelled(labelled: DataFrame, top: int | None = None, least: int = 0, by:
 def onto(cells: DataFrame, labelled: DataFrame) -> DataFrame:
     """The dense table with labels where labelled has them, 0 elsewhere."""
     return cells.select(*KEY).join(labelled.select(*KEY, "label"), KEY, "left").select(*KEY, F.coalesce("label", F.lit(0)).cast("int").alias("label"))
+
+
+def filtered(cells: DataFrame, least: int, top: int) -> DataFrame:
+    """Cells of each label's `top` largest components (by edges) of at least `least` cells."""
+    own = components(cells.where("label > 0"), 2, F.col("label"))
+    size = own.groupBy("img_id", "value", "root").agg(F.count("*").alias("size"))
+    rank = F.row_number().over(Window.partitionBy("img_id", "value").orderBy(F.desc("size"), "root"))
+    keep = size.withColumn("rank", rank).where((F.col("rank") <= top) & (F.col("size") >= least))
+    return own.join(keep, ["img_id", "value", "root"]).select(*KEY, F.col("value").cast("int").alias("label"))
+
+
+def split_label(cells: DataFrame, label: int, top: int | None = None, keep: bool = True, only: bool = False) -> DataFrame:
+    """The dense table with the components (by edges) of one label as labels beyond the image's last, by size; a single component stays as it is.
+
+    keep: the largest keeps the label, else all get new ones. top: how many components to keep; the cells of the others are free. only: all
+    other labels go.
+    """
+    ranks = relabelled(components(cells.where(F.col("label") == label), 2), top).withColumnRenamed("label", "k")
+    last = cells.groupBy("img_id").agg(F.max("label").alias("last"), F.lit(True).alias("there"))
+    ranks = ranks.withColumn("n", F.max("k").over(Window.partitionBy("img_id")))
+    new = F.when((F.col("n") == 1) | (F.lit(keep) & (F.col("k") == 1)), F.lit(label)).otherwise(F.col("last") + F.col("k") - int(keep))
+    rest = F.when(F.col("label") == label, 0).otherwise(0 if only else F.col("label"))
+    return cells.join(last, "img_id").join(ranks, KEY, "left").select(*KEY, F.coalesce(F.when(F.col("k").isNotNull(), new), rest).cast("int").alias("label"))
+
+
+def split_all(cells: DataFrame, top: int | None = None) -> DataFrame:
+    """The dense table with all components (by edges) of all labels, numbered by size; top: of each label, how many to keep."""
+    own = components(cells.where("label > 0"), 2, F.col("label"))
+    size = own.groupBy("img_id", "value", "root").agg(F.count("*").alias("size"))
+    if top is not None:
+        rank = F.row_number().over(Window.partitionBy("img_id", "value").orderBy(F.desc("size"), "root"))
+        size = size.withColumn("rank", rank).where(F.col("rank") <= top)
+    k = F.row_number().over(Window.partitionBy("img_id").orderBy(F.desc("size"), "value", "root"))
+    return onto(cells, own.join(size.withColumn("label", k.cast("int")), ["img_id", "value", "root"]))

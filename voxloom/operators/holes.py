@@ -29,11 +29,24 @@ def fill_holes(cells: DataFrame) -> DataFrame:
     return cells.join(holes, KEY, "left").select(*KEY, F.greatest("label", F.coalesce("hole", F.lit(0))).alias("label"))
 
 
-def fill_small_holes(cells: DataFrame, area: int) -> DataFrame:
-    """Components (by faces) of the complement of each label with fewer cells than `area` and than a quarter of the image become the label; the highest label wins."""
-    labels = cells.where("label > 0").select("img_id", F.col("label").alias("of")).distinct()
-    parts = components(cells.join(labels, "img_id").where("label <> of"), 1, F.col("of"))
-    whole = cells.groupBy("img_id").agg(F.count("*").alias("cells"))
-    size = parts.groupBy("img_id", "value", "root").agg(F.count("*").alias("n")).join(whole, "img_id").where(f"n < {area} and 4 * n < cells")
-    small = parts.join(size.select("img_id", "value", "root"), ["img_id", "value", "root"]).groupBy(*KEY).agg(F.max("value").cast("int").alias("hole"))
+def fill_small_holes(cells: DataFrame, area: int, axis: str | None = None) -> DataFrame:
+    """Components (by faces) of the complement of each label with fewer cells than `area` and than a quarter of the image become the label; the highest label wins.
+
+    axis: each slice across it counts as an image. A part of fewer than `area` cells beside a label lies within `area` cells of its box, and
+    one that reaches further has more, so only the cells of the boxes and that far around are looked at.
+    """
+    own = cells.where("label > 0")
+    group = ["img_id", *([axis] if axis else [])]
+    free = [a for a in AXES if a != axis]
+    box = own.groupBy(*group, F.col("label").alias("of")).agg(*[f(a).alias(f"{a}_{n}") for a in free for n, f in (("low", F.min), ("high", F.max))])
+    ends = cells.groupBy(*group).agg(F.count("*").alias("cells"), *[F.max(a).alias(f"{a}_end") for a in free])
+    inside = box.join(ends, group)
+    for a in free:
+        inside = inside.withColumn(a, F.explode(F.sequence(F.greatest(F.col(f"{a}_low") - area, F.lit(0)), F.least(F.col(f"{a}_high") + area, F.col(f"{a}_end")))))
+    rest = inside.select("img_id", "of", *AXES).join(cells.select(*KEY, "label"), KEY).where("label <> of")
+    n = 1 << 20
+    kind = F.col("of").cast("long") * n + F.col(axis) if axis else F.col("of").cast("long")  # slices apart
+    parts = components(rest, 1, kind).withColumn("of", F.expr(f"cast(value div {n} as int)") if axis else F.col("value").cast("int"))
+    size = parts.groupBy(*group, "of", "root").agg(F.count("*").alias("n")).join(ends.select(*group, "cells"), group).where(f"n < {area} and 4 * n < cells")
+    small = parts.join(size.select(*group, "of", "root"), [*group, "of", "root"]).groupBy(*KEY).agg(F.max("of").alias("hole"))
     return cells.join(small, KEY, "left").select(*KEY, F.coalesce("hole", "label").alias("label"))

@@ -5,6 +5,8 @@ Samples are drawn in the order of a hash of the cell's number, so they are the s
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,18 +166,30 @@ def vote_per_class(votes: DataFrame, order: list[int], least: int = 2) -> DataFr
     return held.withColumn("place", place).where("place > 0").groupBy(*KEY).agg(F.min_by("label", "place").alias("label"))
 
 
-def vote_majority(votes: DataFrame) -> DataFrame:
-    """The most frequent label of a cell, background included; the least of equals."""
+def vote_majority(votes: DataFrame, cells: DataFrame | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    """The most frequent label of a cell, background included; the least of equals. cells: intensities v; where they aren't within low and high the label is 0."""
     counts = votes.groupBy(*KEY, "label").agg(F.count("*").alias("n"))
-    return counts.groupBy(*KEY).agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("back"))).alias("label"))
+    found = counts.groupBy(*KEY).agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("back"))).alias("label"))
+    if cells is None or low is None and high is None:
+        return found
+    holds = F.lit(True) if low is None else F.col("v") >= low
+    holds = holds if high is None else holds & (F.col("v") <= high)
+    return found.join(cells.select(*KEY, "v"), KEY).select(*KEY, F.when(holds, F.col("label")).otherwise(0).cast("int").alias("label"))
 
 
-def compose(votes: DataFrame, order: list[int], last: bool = False) -> DataFrame:
-    """The label that comes first in order, or last, of those at a cell."""
+def compose(votes: DataFrame, order: list[int], last: bool = False, ignore: Iterable[int] = ()) -> DataFrame:
+    """The label that comes first in order, or last, of those at a cell; ignore: labels that don't count."""
+    votes = votes.where(~F.col("label").isin(list(ignore))) if ignore else votes
     placed = votes.where("label > 0").withColumn("place", F.array_position(F.array(*map(F.lit, order)), F.col("label"))).where("place > 0")
     return placed.groupBy(*KEY).agg((F.max_by if last else F.min_by)("label", "place").alias("label"))
 
 
+def numbered_classes(names: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
+    """class_name and label, from 1 in the order of names, of the classes in a column `class_name`."""
+    different = names.where(~F.col("class_name").isin(list(ignore))) if ignore else names
+    return different.select("class_name").distinct().withColumn("label", F.row_number().over(Window.orderBy("class_name")).cast("int"))  # a row a class
+
+
 def paint_lowest(masks: DataFrame) -> DataFrame:
     """masks: cells with class_id; the lowest class of a cell shows."""
     return masks.groupBy(*KEY).agg(F.min("class_id").alias("label"))

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import volumes
+from ..model import segments, volumes
+from ..operators import components as CC
 from ..operators import distance as D
 from ..operators import grow as G
+from ..operators import holes as H
 from ..operators import morphology as M
+from ..operators import predict as I
 from ..operators import prompts as P
 from ..operators import seeds as S
+from ..operators import surface as U
 from .cell_queries import SEG, seg
 from .oracle import VOLUMES, along, components, shifted
-from .shape_queries import _BY, _CELL, _LOT, _SEEDED, _SORTED, A, K, _hops, _levels, _out, _split_sql, seeded
+from .oracle import segments as seg_sql
+from .shape_queries import QUERIES as SHAPES
+from .shape_queries import _BY, _CELL, _LOT, _SEEDED, _SORTED, A, K, _hops, _levels, _out, _split_sql, seeded, votes
 
 #: Hops that the SQL of growth to the end unrolls for each threshold; more than any of these images needs.
 FAR = 40
@@ -125,6 +131,40 @@ SELECT img_id, z AS slice, label AS class_id, x AS px, y AS py, 1 AS sign FROM d
 SELECT dr.img_id, dr.z, class_id, x, y, 0 FROM dr JOIN cl ON cl.img_id = dr.img_id AND cl.z = dr.z AND label <> class_id WHERE k <= 2"""
 
 
+def _corners_sql() -> str:
+    """Corners of the squares between a label's cells and others."""
+    out = []
+    for dz, dy, dx in along("zyx"):
+        free = [(a, d) for a, d in zip("zyx", (dz, dy, dx))]
+        place = ", ".join(f"2 * p.{a} + {d}" if d else f"2 * p.{a} + {'u' if k == min(i for i, f in enumerate(free) if not f[1]) else 'w'}" for k, (a, d) in enumerate(free))
+        out.append(f"SELECT p.img_id, p.label, {place} FROM seg p LEFT JOIN seg q ON q.img_id = p.img_id AND q.z = p.z + {dz} AND q.y = p.y + {dy} AND q.x = p.x + {dx} CROSS JOIN (VALUES (-1), (1)) a(u) CROSS JOIN (VALUES (-1), (1)) b(w) WHERE p.label > 0 AND coalesce(q.label, 0) <> p.label")
+    return f"WITH {VOLUMES}, {seg_sql('volumes', 150)}, c(img_id, label, z2, y2, x2) AS ({' UNION '.join(out)}) SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY label, z2, y2, x2) - 1 AS number FROM c"
+
+
+def _small_sql(area: int, by_slice: bool) -> str:
+    """Small parts of each label's complement, in the whole image or in each z slice."""
+    value = "label_of * 1000 + z" if by_slice else "label_of * 1000"
+    group = "img_id, z" if by_slice else "img_id"
+    return f"""WITH RECURSIVE {VOLUMES}, {seg_sql('volumes', 90)}, lb AS (SELECT DISTINCT {group}, label AS label_of FROM seg WHERE label > 0),
+{components('cc', f'SELECT {K}, {value} AS value FROM seg JOIN lb USING ({group}) WHERE label <> label_of', 1)},
+n AS (SELECT img_id, value, root, count(*) AS n FROM cc GROUP BY ALL), w AS (SELECT {group}, count(*) AS cells FROM seg GROUP BY ALL),
+h AS (SELECT img_id, z, y, x, max(value // 1000)::INT AS hole FROM cc JOIN n USING (img_id, value, root) JOIN w USING ({group}) WHERE n < {area} AND 4 * n < cells GROUP BY ALL)
+SELECT {K}, coalesce(hole, label) AS label FROM seg LEFT JOIN h USING ({K})"""
+
+
+def _split_top(keep: bool, only: bool) -> str:
+    """Two largest components of label 2."""
+    rest = "0" if only else "seg.label"
+    new = f"CASE WHEN n = 1{' OR k = 1' if keep else ''} THEN 2 ELSE last + k - {int(keep)} END"
+    return f"""WITH RECURSIVE {VOLUMES}, {seg_sql('volumes', 170)}, {components('cc', f'SELECT {K}, 1 AS value FROM seg WHERE label = 2', 2)},
+r AS (SELECT img_id, root, row_number() OVER (PARTITION BY img_id ORDER BY count(*) DESC, root) AS k FROM cc GROUP BY img_id, root),
+t AS (SELECT *, max(k) OVER (PARTITION BY img_id) AS n FROM r WHERE k <= 2), l AS (SELECT img_id, max(label) AS last FROM seg GROUP BY img_id),
+q AS (SELECT {K}, k, n FROM cc JOIN t USING (img_id, root))
+SELECT {K}, (CASE WHEN q.k IS NOT NULL THEN {new} WHEN seg.label = 2 THEN 0 ELSE {rest} END)::INT AS label FROM seg JOIN l USING (img_id) LEFT JOIN q USING ({K})"""
+
+
+_NEAR = SHAPES["predict_stub"][1]
+
 QUERIES = {
     "grow_to_end": (_to_end, _end_sql()),
     "grow_log_every": (_every, _every_sql()),
@@ -144,5 +184,19 @@ QUERIES = {
     "sample_kmeans": (lambda s, d: P.sample_kmeans(seg(s, d).where("label > 0"), 3, ["label"], 4), _means_sql(3, 4)),
     "prompts3d": (_prompts(False), _prompts_sql(False)),
     "prompts3d_each": (_prompts(True), _prompts_sql(True)),
+    "predict_masks": (
+        lambda s, d: I.infer_with(volumes(s, d), P.point_prompts(seg(s, d), "z", 3, 2), I.of_each(I.near_values(), I.near_values(20))),
+        f"SELECT *, 0 AS mask FROM ({_NEAR}) UNION ALL SELECT *, 1 FROM ({_NEAR.replace('<= 10', '<= 20')})",
+    ),
+    "fill_small_holes_labels": (lambda s, d: H.fill_small_holes(_out(segments(volumes(s, d), 90)), 5), _small_sql(5, False)),
+    "fill_small_holes_slices": (lambda s, d: H.fill_small_holes(_out(segments(volumes(s, d), 90)), 9, "z"), _small_sql(9, True)),
+    "split_topn": (lambda s, d: CC.split_label(segments(volumes(s, d), 170), 2, 2), _split_top(True, False)),
+    "split_only": (lambda s, d: CC.split_label(segments(volumes(s, d), 170), 2, 2, keep=False, only=True), _split_top(False, True)),
+    "vote_majority_gated": (
+        lambda s, d: P.vote_majority(votes(s, d), volumes(s, d), 90, 200),
+        f"WITH m AS ({SHAPES['vote_majority'][1]}), {VOLUMES} SELECT {K}, (CASE WHEN v BETWEEN 90 AND 200 THEN label ELSE 0 END)::INT AS label FROM m JOIN volumes USING ({K})",
+    ),
+    "compose_ignoring": (lambda s, d: P.compose(votes(s, d), [3, 1, 2, 4, 5], ignore=[1, 4]), SHAPES["compose_first"][1].replace("WHERE label > 0", "WHERE label > 0 AND label NOT IN (1, 4)")),
+    "mesh_numbered": (lambda s, d: U.numbered_vertices(U.faces(segments(volumes(s, d), 150))), _corners_sql()),
     "prompt_points_each": (lambda s, d: P.point_prompts(seg(s, d), "z", 3, 2, each=True), _each_sql()),
 }

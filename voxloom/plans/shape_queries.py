@@ -135,49 +135,20 @@ QUERIES |= {
         f"WITH RECURSIVE {VOLUMES}, {seg_sql('volumes', 190)}, {_cc('cc', f'SELECT {K}, 1 AS value FROM seg WHERE label IN (1, 3) OR {SECOND} = 2')}, {RANK} SELECT {K}, k::INT AS label FROM cc JOIN rk USING (img_id, root)",
     ),
     "filter_components": (
-        lambda s, d: _filtered(segments(volumes(s, d), 170), 3, 2),
+        lambda s, d: CC.filtered(segments(volumes(s, d), 170), 3, 2),
         f"WITH RECURSIVE {VOLUMES}, {seg_sql('volumes', 170)}, {_cc('cc', f'SELECT {K}, label AS value FROM seg WHERE label > 0', 2)}, r AS (SELECT img_id, value, root, row_number() OVER (PARTITION BY img_id, value ORDER BY count(*) DESC, root) AS k, count(*) AS size FROM cc GROUP BY img_id, value, root) SELECT {K}, value::INT AS label FROM cc JOIN r USING (img_id, value, root) WHERE k <= 2 AND size >= 3",
     ),
     "split_label": (
-        lambda s, d: _split(segments(volumes(s, d), 170), 2),
+        lambda s, d: CC.split_label(segments(volumes(s, d), 170), 2),
         f"WITH RECURSIVE {VOLUMES}, {seg_sql('volumes', 170)}, {_cc('cc', f'SELECT {K}, label AS value FROM seg WHERE label = 2', 2)}, {RANK}, t AS (SELECT img_id, max(label) AS top FROM seg GROUP BY img_id) SELECT {K}, coalesce(CASE WHEN k > 1 THEN top + k - 1 ELSE label END, label)::INT AS label FROM seg JOIN t USING (img_id) LEFT JOIN (SELECT {K}, k FROM cc JOIN rk USING (img_id, root)) q USING ({K})",
     ),
     "split_all": (
-        lambda s, d: _split_all(segments(volumes(s, d), 170)),
+        lambda s, d: CC.split_all(segments(volumes(s, d), 170)),
         f"WITH RECURSIVE {VOLUMES}, {seg_sql('volumes', 170)}, {_cc('cc', f'SELECT {K}, label AS value FROM seg WHERE label > 0', 2)}, r AS (SELECT img_id, value, root, row_number() OVER (PARTITION BY img_id ORDER BY count(*) DESC, value, root) AS k FROM cc GROUP BY img_id, value, root) SELECT {K}, coalesce(k, 0)::INT AS label FROM seg LEFT JOIN (SELECT {K}, k FROM cc JOIN r USING (img_id, value, root)) q USING ({K})",
     ),
 }
 
 
-def _filtered(cells, least, top):
-    """Each label's `top` largest components of at least `least` cells (by edges)."""
-    from pyspark.sql import Window
-
-    own = CC.components(cells.where("label > 0"), 2, F.col("label"))
-    size = own.groupBy("img_id", "value", "root").agg(F.count("*").alias("size"))
-    rank = F.row_number().over(Window.partitionBy("img_id", "value").orderBy(F.desc("size"), "root"))
-    keep = size.withColumn("rank", rank).where((F.col("rank") <= top) & (F.col("size") >= least))
-    return own.join(keep, ["img_id", "value", "root"]).select(*KEY, F.col("value").cast("int").alias("label"))
-
-
-def _split(cells, label):
-    """The components of one label: the largest keeps it, the others get labels beyond the image's last."""
-    ranks = CC.relabelled(CC.components(cells.where(F.col("label") == label), 2)).withColumnRenamed("label", "k")
-    last = cells.groupBy("img_id").agg(F.max("label").alias("last"))
-    new = F.when(F.col("k") > 1, F.col("last") + F.col("k") - 1).otherwise(F.col("label"))
-    return cells.join(last, "img_id").join(ranks, KEY, "left").select(*KEY, F.coalesce(new, "label").cast("int").alias("label"))
-
-
-def _split_all(cells):
-    """All components of all labels, numbered by size."""
-    from pyspark.sql import Window
-
-    own = CC.components(cells.where("label > 0"), 2, F.col("label"))
-    size = own.groupBy("img_id", "value", "root").agg(F.count("*").alias("size"))
-    k = F.row_number().over(Window.partitionBy("img_id").orderBy(F.desc("size"), "value", "root"))
-    return CC.onto(cells, own.join(size.withColumn("label", k.cast("int")), ["img_id", "value", "root"]))
-
-
 _HOLES = f"""WITH RECURSIVE {VOLUMES}, {seg_sql('volumes', 60)}, b AS (SELECT img_id, label AS value, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM seg WHERE label > 0 GROUP BY ALL),
 rest AS MATERIALIZED (SELECT s.img_id, b.value, s.z, s.y, s.x, z IN (z0, z1) OR y IN (y0, y1) OR x IN (x0, x1) AS face FROM seg s JOIN b ON b.img_id = s.img_id AND s.label <> b.value AND z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1),
 near AS MATERIALIZED (SELECT p.img_id, p.value, p.z, p.y, p.x, q.z AS z2, q.y AS y2, q.x AS x2 FROM rest p CROSS JOIN (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(dz,dy,dx) JOIN rest q ON q.img_id = p.img_id AND q.value = p.value AND q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx),
