@@ -53,7 +53,7 @@ def plain(rows):
     return out
 
 
-@pytest.mark.parametrize("n", [1, 8, 9, 700])
+@pytest.mark.parametrize("n", [1, 9, 700])
 def test_as_defined(spark, n):
     langs = ["de", None, "en", "", "é", "zz", "a", "b", "c", "d1", "d2"]
     rows = [(i * 7 % n, [None, "", f"Text {i} É", "A long Text " * 300][i % 4], langs[i % len(langs)] if i % 3 else "de", [None, "s", "src"][i % 3], [None, i][i % 2], "x", 1) for i in range(n)]

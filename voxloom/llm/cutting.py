@@ -34,7 +34,7 @@ CAPACITY = 1024
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: Bytes of text pieces and their ids that a task remembers, and the longest piece that is worth it.
-REMEMBERED_BYTES = 200_000_000
+REMEMBERED_BYTES = 100_000_000
 LONG_PIECE = 48
 #: Rows of ends to cut up to which their keys are broadcast.
 FEW = 200_000
@@ -178,7 +178,7 @@ def token_ends(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
         found, task = _loaded.get(path) or _loaded.setdefault(path, Ids(path)), TaskContext.get().partitionId()
         end, seen = np.asarray([END], "<u4").tobytes(), [0] * (capacity + 1)
         for batch in batches:
-            for part in slices(batch, "text", 4 * SLICE_BYTES):
+            for part in slices(batch, "text", 2 * SLICE_BYTES):
                 ids, bounds = found.of(part.column("text"))
                 data, rows = ids.astype("<u4", copy=False).tobytes(), []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
