@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.operators import surface
-from voxloom.sources import files
+from voxloom.sources import files, tiff
 
 
 def test_png_round_trip(spark, tmp_path):
@@ -96,3 +96,22 @@ def test_skeleton(spark):
     cells = spark.createDataFrame([(0, 0, int(y), int(x), int(image[y, x])) for y, x in np.ndindex(image.shape)], "img_id int, z int, y int, x int, on int")
     got = {(r.y, r.x) for r in surface.skeleton(cells.withColumn("on", F.col("on") == 1)).collect()}
     assert got == {tuple(map(int, at)) for at in np.argwhere(thin(image))}
+
+
+def test_a_folder_of_several_kinds(spark, tmp_path):
+    draw = np.random.default_rng(8)
+    a, b = draw.integers(0, 256, (2, 8, 16))
+    (tmp_path / "a.PNG").write_bytes(files.png(a))
+    (tmp_path / "b.tif").write_bytes(tiff.encode([b.astype(np.uint8)]))
+    (tmp_path / "notes.txt").write_text("no image")
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(16, 8, 10)  # gray, one byte
+    for y in range(8):
+        for x in range(16):
+            image.getRaster().setSample(x, y, 0, 40 if x < 8 else 200)
+    jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(tmp_path / "c.jpg")))
+    got = np.zeros((3, 8, 16), int)
+    for r in files.read_stack(spark, str(tmp_path)).collect():
+        got[r.z, r.y, r.x] = r.v
+    assert (got[0] == a).all() and (got[1] == b).all()
+    assert abs(got[2] - np.where(np.arange(16) < 8, 40, 200)).max() <= 4

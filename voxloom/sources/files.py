@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tiff import pages
+
 
 def png(image: np.ndarray) -> bytes:
     """An 8-bit grayscale PNG file."""
@@ -60,20 +62,41 @@ def unpng(data: bytes) -> np.ndarray:
     return out
 
 
+#: Files of a folder up to which their numbers are broadcast.
+FEW = 100_000
+
+
 def read_stack(spark: SparkSession, path: str) -> DataFrame:
-    """z, y, x, v of a folder of PNG slices, z by file name; read_array's columns for .npy files."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    number = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("z"))  # a row a slice
-    files = files.join(number, "path")
+    """z, y, x, v of a folder of PNG, TIFF (the first page) and JPEG slices of one channel, z by file name.
+
+    The names alone are numbered; contents stay where they are read unless a folder has more than FEW files. JPEG goes through Spark's image source.
+    """
+    ends = lambda *kinds: "*.{" + ",".join(k for x in kinds for k in (x, x.upper())) + "}"
+    name = lambda column: F.substring_index(column, "/", -1).alias("name")
+    found = lambda *kinds: spark.read.format("binaryFile").option("pathGlobFilter", ends(*kinds)).load(path)
+    names = found("png", "tif", "tiff", "jpg", "jpeg").select(name("path"))
+    number = names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("z"))  # a row a slice
+    number = F.broadcast(number) if names.count() <= FEW else number
 
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for z, content in zip(part["z"], part["content"]):
-                image = unpng(content)
+            for z, file, content in zip(part["z"], part["name"], part["content"]):
+                image = unpng(content) if file.lower().endswith("png") else next(pages(content))
                 y, x = np.indices(image.shape)
                 yield pd.DataFrame({"z": z, "y": y.ravel(), "x": x.ravel(), "v": image.ravel().astype(int)})
 
-    return files.mapInPandas(cells, "z int, y int, x int, v int")
+    def decoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples(index=False):
+                if r.nChannels != 1:
+                    raise ValueError(f"{r.name}: only images of one channel")
+                y, x = np.indices((r.height, r.width))
+                yield pd.DataFrame({"z": r.z, "y": y.ravel(), "x": x.ravel(), "v": np.frombuffer(r.data, np.uint8).astype(int)})
+
+    kind = "z int, y int, x int, v int"
+    out = found("png", "tif", "tiff").select(name("path"), "content").join(number, "name").mapInPandas(cells, kind)
+    images = spark.read.format("image").option("pathGlobFilter", ends("jpg", "jpeg")).load(path).select(name("image.origin"), "image.height", "image.width", "image.nChannels", "image.data")
+    return out.unionByName(images.join(number, "name").mapInPandas(decoded, kind))
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
