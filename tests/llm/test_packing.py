@@ -89,3 +89,23 @@ def test_words_ids_make_up_those_of_any_text():
         found, bounds = ids.of(pa.array(texts[at : at + 500]))
         for text, a, b in zip(texts[at : at + 500], bounds, bounds[1:]):
             assert found[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_text_without_spaces_is_not_remembered():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    plain, ids = Tokenizer.from_file(path), packing.Ids(path)
+    rng = random.Random(5)
+    run = lambda a, b, n: "".join(chr(rng.randrange(a, b)) for _ in range(n))
+    texts = [run(0x4E00, 0x9FA5, 3000), run(0xE01, 0xE2F, 500) + " short " + run(97, 123, 200), run(33, 127, 5000), "short", ""]
+    whole, packing.REMEMBERED_BYTES = packing.REMEMBERED_BYTES, 2000
+    try:
+        for _ in range(3):
+            got, bounds = ids.of(pa.array(texts))
+            for text, a, b in zip(texts, bounds, bounds[1:]):
+                assert got[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids
+            assert max(map(len, ids.known)) <= packing.LONG_PIECE and ids.lists.count == len(ids.known)
+        assert ids.size > 2000
+        ids.of(pa.array(["new"]))
+        assert set(ids.known) == {"new"}
+    finally:
+        packing.REMEMBERED_BYTES = whole

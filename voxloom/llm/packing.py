@@ -25,8 +25,9 @@ from .common import slices, written
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
-#: Pieces of text that a task remembers the ids of.
-REMEMBERED = 600_000
+#: Bytes of text pieces and their ids that a task remembers, and the characters of the longest piece that is worth it.
+REMEMBERED_BYTES = 100_000_000
+LONG_PIECE = 48
 
 SPACE, LETTER, DIGIT, MARK, ODD, WHOLE = range(6)
 #: Letters and digits between U+0080 and U+017F; the normaliser lowers their case character by character.
@@ -110,6 +111,12 @@ class Lists:
         self.first[self.count : count] = self.used + np.cumsum(lengths) - lengths
         self.used, self.count = used, count
 
+    def trim(self, used: int, count: int) -> None:
+        """Keeps the first `count` lists, `used` ids in all; what they don't need is given back if it is most of the room."""
+        self.used, self.count = used, count
+        if len(self.flat) > 4 * used + (1 << 22):
+            self.flat = self.flat[: used + (1 << 16)].copy()
+
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists `at`, end to end, and where each ends."""
         length = self.length[at]
@@ -120,7 +127,8 @@ class Lists:
 class Ids:
     """The tokenizer's ids of whole texts, put together from those of their pieces.
 
-    A piece is tokenised when it is first met. No token of this vocabulary spans white space, so a word with odd characters
+    A short piece is tokenised when it is first met; what is remembered is bounded in bytes, and long pieces (text without
+    spaces, encoded data) are not remembered. No token of this vocabulary spans white space, so a word with odd characters
     goes to the tokenizer alone; a text with the content of an added token (`<|endoftext|>`, in any case) goes there whole.
     """
 
@@ -131,7 +139,10 @@ class Ids:
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = Tokenizer(self.tokenizer.model)  # for text that is in lower case and cut already
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known, self.lists = {}, Lists()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.lists, self.size = {}, Lists(), 0
 
     def learn(self, new: list[str]) -> None:
         plain, others = [], []
@@ -152,12 +163,20 @@ class Ids:
         pieces, starts = cut(pc.if_else(pa.array(special), "", texts) if special.any() else texts)
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known, self.lists = {}, Lists()
-        if new := [x for x in distinct if x not in self.known]:
-            self.learn(new)
+        if self.size > REMEMBERED_BYTES:
+            self.forget()
+        new = [x for x in distinct if x not in self.known]
+        if short := [x for x in new if len(x) <= LONG_PIECE]:
+            self.learn(short)
+            self.size += sum(map(len, short)) * 8 + 180 * len(short)  # up to four bytes a character, and an id
+        mark = self.lists.used, self.lists.count
+        if long := [x for x in new if len(x) > LONG_PIECE]:
+            self.learn(long)
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         ids, ends = self.lists.take(number[coded.indices.to_numpy(zero_copy_only=False)])
+        for x in long:
+            del self.known[x]
+        self.lists.trim(*mark)
         bounds = np.concatenate([[0], ends])[starts]
         if special.any():
             parts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
