@@ -77,17 +77,60 @@ def test_long_words_are_summed_whole():
     for n in {len(w) for w in words}:
         own = [w for w in words if len(w) == n]
         want = np.log(langid._forward(pieces.lattice(own, n), model.p)[n])
-        assert np.allclose(langid._log_forward(own, n, pieces, model.p), want)
-    long = "▁" + "otherdie" * 1500  # across several stretches, and far below the least double
-    got = langid._log_forward([long], len(long), pieces, model.p)[0]
+        assert np.allclose(langid.log_probabilities(own, [model]), want)
+    long = "▁" + "otherdie" * 1500  # far below the least double
+    got = langid.log_probabilities([long], [model])[0]
     assert np.isfinite(got).all() and (got < -1000).all()
-    whole, langid.STRETCH = langid.STRETCH, 100_000
+    whole, langid.STRETCH = langid.STRETCH, 100
     try:
-        assert np.allclose(langid._log_forward([long], len(long), pieces, model.p)[0], got)
+        assert np.allclose(langid.log_probabilities([long], [model])[0], got)
     finally:
         langid.STRETCH = whole
 
 
+def test_words_of_any_script_score_as_one_by_one():
+    rng = np.random.default_rng(8)
+    pieces = langid.Pieces.make(public_tokenizers.path(langid.VOCABULARY))
+    counts = {"a": {"▁the": 5, "▁other": 2, "▁日本語": 3}, "b": {"▁die": 5, "▁andere": 2, "▁中文": 4, "▁ไทย": 2}}
+    models = [langid.learn({k: counts[k]}, pieces) for k in counts] + [langid.learn(counts, pieces)]
+    alphabets = [[chr(c) for c in range(a, b)] for a, b in ((97, 123), (0x4E00, 0x9FA5), (0xE01, 0xE2F), (0x430, 0x450), (0x10400, 0x10428))]
+    words = ["▁" + "".join(rng.choice(alphabets[k % 5], rng.integers(1, 90))) for k in range(300)]
+    words += ["▁", "▁a", "▁" + "中" * 400, "▁" + "the" * 40]
+    want = np.concatenate([np.concatenate([np.log(langid._forward(pieces.lattice([w], len(w)), m.p)[len(w)]) for w in words]) for m in models], axis=1)
+    normal = want > -690  # beyond, the plain pass runs out of normal doubles
+    assert 400 < normal.sum() < normal.size
+    for stretch in (langid.STRETCH, 50):
+        whole, langid.STRETCH = langid.STRETCH, stretch
+        try:
+            got = langid.log_probabilities(words, models)
+        finally:
+            langid.STRETCH = whole
+        assert np.isfinite(got).all() and np.allclose(got[normal], want[normal], rtol=1e-10)
+    assert langid.log_probabilities([], models).shape == (0, 4) and langid.log_probabilities(["▁a"], []).shape == (1, 0)
+
+
+def test_what_is_remembered_is_bounded():
+    pieces = langid.Pieces.make(public_tokenizers.path(langid.VOCABULARY))
+    scores = langid._Scores([langid.learn({"a": {"▁the": 5}, "b": {"▁die": 5}}, pieces)])
+    tokens = ["the", "x" * 60, "1", "中" * 300, "die"]
+
+    def of(x):
+        rows = scores.of(x)  # before its table is looked at
+        return scores.table[rows]
+
+    first = of(tokens)
+    assert set(scores.known) == {"the", "1", "die"}
+    again = of(tokens[::-1])[::-1]
+    assert np.allclose(first, again) and len(scores.table) == 5
+    whole, langid.REMEMBERED_BYTES = langid.REMEMBERED_BYTES, 100
+    try:
+        assert np.allclose(of(tokens), first) and scores.size < 1000
+        scores.of(["new"])
+        assert set(scores.known) == {"new"}
+    finally:
+        langid.REMEMBERED_BYTES = whole
+
+
 def test_every_language_is_learned_whatever_the_block(spark):
     rng = np.random.default_rng(4)
     rows = []

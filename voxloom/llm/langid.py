@@ -9,9 +9,12 @@ score its share of all languages.
 
 Every language value is learned, in blocks of BLOCK languages: a block's model is a table of pieces by languages. Learning
 takes at most `per_language` different documents of each language (more than half as many where there are enough), drawn
-by a hash of doc_id and text, and of their words the WORDS most frequent: the bound on what reaches the driver. Prediction works on whole texts where they lie,
-with no shuffle: each distinct word is scored once, all words of one length together, and a text's sum goes over its
-distinct words.
+by a hash of doc_id and text, and of their words of at most LEARNED_LETTERS letters the WORDS most frequent: the bound on
+what reaches the driver. Prediction works on whole texts where they lie,
+with no shuffle: each distinct word is scored once, and a text's sum goes over its distinct words. All words to score lie
+end to end in one lattice. Where no piece of several characters goes across a place, every segmentation cuts there, so words
+fall into short segments whose sums multiply, and one forward pass takes all segments of a slice together: text without
+spaces, whose runs of letters are long and never the same twice, costs no more than other text.
 """
 
 from __future__ import annotations
@@ -44,11 +47,13 @@ UNKNOWN = 1e-7
 PRIOR = 0.01
 UNDECIDED = "und"
 BEGIN = "▁"
-#: Numbers that a task remembers for words: about 20 for the word itself, and one for each language.
-REMEMBERED = 8_000_000
+#: Bytes of words and their scores that a task remembers, and the characters of the longest word that is worth it.
+REMEMBERED_BYTES = 100_000_000
+LONG_WORD = 48
 
-#: Characters whose pieces are looked up at a time.
-STRETCH = 4096
+#: Characters whose pieces are looked up at a time, and numbers of a forward step.
+STRETCH = 1 << 18
+AT_ONCE = 400_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,14 +101,17 @@ class Pieces:
         self.bits = 64 - max(1, int(np.ceil(np.log2(len(self.keys) * 8))))
         self.first = np.searchsorted(self.keys, np.arange(1 << (64 - self.bits), dtype=np.uint64) << np.uint64(self.bits)).astype(np.int32)
         slot = self.keys >> np.uint64(self.bits)
-        self.depth = int(np.bincount(slot.astype(np.int64)).max())
+        held = np.bincount(slot.astype(np.int64), minlength=len(self.first))
+        self.taken, self.depth = held > 0, int(held.max())
         self.padded = np.concatenate([self.keys, np.zeros(self.depth + 1, np.uint64)])
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
-        at = self.first[(h >> np.uint64(self.bits)).astype(np.int64)]
-        found = np.zeros(h.shape, np.int32)
+        slot, found = (h >> np.uint64(self.bits)).astype(np.int64), np.zeros(h.shape, np.int32)
+        maybe = np.nonzero(self.taken[slot])
+        own, at, number = h[maybe], self.first[slot[maybe]], np.zeros(len(maybe[0]), np.int32)
         for k in range(self.depth):
-            found += np.where(self.padded[at + k] == h, at + k + 1, 0).astype(np.int32)
+            np.copyto(number, at + k + 1, where=self.padded[at + k] == own)
+        found[maybe] = number
         return found
 
     def lattice(self, texts: list[str], length: int) -> list[np.ndarray]:
@@ -131,22 +139,67 @@ def _add(to: np.ndarray, before: np.ndarray, ids: np.ndarray, n: int, p: np.ndar
         to[hit] += before[hit] * p[ids[hit]]
 
 
-def _log_forward(texts: list[str], length: int, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """The logarithm of the last of _forward's, for words of any length: keeps LONGEST_PIECE steps, each scaled now and then."""
-    codes, log = _codes(texts, length), np.zeros((len(texts), p.shape[1]))
-    last = [np.ones_like(log)]  # for the latest ends, newest first
-    for at in range(0, length, STRETCH):
-        lattice = [pieces.numbers(h) for _, h in _hashes(codes[:, max(0, at - LONGEST_PIECE + 1) : at + STRETCH], LONGEST_PIECE)]
-        base = max(0, at - LONGEST_PIECE + 1)
-        for end in range(at + 1, min(length, at + STRETCH) + 1):
-            new = np.zeros_like(log)
+def _segments(pieces: Pieces, codes: np.ndarray, at: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Where the characters from `at` on are cut in every segmentation, as far as one stretch or more tells, and the lattice there.
+
+    No piece of several characters goes across such a place, so the sum over all segmentations is the product of the sums
+    of what lies between. Words lie end to end in `codes`; their begin signs keep pieces from going across two.
+    """
+    stretch = STRETCH
+    while True:
+        own = codes[at : at + stretch + LONGEST_PIECE - 1]
+        lattice = [pieces.numbers(h[0]) for _, h in _hashes(own[None, :], LONGEST_PIECE)]
+        n = min(stretch, len(own))
+        crossed = np.zeros(len(own) + LONGEST_PIECE, np.int32)
+        for k, ids in enumerate(lattice[1:], 2):
+            hit = np.flatnonzero(ids)
+            crossed[hit + 1] += 1
+            crossed[hit + k] -= 1
+        cuts = np.flatnonzero(np.cumsum(crossed[: n + 1]) == 0)
+        if at + n == len(codes) or len(cuts) > 1:
+            return lattice, cuts
+        stretch *= 2
+
+
+def _of_segments(lattice: list[np.ndarray], begin: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The logarithm of the probability of each segment by language. The longest go first; a step takes all that haven't ended."""
+    out = np.zeros((len(begin), p.shape[1]))
+    single = lattice[0][begin]
+    out[:] = np.log(np.where((single == 0)[:, None], UNKNOWN, p[single]))
+    several = np.flatnonzero(size > 1)
+    for part in np.array_split(several[np.argsort(-size[several], kind="stable")], -(-len(several) * p.shape[1] // AT_ONCE) or 1):
+        first, length, log = begin[part], size[part], np.zeros((len(part), p.shape[1]))
+        last, k = [np.ones_like(log)], len(part)  # for the latest ends, newest first
+        for end in range(1, int(length[0]) + 1 if k else 0):
+            new = np.zeros((k, p.shape[1]))
             for n in range(1, min(LONGEST_PIECE, end) + 1):
-                _add(new, last[n - 1], lattice[n - 1][:, end - n - base], n, p)
+                _add(new, last[n - 1][:k], lattice[n - 1][first[:k] + end - n], n, p)
             last = [new, *last[: LONGEST_PIECE - 1]]
-            if end % 8 == 0 or end == length:  # no step is below UNKNOWN times the one before
-                log += np.log(new)
-                last = [x / new for x in last]
-    return log
+            if end % 8 == 0:  # no step is below UNKNOWN times the one before
+                log[:k] += np.log(new)
+                last = [x[:k] / new for x in last]
+            done = int(np.searchsorted(-length[:k], -end))
+            out[part[done:k]] = log[done:k] + np.log(last[0][done:])
+            k = done
+    return out
+
+
+def log_probabilities(words: list[str], models: list[Model]) -> np.ndarray:
+    """By word and language of all models in order; words are as `clean` gives them, of any length."""
+    out = np.zeros((len(words), sum(len(m.languages) for m in models)))
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends, at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), 0
+    while at < len(codes) and models:
+        lattice, cuts = _segments(models[0].pieces, codes, at)
+        begin, size = cuts[:-1], np.diff(cuts)
+        word = np.searchsorted(ends, at + begin, "right")
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        column = 0
+        for m in models:
+            out[word[first], column : column + len(m.languages)] += np.add.reduceat(_of_segments(lattice, begin, size, m.p), first)
+            column += len(m.languages)
+        at += int(cuts[-1])
+    return out
 
 
 def _expected(lattice: list[np.ndarray], p: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -185,15 +238,6 @@ class Model:
     pieces: Pieces
     p: np.ndarray
 
-    def log_probability(self, texts: list[str], at_once: int = 20_000) -> np.ndarray:
-        """By word and language; words are as `clean` gives them."""
-        out = np.zeros((len(texts), len(self.languages)))
-        for n, at in _by_length(texts):
-            for part in np.array_split(at, -(-len(at) // at_once)):
-                chosen = [texts[i] for i in part]
-                out[part] = np.log(_forward(self.pieces.lattice(chosen, n), self.p)[n]) if n <= LEARNED_LETTERS else _log_forward(chosen, n, self.pieces, self.p)
-        return out
-
 
 @dataclass
 class Learned:
@@ -310,21 +354,29 @@ class _Scores:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table, self.lettered = np.zeros((0, self.width)), np.zeros(0, bool)
+        self.table, self.lettered, self.size = np.zeros((0, self.width)), np.zeros(0, bool), 0
 
     def of(self, tokens: list[str]) -> np.ndarray:
-        """Rows of `table` for the tokens."""
-        if len(self.known) * (self.width + 20) > REMEMBERED:
+        """Rows of `table` for the tokens, until the next call. Long tokens are not remembered beyond it."""
+        if self.size > REMEMBERED_BYTES:
             self.forget()
-        if new := [t for t in tokens if t not in self.known]:
+        self.table, self.lettered = self.table[: len(self.known)], self.lettered[: len(self.known)]
+        new = [t for t in tokens if t not in self.known]
+        long = [t for t in new if len(t) > LONG_WORD]
+        if new:
+            if long:
+                new = [t for t in new if len(t) <= LONG_WORD] + long
             runs, owner = clean(new)
-            scores = np.concatenate([m.log_probability(runs) for m in self.models], axis=1) if self.width else np.zeros((len(runs), 0))
             table, lettered = np.zeros((len(new), self.width)), np.zeros(len(new), bool)
-            np.add.at(table, owner, scores)
+            np.add.at(table, owner, log_probabilities(runs, self.models))
             lettered[owner] = True
+            self.size += sum(len(t) * 4 + 180 + 8 * self.width for t in new[: len(new) - len(long)])
             self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
             self.table, self.lettered = np.concatenate([self.table, table]), np.concatenate([self.lettered, lettered])
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        rows = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        for t in long:
+            del self.known[t]
+        return rows
 
 
 def predict(docs: DataFrame, learned: Learned, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score", fit_as: str | None = None) -> DataFrame:
