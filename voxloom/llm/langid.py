@@ -370,7 +370,8 @@ class _Scores:
             table, lettered = np.zeros((len(new), self.width)), np.zeros(len(new), bool)
             np.add.at(table, owner, log_probabilities(runs, self.models))
             lettered[owner] = True
-            self.size += sum(len(t) * 4 + 180 + 8 * self.width for t in new[: len(new) - len(long)])
+            short = new[: len(new) - len(long)]
+            self.size += 4 * sum(map(len, short)) + (180 + 8 * self.width) * len(short)
             self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
             self.table, self.lettered = np.concatenate([self.table, table]), np.concatenate([self.lettered, lettered])
         rows = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
