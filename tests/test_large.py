@@ -34,3 +34,11 @@ def test_filled_images_have_every_cell_once(spark):
     want = {(i, c // 12, c // 4 % 3, c % 4): 0 for i in (1, 2, 3, 4, None) for c in range(24)}
     want |= {(i, c // 12, c // 4 % 3, c % 4): v or 0 for i, c, v in made if c >= 0}
     assert len(got) == len(want) and {tuple(r)[:4]: r["v"] for r in got} == want
+
+
+def test_prompts_are_looked_up_in_all_parts(spark):
+    cells = spark.range(4).selectExpr("cast(id as int) img_id").withColumns({a: F.explode(F.sequence(F.lit(0), F.lit(3))) for a in "zyx"})
+    points = spark.createDataFrame([(0, 0, 0, 3), (0, 0, 0, 4), (9, 0, 0, 0), (1, None, 0, 0)], "img_id int, z int, y int, x int")
+    out = P.invalid_prompts(points, cells)
+    assert {tuple(r) for r in out.collect()} == {(0, 0, 0, 4), (9, 0, 0, 0), (1, None, 0, 0)}
+    assert P.invalid_prompts(points, cells).rdd.getNumPartitions() == 4
