@@ -42,3 +42,11 @@ def test_prompts_are_looked_up_in_all_parts(spark):
     out = P.invalid_prompts(points, cells)
     assert {tuple(r) for r in out.collect()} == {(0, 0, 0, 4), (9, 0, 0, 0), (1, None, 0, 0)}
     assert P.invalid_prompts(points, cells).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("name", ["synth_blobs"])
+def test_nothing_large_is_broadcast(spark, narrow, name):
+    con, sf = duckdb.connect(), SF.replace("0.001", "0.01")
+    for t in ("lineitem", "part"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    assert rows(queries.queries()[name](spark, sf).toPandas()) == rows(con.execute(queries.oracle_sql()[name]).df())
