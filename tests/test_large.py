@@ -44,7 +44,7 @@ def test_prompts_are_looked_up_in_all_parts(spark):
     assert P.invalid_prompts(points, cells).rdd.getNumPartitions() == 4
 
 
-@pytest.mark.parametrize("name", ["synth_blobs"])
+@pytest.mark.parametrize("name", ["synth_blobs", "fill_holes", "fill_small_holes", "fill_small_holes_labels"])
 def test_nothing_large_is_broadcast(spark, narrow, name):
     con, sf = duckdb.connect(), SF.replace("0.001", "0.01")
     for t in ("lineitem", "part"):
