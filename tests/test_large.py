@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from test_queries import SF, rows
 from voxloom import model
+from voxloom.operators import grow as G
 from voxloom.operators import prompts as P
+from voxloom.operators import tiles
 from voxloom.plans import queries
 
 
@@ -50,3 +52,17 @@ def test_nothing_large_is_broadcast(spark, narrow, name):
     for t in ("lineitem", "part"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     assert rows(queries.queries()[name](spark, sf).toPandas()) == rows(con.execute(queries.oracle_sql()[name]).df())
+
+
+def test_tiles_send_borders_only_where_an_image_goes_on(spark):
+    """One image of one tile and one of 3 x 2 x 1 tiles, grown to the end, against one tile for all; borders as rows."""
+    grid = spark.createDataFrame([(0, 3, 3, 3), (1, 10, 7, 4)], "img_id int, nz int, ny int, nx int")
+    for a in "zyx":
+        grid = grid.withColumn(a, F.explode(F.expr(f"sequence(0, n{a} - 1)")))
+    cells = grid.select(*model.KEY, F.lit(9).alias("v"), F.expr("cast(z + y + x = 0 as int)").alias("label"))
+    assert {r["label"] for r in G.grow(cells, [5], tile=4, hops=3)[0].collect()} == {1}
+    at = tiles.tiled(cells, ["label"], 4)
+    sent = at.select(*tiles.PLACE, *tiles.SHAPE, "label").mapInPandas(tiles._borders(["label"], 1, 4), f"{tiles._TILES}, dz int, dy int, dx int, label binary")
+    count = {r["img_id"]: r["count"] for r in sent.groupBy("img_id").count().collect()}
+    assert count == {0: 1, 1: 7 * 4 * 2}  # along z 2 + 3 + 2, along y 2 + 2, along x a full tile at the end
+    assert {tuple(r) for r in tiles.near(at.where("img_id = 0"), 4).collect()} == {(0, 0, 0, 0)}
