@@ -8,9 +8,9 @@ are whole tokens, so the children's sum is the parent's exactly. A node of weigh
 give, in a shortage too.
 
 A leaf takes its documents in epochs, each in the order of a hash of seed, epoch and doc_id: whole epochs first, then the
-longest prefix of the next one that fits in what is left. The prefix comes from running totals in two steps (4096 buckets of
-the hash, then rows within a bucket), so no task sees a whole leaf. Texts are read once for their tokens; all else goes on
-with leaf, tokens and doc_id. Built-in functions only.
+longest prefix of the next one that fits in what is left. The prefix comes from running totals of 4096 buckets of the hash:
+those that fit are taken whole where their rows lie, and only the one bucket that a leaf's budget cuts is dealt and sorted, so
+no task sees a whole leaf and carried rows aren't shuffled but for these. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -110,19 +110,25 @@ def mix(
     plan = leaf_budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("supply")), budget, max_epochs, domains, languages, sources)
     plan = plan.select(*leaf, F.col("budget").alias("leaf_budget"), F.expr("cast(budget div supply as int)").alias("whole"), (F.col("budget") % F.col("supply")).alias("part"))
     plan = written(plan, "leaves")
-    rows = rows.join(plan, leaf)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
+    hashed = lambda whole: F.md5(F.concat_ws(":", F.lit(str(seed)), whole.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    planned = rows.join(plan, leaf).withColumn("bucket", F.substring(hashed(F.col("whole")), 1, 3))
 
-    whole = rows.withColumn("epoch", F.explode(F.expr("case when whole > 0 then sequence(0, whole - 1) else array() end")))
-    totals = rows.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("n"))
+    totals = planned.groupBy(*leaf, "part", "bucket").agg(F.sum("n_tokens").alias("n"))
     # Running totals in two steps: of 16 parts of a leaf, then of a part's buckets.
     upto = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = totals.withColumn("part16", F.substring("bucket", 1, 1))
     of_parts = totals.groupBy(*leaf, "part16").agg(F.sum("n").alias("n")).withColumn("before", upto(leaf, "part16")).drop("n")
-    starts = totals.withColumn("inside", upto([*leaf, "part16"], "bucket")).join(of_parts, [*leaf, "part16"]).select(*leaf, "bucket", (F.col("before") + F.col("inside")).alias("start"))
+    starts = totals.withColumn("inside", upto([*leaf, "part16"], "bucket")).join(of_parts, [*leaf, "part16"]).withColumn("start", F.col("before") + F.col("inside")).where("start < part")
+    ends = F.col("start") + F.col("n") <= F.col("part")
+    last = starts.groupBy(*leaf).agg(F.max(F.when(ends, F.col("bucket"))).alias("last"), F.max(F.when(~ends, F.col("bucket"))).alias("cut"), F.max(F.when(~ends, F.col("start"))).alias("start"))
+    plan = written(plan.join(last, leaf, "left"), "leaves")
+
+    # Whole buckets go where their rows lie; only the one that a leaf's budget cuts is dealt and sorted.
+    planned = rows.join(plan, leaf).withColumn("key", hashed(F.col("whole"))).withColumn("bucket", F.substring("key", 1, 3))
+    most = F.col("whole") + F.coalesce((F.col("bucket") <= F.col("last")).cast("int"), F.lit(0))
+    whole = planned.withColumn("most", most).withColumn("epoch", F.explode(F.expr("case when most > 0 then sequence(0, most - 1) else array() end")))
     inside = Window.partitionBy(*leaf, "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    first = rows.join(starts, [*leaf, "bucket"]).where("start < part").withColumn("upto", F.col("start") + F.sum("n_tokens").over(inside)).where("upto <= part")
+    first = planned.where("bucket = cut").withColumn("upto", F.col("start") + F.sum("n_tokens").over(inside)).where("upto <= part")
     columns = [*(["row"] if carry else []), "doc_id", *leaf, "n_tokens", "epoch", "leaf_budget"]
     return whole.select(columns).unionByName(first.withColumn("epoch", F.col("whole")).select(columns))
 
