@@ -1,6 +1,9 @@
 import random
+import subprocess
+import sys
 import zlib
 from bisect import bisect_left, insort
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -109,3 +112,24 @@ def test_text_without_spaces_is_not_remembered():
         assert set(ids.known) == {"new"}
     finally:
         packing.REMEMBERED_BYTES = whole
+
+
+HELD = """
+import random, re
+import public_tokenizers, pyarrow as pa
+from voxloom.llm import packing
+from voxloom.llm.common import slices
+most = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+ids, rng = packing.Ids(public_tokenizers.path(packing.VOCABULARY)), random.Random(7)
+texts = [" ".join("".join(rng.choices("etaoinshrdlucm", k=8)) for _ in range(3000)) for _ in range(200)]
+rows = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+before = most()
+for part in slices(rows, "text", packing.SLICE_BYTES // 2):
+    ids.of(part.column("text"))
+print(most() - before)
+"""
+
+
+def test_new_words_without_end_take_little_memory():
+    out = subprocess.run([sys.executable, "-c", HELD], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True).stdout
+    assert float(out) < 130

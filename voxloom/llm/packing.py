@@ -20,14 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import SLICE_BYTES, freed, slices, written
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 0
 #: Bytes of text pieces and their ids that a task remembers, and the characters of the longest piece that is worth it.
-REMEMBERED_BYTES = 100_000_000
+REMEMBERED_BYTES = 25_000_000
 LONG_PIECE = 48
+#: Pieces that go to the tokenizer at a time; its own record of them is many times their size.
+LEARNED = 1 << 14
 
 SPACE, LETTER, DIGIT, MARK, ODD, WHOLE = range(6)
 #: Letters and digits between U+0080 and U+017F; the normaliser lowers their case character by character.
@@ -139,6 +141,9 @@ class Ids:
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = Tokenizer(self.tokenizer.model)  # for text that is in lower case and cut already
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary, suffix = self.model.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # which ids are the last of a piece
+        self.last[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -147,13 +152,22 @@ class Ids:
     def learn(self, new: list[str]) -> None:
         plain, others = [], []
         for x in new:
-            (plain if x[0] > " " and x.translate(_PLAIN) == "" else others).append(x)
-        got = self.model.encode(plain, is_pretokenized=True, add_special_tokens=False)
+            (plain if x.isascii() and x.isalpha() or x[0] > " " and x.translate(_PLAIN) == "" else others).append(x)
         ids = [[] if not x.strip(" \t\n\x0b\x0c\r") else self.tokenizer.encode(x, add_special_tokens=False).ids for x in others]
         self.known.update(zip(plain + others, range(self.lists.count, self.lists.count + len(new))))
-        self.lists.add(np.asarray(got.ids, np.uint32), np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(plain)))
+        for at in range(0, len(plain), LEARNED):
+            self.lists.add(*self.whole(plain[at : at + LEARNED]))
         self.lists.add(np.asarray([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
+    def whole(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces, end to end, and how many each has."""
+        if not self.last.any():
+            got = self.model.encode(plain, is_pretokenized=True, add_special_tokens=False)
+            return np.asarray(got.ids, np.uint32), np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(plain))
+        got = self.model.encode_batch_fast([plain], is_pretokenized=True, add_special_tokens=False)  # it leaves word_ids out
+        ids = np.asarray(got[0].ids, np.uint32)
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and where each text's begin and end."""
         texts = pc.fill_null(texts, "")
@@ -162,7 +176,7 @@ class Ids:
             special |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
         pieces, starts = cut(pc.if_else(pa.array(special), "", texts) if special.any() else texts)
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.size > REMEMBERED_BYTES:
             self.forget()
         new = [x for x in distinct if x not in self.known]
@@ -204,7 +218,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
         ids = _loaded.get(path) or _loaded.setdefault(path, Ids(path))
         end = np.asarray([END], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES // 2):
                 found, bounds = ids.of(part.column("text"))
                 data, row, k, start, length, crc = found.astype("<u4", copy=False).tobytes(), [], [], [], [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
@@ -219,7 +233,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
 
     names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(freed(tokenised), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Remaining:
