@@ -117,3 +117,16 @@ def test_equal_lengths_that_make_no_whole_are_cut(spark):
     rows = cutting.pack_by_patterns(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     check(docs, rows, 1024)
     assert len(rows) <= 60 + 60 * 700 // 1024 + 12
+
+
+def test_plain_pieces_go_in_one_call_and_are_not_remembered():
+    ids, whole, calls = cutting.Ids(PATH), Tokenizer.from_file(PATH), []
+    once = ids.lines.encode_to_numpy
+    ids.lines.encode_to_numpy = lambda *a, **b: calls.append(a) or once(*a, **b)
+    texts = ["", None, "One two\nthree\r\n four 5 5 -- two", "\n\n", " ", "Ärger ×7 ÿ", "words don't\tend", "one"]
+    got, bounds = ids.of(pa.array(texts))
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert got[a:b].tolist() == whole.encode(text or "", add_special_tokens=False).ids, text
+    assert len(calls) == 1 and not {"One", " two", "-", "5"} & set(ids.known) and "\n" in "".join(ids.known)
+    for texts in ([], [""], [None], ["\n"], ["日本"]):
+        assert ids.of(pa.array(texts, pa.string()))[0].tolist() == [i for x in texts for i in whole.encode(x or "", add_special_tokens=False).ids]
