@@ -1,4 +1,7 @@
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -131,6 +134,28 @@ def test_what_is_remembered_is_bounded():
         langid.REMEMBERED_BYTES = whole
 
 
+HELD = """
+import random, re
+import public_tokenizers, pyarrow as pa
+from voxloom.llm import langid
+from voxloom.llm.common import coded_words, slices
+most = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+pieces, rng = langid.Pieces.make(public_tokenizers.path(langid.VOCABULARY)), random.Random(7)
+scores = langid._Scores([langid.learn({x: {"▁the": 5} for x in "abcd"}, pieces)])
+texts = [" ".join("".join(rng.choices("etaoinshrdlucm", k=8)) for _ in range(3000)) for _ in range(200)]
+rows = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+before = most()
+for part in slices(rows, "text", langid.SLICE_BYTES):
+    scores.of(coded_words(part.column("text"))[1])
+print(most() - before)
+"""
+
+
+def test_new_words_without_end_take_little_memory():
+    out = subprocess.run([sys.executable, "-c", HELD], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True).stdout
+    assert float(out) < 150
+
+
 def test_every_language_is_learned_whatever_the_block(spark):
     rng = np.random.default_rng(4)
     rows = []

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import freed, mixed, slices, words, written
+from .common import coded_words, freed, mixed, slices, words, written
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Bounds of the sample to learn from: documents of each language, their most frequent words, and letters of such a word.
@@ -48,12 +48,14 @@ PRIOR = 0.01
 UNDECIDED = "und"
 BEGIN = "▁"
 #: Bytes of words and their scores that a task remembers, and the characters of the longest word that is worth it.
-REMEMBERED_BYTES = 100_000_000
+REMEMBERED_BYTES = 32_000_000
 LONG_WORD = 48
+#: Text bytes that a task predicts at a time.
+SLICE_BYTES = 1_000_000
 
 #: Characters whose pieces are looked up at a time, and numbers of a forward step.
-STRETCH = 1 << 18
-AT_ONCE = 400_000
+STRETCH = 1 << 16
+AT_ONCE = 200_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -289,9 +291,9 @@ def single_letters(counts: dict[str, float], pieces: Pieces, models: list[Model]
     return Model([""], pieces, p[:, None])
 
 
-def clean(tokens: list[str]) -> tuple[list[str], np.ndarray]:
+def clean(tokens: list[str] | pa.Array) -> tuple[list[str], np.ndarray]:
     """Runs of letters in the tokens, in lower case and behind the sign of a word's begin, with the token that each is from."""
-    letters = pc.replace_substring_regex(pc.utf8_lower(pa.array(tokens, pa.string())), r"[^\pL]+", " ")
+    letters = pc.replace_substring_regex(pc.utf8_lower(tokens if isinstance(tokens, pa.Array) else pa.array(tokens, pa.string())), r"[^\pL]+", " ")
     parts = pc.split_pattern(pc.utf8_trim(letters, " "), " ")
     runs, owner = parts.flatten(), pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
     real = pc.not_equal(runs, "").to_numpy(zero_copy_only=False)
@@ -346,37 +348,48 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: str | N
 
 
 class _Scores:
-    """Log probabilities of tokens by language, remembered from slice to slice; tokens without a letter have none."""
+    """Log probabilities of tokens by language, remembered from slice to slice; tokens without a letter have none.
+
+    Tokens are remembered as one Arrow array, a few bytes each, and looked up by a hash table that lives for a call.
+    """
 
     def __init__(self, models: list[Model]) -> None:
         self.models, self.width = models, sum(len(m.languages) for m in models)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.table, self.lettered, self.size = np.zeros((0, self.width)), np.zeros(0, bool), 0
+        self.tokens = pa.array([], pa.string())
+        self.table, self.lettered = np.zeros((0, self.width)), np.zeros(0, bool)
+
+    @property
+    def known(self) -> list[str]:
+        """What is remembered, in the order of the first rows of `table`."""
+        return self.tokens.to_pylist()
+
+    @property
+    def size(self) -> int:
+        """Bytes that the remembered tokens take, with about 40 each for looking them up."""
+        return self.tokens.nbytes + (40 + 8 * self.width) * len(self.tokens)
 
-    def of(self, tokens: list[str]) -> np.ndarray:
-        """Rows of `table` for the tokens, until the next call. Long tokens are not remembered beyond it."""
+    def of(self, tokens: list[str] | pa.Array) -> np.ndarray:
+        """Rows of `table` for different tokens, until the next call. Long tokens are not remembered beyond it."""
         if self.size > REMEMBERED_BYTES:
             self.forget()
-        self.table, self.lettered = self.table[: len(self.known)], self.lettered[: len(self.known)]
-        new = [t for t in tokens if t not in self.known]
-        long = [t for t in new if len(t) > LONG_WORD]
-        if new:
-            if long:
-                new = [t for t in new if len(t) <= LONG_WORD] + long
-            runs, owner = clean(new)
-            table, lettered = np.zeros((len(new), self.width)), np.zeros(len(new), bool)
-            np.add.at(table, owner, log_probabilities(runs, self.models))
-            lettered[owner] = True
-            short = new[: len(new) - len(long)]
-            self.size += 4 * sum(map(len, short)) + (180 + 8 * self.width) * len(short)
-            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table, self.lettered = np.concatenate([self.table, table]), np.concatenate([self.lettered, lettered])
-        rows = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        for t in long:
-            del self.known[t]
+        tokens, count = tokens.cast(pa.string()) if isinstance(tokens, pa.Array) else pa.array(tokens, pa.string()), len(self.tokens)
+        rows = pc.fill_null(pc.index_in(tokens, value_set=self.tokens), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        table, lettered = self.table[:count], self.lettered[:count]
+        if len(new := np.flatnonzero(rows < 0)):
+            long = pc.greater(pc.utf8_length(tokens.take(pa.array(new))), LONG_WORD).to_numpy(zero_copy_only=False)
+            new = np.concatenate([new[~long], new[long]])
+            rows[new] = np.arange(count, count + len(new))
+            added = tokens.take(pa.array(new))
+            runs, owner = clean(added)
+            own, has = np.zeros((len(new), self.width)), np.zeros(len(new), bool)
+            np.add.at(own, owner, log_probabilities(runs, self.models))
+            has[owner] = True
+            table, lettered = np.concatenate([table, own]), np.concatenate([lettered, has])
+            self.tokens = pa.concat_arrays([self.tokens, added.slice(0, len(new) - int(long.sum()))])
+        self.table, self.lettered = table, lettered
         return rows
 
 
@@ -397,8 +410,8 @@ def predict(docs: DataFrame, learned: Learned, text_col: str = "text", lang_as:
         model = shared.value
         languages, scores = model.languages, _Scores([*model.models, *([model.noise] if fit_as and model.models else [])])
         for batch in batches:
-            for part in slices(batch, text_col):
-                codes, tokens, starts = words(part.column(text_col))
+            for part in slices(batch, text_col, SLICE_BYTES):
+                codes, tokens, starts = coded_words(part.column(text_col))
                 at = scores.of(tokens)
                 count, n = part.num_rows, max(1, len(tokens))
                 keys, times = np.unique(np.repeat(np.arange(count), np.diff(starts)) * np.int64(n) + codes, return_counts=True)
