@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import coded_words, freed, mixed, slices, words, written
+from .common import coded_words, in_arrow, mixed, slices, words, written
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Bounds of the sample to learn from: documents of each language, their most frequent words, and letters of such a word.
@@ -431,7 +431,7 @@ def predict(docs: DataFrame, learned: Learned, text_col: str = "text", lang_as:
                     out.append(pa.array(fit, pa.float64(), mask=~known))
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *(f.name for f in new)])
 
-    return docs.mapInArrow(freed(score), schema)
+    return in_arrow(docs, score, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, joined, mixed, salted, share, slices, words, written
+from .common import in_arrow, joined, mixed, salted, share, slices, words, written
 from .graph import components
 
 SHINGLE = 5
@@ -127,7 +127,7 @@ def sketched(rows: DataFrame, size: int) -> DataFrame:
                 bands = _lists(np.ascontiguousarray(keys).reshape(-1), np.arange(len(keys) + 1) * BANDS)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(fingerprints(hashes, ends), pa.binary()), pa.array(np.diff(ends), pa.int64()), bands], names=["doc_id", "row", "set", "n_shingles", "bands"])
 
-    return rows.mapInArrow(freed(sketch), "doc_id long, row long, set binary, n_shingles long, bands array<long>")
+    return in_arrow(rows, sketch, "doc_id long, row long, set binary, n_shingles long, bands array<long>")
 
 
 def full_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -139,7 +139,7 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
                 hashes, ends = shingles(part.column("text"), size)
                 yield pa.RecordBatch.from_arrays([pa.array(fingerprints(hashes, ends), pa.binary()), _lists(hashes, ends)], names=["set", "items"])
 
-    return rows.select("text").mapInArrow(freed(sets), "set binary, items array<long>")
+    return in_arrow(rows.select("text"), sets, "set binary, items array<long>")
 
 
 def similar(shared, a, b, percent: int):

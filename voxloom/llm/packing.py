@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, freed, slices, written
+from .common import SLICE_BYTES, in_arrow, slices, written
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -233,7 +233,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
 
     names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(freed(tokenised), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(rows, tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Remaining:
